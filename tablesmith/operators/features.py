@@ -7,6 +7,7 @@ columns with many text levels stay distributed tables and are joined.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -28,33 +29,39 @@ from tablesmith.session import BROADCAST_ROWS, cut_lineage
 
 ENCODE_LEVELS = 10     # numeric columns with at most this many levels are encoded
 TRACKED_LEVELS = 100   # largest level count any rule asks about
-HLL_RSD = 0.01
+HLL_RSD = 0.05        # 512 registers: a finer sketch would add thousands of buffer columns
 
 
 # --- level counting -----------------------------------------------------------------
 
-def few_levels(df: DataFrame, columns: list[str], limit: int = TRACKED_LEVELS) -> dict[str, list]:
+def level_sketches(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """Sketch of the distinct count of each column, to be evaluated with other aggregates."""
+    return {
+        f.name: F.approx_count_distinct(
+            observed(f.name, f.dataType) if is_numeric_type(f.dataType)
+            else value_text(quoted(f.name), f.dataType), HLL_RSD)
+        for f in df.schema.fields if f.name in columns
+    }
+
+
+def few_levels(df: DataFrame, columns: list[str], limit: int = TRACKED_LEVELS,
+               sketch: dict[str, int] | None = None) -> dict[str, list]:
     """Exact (value, n) lists of the columns with at most ``limit`` distinct values.
 
     A sketch screens out the wide columns first. With d distinct values at most d
     registers are set, so the sketch cannot exceed ``2 * limit`` while d <= limit;
     every screened-out column truly has more levels. The rest is counted exactly.
     """
-    fields = {f.name: f for f in df.schema.fields if f.name in columns}
-    if not fields:
+    if not columns:
         return {}
-    sketch = agg_row(df, {
-        c: F.approx_count_distinct(value_text(observed(c, f.dataType), f.dataType)
-                                   if not is_numeric_type(f.dataType) else observed(c, f.dataType), HLL_RSD)
-        for c, f in fields.items()})
-    narrow = [c for c in fields if sketch[c] <= 2 * limit]
+    sketch = sketch or agg_row(df, level_sketches(df, columns))
+    narrow = [f.name for f in df.schema.fields if f.name in columns and sketch[f.name] <= 2 * limit]
     out: dict[str, list] = {c: [] for c in narrow}
     if not narrow:
         return out
-    ordered = [f.name for f in df.schema.fields if f.name in narrow]
-    for r in value_counts(df, narrow).collect():  # at most 2 * limit rows per column
+    for r in value_counts(df, narrow).collect():  # at most 2 * limit rows per column, by the sketch
         v = next((r[k] for k in ("whole", "real", "text") if r[k] is not None), None)
-        out[ordered[r["ordinal"]]].append((v, r["n"]))
+        out[narrow[r["ordinal"]]].append((v, r["n"]))
     return {c: v for c, v in out.items() if len(v) <= limit}
 
 
@@ -163,8 +170,8 @@ def time_features(df: DataFrame, column: str, tie: str | None = None) -> DataFra
 @dataclass
 class Codes:
     """Codes of one column: a literal map for few levels, a table for many."""
-    levels: dict[str, int] | None = None          # text -> code
-    counts: dict[str, int] | None = None          # text -> rows
+    levels: dict | None = None                    # value -> code
+    counts: dict | None = None                    # value -> rows
     table: DataFrame | None = None                # (text, n, code)
     size: tuple[int, int, int] | None = None
 
@@ -175,11 +182,10 @@ def dictionary(df: DataFrame, column: str, text: Column | None = None) -> DataFr
     Codes are given on the distinct values only, split by value ranges when many.
     """
     text = value_text(quoted(column), df.schema[column].dataType) if text is None else text
-    counts = df.groupBy(text.alias("text")).agg(F.count("*").alias("n"))
-    n = counts.count()
-    if n > BROADCAST_ROWS:
+    counts = df.where(text.isNotNull()).groupBy(text.alias("text")).agg(F.count("*").alias("n"))
+    if counts.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         counts = cut_lineage(counts)
-    return global_row_number(counts.where("text is not null"), F.col("text"), n, "code")
+    return global_row_number(counts, F.col("text"), counts.count(), "code")
 
 
 def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -191,34 +197,34 @@ def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
 def fit_codes(df: DataFrame, columns: list[str], levels: dict[str, list]) -> dict[str, Codes]:
     out = {}
     for c in columns:
-        t = df.schema[c].dataType
         if c in levels:
-            texts = level_texts(df, c, t, levels[c])
-            order = {v: i for i, v in enumerate(sorted(texts, key=lambda s: s.encode("utf-8")))}
-            out[c] = Codes(levels=order, counts=texts)
+            order = sorted((v for v, _ in levels[c]), key=lambda v: level_text(v).encode("utf-8"))
+            out[c] = Codes(levels={v: i for i, v in enumerate(order)}, counts=dict(levels[c]))
         else:
             table = dictionary(df, c)
             out[c] = Codes(table=table, size=lookup_size(table, "text"))
     return out
 
 
-def level_texts(df: DataFrame, column: str, t: T.DataType, levels: list) -> dict[str, int]:
-    """Text form and row count of a short level list (evaluated by Spark, not re-implemented)."""
-    if all(isinstance(v, str) for v, _ in levels):
-        return dict(levels)
-    kind = T.LongType() if all(isinstance(v, int) for v, _ in levels) else T.DoubleType()
-    schema = T.StructType([T.StructField("v", kind), T.StructField("n", T.LongType())])
-    rows = df.sparkSession.createDataFrame(
-        [(v if isinstance(kind, T.LongType) else float(v), n) for v, n in levels], schema)
-    v = F.col("v").cast(t)
-    return {r[0]: r[1] for r in rows.select(value_text(v, t), "n").collect()}
+def level_text(v) -> str:
+    """Text a level is sorted by; numbers sort as text on purpose ("10" before "9")."""
+    return v if isinstance(v, str) else repr(v)
 
 
-def literal_map(text: Column, mapping: dict[str, float], kind: str) -> Column:
-    keys = sorted(mapping)
+def literal_map(key: Column, mapping: dict, kind: str) -> Column:
+    keys = list(mapping)
     found = F.map_from_arrays(F.array(*map(F.lit, keys)),
                               F.array(*[F.lit(mapping[k]).cast(kind) for k in keys]))
-    return F.try_element_at(found, text)
+    return F.try_element_at(found, key)
+
+
+def level_key(c: str, t: T.DataType) -> Column:
+    """The cell in the form its level list is keyed by (whole, real or text)."""
+    if isinstance(t, T.IntegralType):
+        return quoted(c).cast("long")
+    if isinstance(t, T.BooleanType):
+        return quoted(c).cast("long")
+    return as_double(c, t) if is_numeric_type(t) else value_text(quoted(c), t)
 
 
 def apply_codes(df: DataFrame, codes: dict[str, Codes],
@@ -227,15 +233,15 @@ def apply_codes(df: DataFrame, codes: dict[str, Codes],
     new: dict[str, Column] = {}
     out = df
     for i, (c, code) in enumerate(codes.items()):
-        text = value_text(quoted(c), df.schema[c].dataType)
+        t = df.schema[c].dataType
         shift, scale = scaled.get(c, (None, None))
         if code.levels is not None:
             values = {k: v if shift is None else (v - shift) / scale for k, v in code.levels.items()}
-            new[c] = literal_map(text, values, "long" if shift is None else "double")
+            new[c] = literal_map(level_key(c, t), values, "long" if shift is None else "double")
         else:
             value = F.col("code") if shift is None else (F.col("code") - F.lit(shift)) / F.lit(scale)
             joined = code.table.withColumn(f"_code{i}", value)
-            out = attach(out, text, joined, "text", [f"_code{i}"], code.size)
+            out = attach(out, value_text(quoted(c), t), joined, "text", [f"_code{i}"], code.size)
             new[c] = F.col(f"_code{i}")
     return out.select(*[new[c].alias(c) if c in new else quoted(c) for c in df.columns])
 
@@ -347,7 +353,6 @@ def build_features(
     are kept out of the features unless the data itself holds them.
     """
     time_column = detect_time_column(df) if detect_time else None
-    n_all = None
     work = df
     if time_column:
         stamp = F.unix_micros(parse_time(quoted(time_column), df.schema[time_column].dataType))
@@ -358,9 +363,13 @@ def build_features(
                        *([F.col("_time")] if time_column else []))
 
     data = work.select(*map(quoted, data_columns))
-    gaps = missing_counts(data)
-    n_all = work.count()
-    levels = few_levels(data, data_columns)
+    first = agg_row(data, {"rows": F.count(F.lit(1))}
+                    | {f"gap.{f.name}": F.count_if(observed(f.name, f.dataType).isNull())
+                       for f in data.schema.fields}
+                    | {f"levels.{c}": e for c, e in level_sketches(data, data_columns).items()})
+    n_all = first["rows"]
+    gaps = {c: first[f"gap.{c}"] for c in data_columns}
+    levels = few_levels(data, data_columns, sketch={c: first[f"levels.{c}"] for c in data_columns})
 
     target = (plan or {}).get("target_column")
     task = (plan or {}).get("task_type", "classification")
@@ -382,21 +391,19 @@ def build_features(
     for c in kept:
         if c in medians:
             clean[c] = fill_numeric(data, c, medians[c])
-        elif isinstance(types[c], T.StringType) and gaps[c]:
-            clean[c] = F.coalesce(quoted(c), F.lit("unknown"))
-        elif isinstance(types[c], T.BooleanType) and gaps[c]:
+        elif c in numeric:
+            continue
+        elif gaps[c] or is_time_type(types[c]):
             clean[c] = F.coalesce(value_text(quoted(c), types[c]), F.lit("unknown"))
-        elif is_time_type(types[c]):
-            clean[c] = F.coalesce(quoted(c).cast("string"), F.lit("unknown"))
     rows = replace_columns(rows, clean)
     rows = replace_columns(rows, {
         c: zero_if_infinite(quoted(c)) for c in numeric
         if isinstance(rows.schema[c].dataType, (T.DoubleType, T.FloatType))})
+    after = {c: clean_levels(levels[c], gaps[c], types[c], rows.schema[c].dataType, medians.get(c))
+             for c in kept if c in levels}
     types = {f.name: f.dataType for f in rows.schema.fields}
 
     features = [c for c in kept if c != target]
-    maybe = [c for c in features if c in levels and len(levels[c]) <= TRACKED_LEVELS]
-    after = few_levels(rows, maybe, TRACKED_LEVELS) if clean else {c: levels[c] for c in maybe}
     encoded = [c for c in features if not is_numeric_type(types[c])
                or (c in after and len(after[c]) <= ENCODE_LEVELS)]
     codes = fit_codes(rows, encoded, after)
@@ -424,6 +431,27 @@ def build_features(
     return Build(frame, target, task, time_column, strategy, ids, constants, encoded, has_split)
 
 
+def clean_levels(levels: list, gaps: int, before: T.DataType, after: T.DataType,
+                 median: float | None) -> list:
+    """Level list of a column once its gaps are filled and infinities are zero."""
+    merged: dict = {}
+    fractional = is_numeric_type(after) and not isinstance(after, T.IntegralType)
+    for v, n in levels:
+        if isinstance(before, T.BooleanType) and isinstance(after, T.StringType):
+            v = "True" if v else "False"
+        if fractional:
+            v = float(v) if math.isfinite(v) else 0.0
+        merged[v] = merged.get(v, 0) + n
+    if gaps:
+        if is_numeric_type(after):
+            fill = float(median) if fractional else int(median)
+            fill = fill if math.isfinite(fill) else 0.0
+        else:
+            fill = "unknown"
+        merged[fill] = merged.get(fill, 0) + gaps
+    return list(merged.items())
+
+
 def _free_keys(keys: list[str], kept: list[str]) -> bool:
     """Keys are shown beside the features when none of them is a feature itself."""
     return bool(keys) and not set(keys) & set(kept)

@@ -130,7 +130,7 @@ def profile_rows(
         c = observed(f.name, f.dataType)
         exprs[f"{i}.present"] = F.count(c)
         if distinct == "approx":
-            exprs[f"{i}.distinct"] = F.approx_count_distinct(value_text(c, f.dataType), 0.01)
+            exprs[f"{i}.distinct"] = F.approx_count_distinct(value_text(c, f.dataType))
         if is_numeric_type(f.dataType):
             x = as_double(f.name, f.dataType)
             exprs |= {f"{i}.min": F.min(x), f"{i}.max": F.max(x), f"{i}.mean": F.avg(x),
