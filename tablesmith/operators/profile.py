@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from tablesmith.functions.numeric import (
     as_double, is_fractional_type, is_nested_type, is_numeric_type, observed, quoted, value_text,
 )
-from tablesmith.operators.ranks import agg_row, chunks, exact_quantiles
+from tablesmith.operators.ranks import agg_row, exact_quantiles
 from tablesmith.session import SINGLE_TASK_ROWS
 
 OUTLIER_FACTOR = 1.5
@@ -314,7 +314,3 @@ def quality_score(totals: DataFrame) -> DataFrame:
         "missing_percentage", F.round("missing_share", 2))
 
 
-__all__ = [
-    "profile", "profile_many", "quick_profile", "value_counts", "distinct_counts",
-    "sample_values", "target_distribution", "dataset_totals", "quality_score", "chunks",
-]
