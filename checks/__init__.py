@@ -1,5 +1,5 @@
 """Registered queries, each next to the SQL that states the same result."""
 
-from checks import profiling
+from checks import features, profiling
 
-QUERY_MODULES = [profiling]
+QUERY_MODULES = [profiling, features]
