@@ -1,5 +1,5 @@
 """Registered queries, each next to the SQL that states the same result."""
 
-from checks import features, profiling
+from checks import catalog, features, planning, profiling
 
-QUERY_MODULES = [profiling, features]
+QUERY_MODULES = [profiling, features, planning, catalog]

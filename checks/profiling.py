@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.common import (
     PROFILE_OUT, all_tables, columns_of, gappy, gappy_sql, plain, profile_out, profile_sql, r6, sql_any, sql_date,
-    sql_id, sql_in, sql_squash, table, time_text,
+    sql_id, sql_in, sql_squash, table,
 )
 from tablesmith.facade import dataset_meta
 from tablesmith.functions.names import clean_dataset_id, date_rule, id_rule, normalize_name, parse_filename, short_name
@@ -356,5 +356,3 @@ def event_parts(spark, sf):
 def order_parts(spark, sf):
     return plain(time_features(table(spark, sf, "orders"), "o_orderdate", "o_orderkey"))
 
-
-__all__ = ["ORACLES", "QUERIES", "time_text"]

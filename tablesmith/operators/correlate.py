@@ -16,7 +16,7 @@ from tablesmith.operators.ranks import AGG_CHUNK, agg_row, chunks
 LOW_CORRELATION = 0.05
 HIGH_CORRELATION = 0.9
 IMBALANCE_RATIO = 3
-MAX_SQL_PAIRS = 3 * AGG_CHUNK  # beyond this one co-moment scan beats many aggregates
+MAX_SQL_PAIRS = 10  # measured: beyond this one co-moment scan beats the many aggregates
 MOMENTS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
 

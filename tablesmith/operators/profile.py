@@ -3,10 +3,10 @@
 Passes over the data, each a map-side aggregate unless noted:
 
 1. counts and moments of every column,
-2. quartiles (one in-memory aggregate for small tables, narrowing beyond),
-3. outlier counts against the literal IQR bounds,
-4. exact distinct counts and sample values: the only shuffle, of distinct
-   (column, value) pairs after map-side combine.
+2. exact distinct counts from value counts per column: the only shuffle, of
+   distinct values after map-side combine; small tables read the quartiles off it,
+3. quartiles of large tables by narrowing, without a shuffle of rows,
+4. outlier counts against the literal IQR bounds.
 
 Only the finished statistics, a few numbers per column, reach the driver.
 """
@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 from tablesmith.functions.numeric import (
     as_double, is_fractional_type, is_nested_type, is_numeric_type, observed, quoted, value_text,
 )
-from tablesmith.operators.ranks import agg_row, exact_quantiles
+from tablesmith.operators.ranks import (
+    Scan, agg_row, exact_quantiles, interpolate, quantile_ranks, scan_columns,
+)
 from tablesmith.session import SINGLE_TASK_ROWS
 
 OUTLIER_FACTOR = 1.5
@@ -78,8 +80,9 @@ def _cells(df: DataFrame, fields: list[T.StructField], position: Column | None)
             parts.append(position.alias("at"))
         return F.when(c.isNotNull(), F.struct(*parts))
 
-    cells = F.array_compact(F.array(*[cell(i, f) for i, f in enumerate(fields)]))
-    return df.select(F.explode(cells).alias("c")).select("c.*")
+    # exploded first and filtered after: the filter of an array would leave generated code
+    cells = F.array(*[cell(i, f) for i, f in enumerate(fields)])
+    return df.select(F.explode(cells).alias("c")).where("c is not null").select("c.*")
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None,
@@ -92,9 +95,17 @@ def value_counts(df: DataFrame, columns: list[str] | None = None,
     return _cells(df, fields, position).groupBy("ordinal", "whole", "real", "text").agg(*aggs)
 
 
-def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(ordinal, unique_count) by exact two-level counting."""
-    return value_counts(df, columns).groupBy("ordinal").agg(F.count("*").alias("unique_count"))
+def group_value(f: T.StructField) -> Column:
+    """The cell in a form that can be grouped, in its own type wherever possible."""
+    c = observed(f.name, f.dataType)
+    return F.to_json(c) if isinstance(f.dataType, (T.MapType, T.VariantType)) else c
+
+
+def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> dict[str, int]:
+    """Exact distinct non-null values per column."""
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    got = scan_columns(df, {f.name: Scan(group_value(f)) for f in fields})
+    return {c: s.distinct for c, s in got.items()}
 
 
 def sample_values(df: DataFrame, columns: list[str], position: Column,
@@ -141,7 +152,15 @@ def profile_rows(
     at = {f.name: i for i, f in enumerate(fields)}
     xs = {f.name: as_double(f.name, f.dataType) for f in numeric}
     sizes = {name: base[f"{at[name]}.present"] for name in xs}
-    quart = exact_quantiles(df, xs, [0.25, 0.75], sizes, n_rows, single_task_rows) if xs else {}
+    one_task = n_rows <= single_task_rows
+    probs = [0.25, 0.75]
+    scans = {f.name: Scan(group_value(f), quantile_ranks(sizes[f.name], probs) if one_task and f.name in xs else [])
+             for f in fields if distinct == "exact" or f.name in xs}
+    scanned = scan_columns(df, scans) if distinct == "exact" or one_task else {}
+    if one_task:
+        quart = {c: interpolate(sizes[c], probs, scanned[c].values) if sizes[c] else [None, None] for c in xs}
+    else:
+        quart = exact_quantiles(df, xs, probs, sizes, n_rows, single_task_rows) if xs else {}
 
     bounds = {}
     for name, (q1, q3) in quart.items():
@@ -150,10 +169,8 @@ def profile_rows(
             bounds[name] = F.count_if((xs[name] < F.lit(q1 - reach)) | (xs[name] > F.lit(q3 + reach)))
     outliers = agg_row(df, bounds) if bounds else {}
 
-    if distinct == "exact":
-        unique = {r["ordinal"]: r["unique_count"] for r in distinct_counts(df).collect()}
-    else:
-        unique = {i: base[f"{i}.distinct"] for i in range(len(fields))}
+    unique = {i: scanned[f.name].distinct if distinct == "exact" else base[f"{i}.distinct"]
+              for i, f in enumerate(fields)}
     samples: dict[int, list] = {}
     texts = [f.name for f in fields if not is_numeric_type(f.dataType)
              and not isinstance(f.dataType, T.BooleanType) and not is_nested_type(f.dataType)]
@@ -223,7 +240,7 @@ def profile_many(
     spark: SparkSession,
     tables: dict[str, DataFrame],
     positions: dict[str, Column] | None = None,
-    parallel: int = 4,
+    parallel: int = 8,
     distinct: str = "exact",
 ) -> tuple[DataFrame, DataFrame]:
     """Profiles of many tables and a frame of failures, one bad table never stops the rest.
@@ -254,16 +271,11 @@ def quick_profile(df: DataFrame) -> DataFrame:
     fields = df.schema.fields
     nulls = agg_row(df, {str(i): F.count_if(observed(f.name, f.dataType).isNull())
                          for i, f in enumerate(fields)})
-    labels = df.sparkSession.createDataFrame(
-        [(i, f.name, dtype_label(f.dataType, nulls[str(i)] > 0), nulls[str(i)])
+    unique = distinct_counts(df)
+    return df.sparkSession.createDataFrame(
+        [(i, f.name, dtype_label(f.dataType, nulls[str(i)] > 0), nulls[str(i)], unique[f.name])
          for i, f in enumerate(fields)],
-        "ordinal int, name string, dtype string, missing_count long",
-    )
-    counts = distinct_counts(df)  # at most one row per column
-    return (
-        labels.join(F.broadcast(counts), "ordinal", "left")
-        .select("ordinal", "name", "dtype", "missing_count",
-                F.coalesce("unique_count", F.lit(0).cast("long")).alias("unique_count"))
+        "ordinal int, name string, dtype string, missing_count long, unique_count long",
     )
 
 

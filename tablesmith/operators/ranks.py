@@ -15,8 +15,9 @@ a recomputed task puts each row in the same bucket as before.
 from __future__ import annotations
 
 import bisect
+import functools
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from tablesmith.session import SINGLE_TASK_ROWS
 
 AGG_CHUNK = 40  # expressions of one kind per aggregate, keeps generated code small
 PIVOT_ACCURACY = 10_000
+SLACK = 2.0 / PIVOT_ACCURACY  # pivots sit this far (in rank share) around the wanted ranks
 
 
 def chunks(items: list, size: int = AGG_CHUNK) -> list[list]:
@@ -43,14 +45,13 @@ def agg_row(df: DataFrame, exprs: dict[str, Column], chunk: int = 4 * AGG_CHUNK)
 
 @dataclass
 class _Region:
+    """An open value interval of one column and the wanted ranks that fall into it."""
     column: str
-    rank: int
+    ranks: list[int]
     size: int
     below: int = 0
     low: object = None  # exclusive bounds, None = open
     high: object = None
-    answer: object = None
-    solved: bool = False
 
     def test(self, x: Column) -> Column:
         cond = x.isNotNull()
@@ -60,22 +61,23 @@ class _Region:
             cond = cond & (x < F.lit(self.high))
         return cond
 
-    def narrow(self, lo, hi, counts: dict[str, int]) -> None:
-        k = self.rank - self.below
-        lt, eq_lo, mid, eq_hi = counts["lt"], counts["lo"], counts["mid"], counts["hi"]
-        if k < lt:
-            self.high, self.size = lo, lt
-        elif k < lt + eq_lo:
-            self.answer, self.solved = lo, True
-        elif k < lt + eq_lo + mid:
-            self.below += lt + eq_lo
-            self.low, self.high, self.size = lo, hi, mid
-        elif k < lt + eq_lo + mid + eq_hi:
-            self.answer, self.solved = hi, True
-        else:
-            used = lt + eq_lo + mid + eq_hi
-            self.below += used
-            self.low, self.size = hi, self.size - used
+    def split(self, lo, hi, counts: dict[str, int], found: dict[int, object]) -> list["_Region"]:
+        """Ranks on a pivot are answered; the others go to the part that holds them."""
+        edges = [
+            (counts["lt"], (self.low, lo)), (counts["lo"], lo), (counts["mid"], (lo, hi)),
+            (counts["hi"], hi), (None, (hi, self.high)),
+        ]
+        parts, start = [], self.below
+        left = list(self.ranks)
+        for n, what in edges:
+            n = self.below + self.size - start if n is None else n
+            mine = [r for r in left if r < start + n]
+            left = left[len(mine):]
+            if mine and isinstance(what, tuple):
+                parts.append(_Region(self.column, mine, n, start, *what))
+            found.update({} if isinstance(what, tuple) else {r: what for r in mine})
+            start += n
+        return parts
 
 
 def order_statistics(
@@ -86,32 +88,38 @@ def order_statistics(
     finish_rows: int = SINGLE_TASK_ROWS,
 ) -> dict[str, dict[int, object]]:
     """Values at 0-based ``ranks`` of numeric columns with ``sizes`` non-null rows each."""
-    regions = [
-        _Region(name, rank, sizes[name])
-        for name, wanted in ranks.items()
-        for rank in sorted(set(wanted))
-        if 0 <= rank < sizes[name]
-    ]
-    while True:
-        wide = [r for r in regions if not r.solved and r.size > finish_rows]
-        if not wide:
-            break
-        for part in chunks(wide):
-            _narrow_once(df, columns, part)
-    _finish(df, columns, [r for r in regions if not r.solved])
     found: dict[str, dict[int, object]] = {name: {} for name in ranks}
-    for r in regions:
-        found[r.column][r.rank] = r.answer
+    done, open_ = [], []
+    for name, wanted in ranks.items():
+        inside = sorted({r for r in wanted if 0 <= r < sizes[name]})
+        for group in _neighbours(inside, sizes[name]):
+            open_.append(_Region(name, group, sizes[name]))
+    while open_:
+        done += [r for r in open_ if r.size <= finish_rows]
+        wide = [r for r in open_ if r.size > finish_rows]
+        open_ = [part for some in chunks(wide) for part in _narrow_once(df, columns, some, found)]
+    _finish(df, columns, done, found)
     return found
 
 
-def _narrow_once(df: DataFrame, columns: dict[str, Column], regions: list[_Region]) -> None:
-    slack = 2.0 / PIVOT_ACCURACY
+def _neighbours(ranks: list[int], size: int) -> list[list[int]]:
+    """Ranks close enough to share a pair of pivots."""
+    groups: list[list[int]] = []
+    for r in ranks:
+        if groups and r - groups[-1][0] <= size * SLACK:
+            groups[-1].append(r)
+        else:
+            groups.append([r])
+    return groups
+
+
+def _narrow_once(df: DataFrame, columns: dict[str, Column], regions: list[_Region],
+                 found: dict[str, dict[int, object]]) -> list[_Region]:
     exprs = {}
     for i, r in enumerate(regions):
         x = columns[r.column]
-        at = (r.rank - r.below + 0.5) / r.size
-        points = [max(0.0, at - slack), min(1.0, at + slack)]
+        first, last = ((k - r.below + 0.5) / r.size for k in (r.ranks[0], r.ranks[-1]))
+        points = [max(0.0, first - SLACK), min(1.0, last + SLACK)]
         exprs[str(i)] = F.percentile_approx(F.when(r.test(x), x), points, PIVOT_ACCURACY)
     pivots = agg_row(df, exprs)
     counts = {}
@@ -121,45 +129,91 @@ def _narrow_once(df: DataFrame, columns: dict[str, Column], regions: list[_Regio
         counts[f"{i}.lt"] = F.count_if(inside & (x < F.lit(lo)))
         counts[f"{i}.lo"] = F.count_if(inside & (x == F.lit(lo)))
         counts[f"{i}.mid"] = F.count_if(inside & (x > F.lit(lo)) & (x < F.lit(hi)))
-        counts[f"{i}.hi"] = F.count_if(inside & (x == F.lit(hi))) if hi > lo else F.lit(0)
+        counts[f"{i}.hi"] = F.count_if(inside & (x == F.lit(hi)) & F.lit(hi > lo))
     got = agg_row(df, counts)
+    out = []
     for i, r in enumerate(regions):
         lo, hi = pivots[str(i)]
-        r.narrow(lo, hi, {k: got[f"{i}.{k}"] for k in ("lt", "lo", "mid", "hi")})
+        out += r.split(lo, hi, {k: got[f"{i}.{k}"] for k in ("lt", "lo", "mid", "hi")}, found[r.column])
+    return out
 
 
-def _finish(df: DataFrame, columns: dict[str, Column], regions: list[_Region]) -> None:
+def _finish(df: DataFrame, columns: dict[str, Column], regions: list[_Region],
+            found: dict[str, dict[int, object]]) -> None:
     """Rank the distinct values left in each (small) region."""
-    spans: dict[tuple, list[int]] = {}
+    if not regions:
+        return
+    scans = {
+        str(i): Scan(F.when(r.test(columns[r.column]), columns[r.column]), [k - r.below for k in r.ranks])
+        for i, r in enumerate(regions)
+    }
+    got = scan_columns(df, scans)
     for i, r in enumerate(regions):
-        spans.setdefault((r.column, r.low, r.high), []).append(i)
-    for part in chunks(list(spans.items())):
-        tagged = F.array(*[
-            F.when(regions[ids[0]].test(columns[c]),
-                   F.struct(F.lit(s).alias("span"), columns[c].alias("v")))
-            for s, ((c, _, _), ids) in enumerate(part)
-        ])
-        cell = F.explode(F.array_compact(tagged)).alias("cell")
-        freq = df.select(cell).groupBy("cell.span", "cell.v").agg(F.count("*").alias("n"))
-        upto = Window.partitionBy("span").orderBy("v")
-        freq = freq.withColumn("upto", F.sum("n").over(upto))
-        wanted = [
-            (F.col("span") == s)
-            & (F.col("upto") > regions[i].rank - regions[i].below)
-            & (F.col("upto") - F.col("n") <= regions[i].rank - regions[i].below)
-            for s, (_, ids) in enumerate(part)
-            for i in ids
-        ]
-        cond = wanted[0]
-        for w in wanted[1:]:
-            cond = cond | w
-        rows = freq.where(cond).collect()  # one row per wanted rank at most
-        for s, (_, ids) in enumerate(part):
-            for i in ids:
-                k = regions[i].rank - regions[i].below
-                hit = [r for r in rows if r["span"] == s and r["upto"] - r["n"] <= k < r["upto"]]
-                regions[i].answer = hit[0]["v"]
-                regions[i].solved = True
+        found[r.column].update({k: got[str(i)].values[k - r.below] for k in r.ranks})
+
+
+@dataclass
+class Scan:
+    """What to learn about one column: its distinct count and the values at some ranks."""
+    value: Column
+    ranks: list[int] = field(default_factory=list)
+
+
+@dataclass
+class Scanned:
+    distinct: int
+    values: dict[int, object]
+
+
+def scan_columns(df: DataFrame, scans: dict[str, Scan]) -> dict[str, Scanned]:
+    """Distinct counts, and values at ranks, from the value counts of each column.
+
+    Every column is its own typed ``groupBy`` branch of one job: a columnar source is
+    read once in total, equal values are combined before the shuffle, and nothing is
+    unpivoted or turned into text. Ranks sort the distinct values of their column in
+    one task, so callers pass them only for columns (or regions) of bounded size.
+    """
+    out: dict[str, Scanned] = {}
+    for part in chunks(list(scans.items())):
+        branches = []
+        for i, (_, scan) in enumerate(part):
+            freq = df.select(scan.value.alias("v")).where("v is not null").groupBy("v").agg(
+                F.count("*").alias("n"))
+            if scan.ranks:
+                upto = F.sum("n").over(Window.partitionBy(F.lit(i)).orderBy("v"))
+                freq = freq.withColumn("upto", upto)
+                at = [F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k), F.col("v")))
+                      for k in scan.ranks]
+                kind = "long" if dict(freq.dtypes)["v"] in ("tinyint", "smallint", "int", "bigint") else "double"
+                at = [a.cast(kind) for a in at]
+                longs = F.array(*at) if kind == "long" else F.lit(None).cast("array<bigint>")
+                reals = F.array(*at) if kind == "double" else F.lit(None).cast("array<double>")
+            else:
+                longs, reals = F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<double>")
+            branches.append(freq.agg(F.count("*").alias("d"), longs.alias("longs"), reals.alias("reals"))
+                            .select(F.lit(i).alias("i"), "d", "longs", "reals"))
+        rows = functools.reduce(DataFrame.unionByName, branches).collect()  # one row per column
+        for r in rows:
+            name, scan = part[r["i"]]
+            values = r["longs"] if r["longs"] is not None else r["reals"]
+            out[name] = Scanned(r["d"], dict(zip(scan.ranks, values or [])))
+    return out
+
+
+def quantile_ranks(size: int, probs: list[float]) -> list[int]:
+    """Ranks whose values the interpolated quantiles need."""
+    spots = [(size - 1) * p for p in probs]
+    return sorted({r for h in spots for r in (math.floor(h), math.ceil(h))}) if size else []
+
+
+def interpolate(size: int, probs: list[float], values: dict[int, object]) -> list:
+    """Linear interpolation between the two ranks around each quantile."""
+    out = []
+    for p in probs:
+        h = (size - 1) * p
+        a, b = (float(values[r]) for r in (math.floor(h), math.ceil(h)))
+        out.append(a if a == b else a + (b - a) * (h - math.floor(h)))
+    return out
 
 
 def exact_quantiles(
@@ -173,21 +227,13 @@ def exact_quantiles(
     """Linearly interpolated quantiles of each column, exact at any size."""
     live = {c: x for c, x in columns.items() if sizes[c] > 0}
     out: dict[str, list] = {c: [None] * len(probs) for c in columns}
+    ranks = {c: quantile_ranks(sizes[c], probs) for c in live}
     if n_rows <= single_task_rows:
-        got = agg_row(df, {c: F.percentile(x, F.array(*map(F.lit, probs))) for c, x in live.items()},
-                      chunk=AGG_CHUNK)
-        out.update({c: list(v) for c, v in got.items()})
-        return out
-    ranks: dict[str, list[int]] = {}
-    for c in live:
-        spots = [(sizes[c] - 1) * p for p in probs]
-        ranks[c] = [r for h in spots for r in (math.floor(h), math.ceil(h))]
-    found = order_statistics(df, live, ranks, sizes, single_task_rows)
-    for c in live:
-        for j, p in enumerate(probs):
-            h = (sizes[c] - 1) * p
-            a, b = found[c][math.floor(h)], found[c][math.ceil(h)]
-            out[c][j] = float(a) if a == b else float(a) + (float(b) - float(a)) * (h - math.floor(h))
+        got = scan_columns(df, {c: Scan(x, ranks[c]) for c, x in live.items()})
+        found = {c: s.values for c, s in got.items()}
+    else:
+        found = order_statistics(df, live, ranks, sizes, single_task_rows)
+    out.update({c: interpolate(sizes[c], probs, found[c]) for c in live})
     return out
 
 

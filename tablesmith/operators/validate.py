@@ -142,11 +142,12 @@ def normalize_reports(reports: DataFrame) -> DataFrame:
 
 
 def validation_summary(reports: DataFrame) -> DataFrame:
-    """Tallies per status and the names behind them (one row per status)."""
+    """Tallies per status; the reports of one status are a filter on ``validation_status``."""
     return reports.groupBy("validation_status").agg(
         F.count("*").alias("datasets"),
+        F.count_if("is_valid").alias("valid_datasets"),
         F.coalesce(F.sum(F.size("errors")), F.lit(0)).cast("long").alias("errors_count"),
-        F.array_sort(F.collect_list("name")).alias("names"))
+        F.coalesce(F.sum(F.size("warnings")), F.lit(0)).cast("long").alias("warnings_count"))
 
 
 def unvalidated(raw_files: DataFrame, schemas: DataFrame, reports: DataFrame) -> DataFrame:

@@ -51,6 +51,14 @@ def _valid(names: Column, kind: str | None = None, drop: Column | None = None) -
     return F.array_distinct(F.filter(names, keep))
 
 
+def filter_columns(df: DataFrame, names: Column, target: Column, kind: str | None = None,
+                   excluded: Column | None = None, out: str = "filtered") -> DataFrame:
+    """Keep the listed names that exist in ``cols`` (see ``dataset_facts``), have the right
+    type and are neither the target nor excluded; an absent list gives an empty one."""
+    kept = F.coalesce(_valid(names, kind, excluded), F.array().cast("array<string>"))
+    return df.withColumn("target", target).withColumn(out, kept).drop("target")
+
+
 def _allowed(value: Column, allowed: list[str], default: str) -> Column:
     v = F.lower(value)
     return F.when(v.isin(allowed), v).otherwise(default)

@@ -138,12 +138,12 @@ def pair_prompts(metadata: DataFrame, p: DataFrame, targets: DataFrame) -> DataF
 
 def _pieces(name: Column, lengths: list[int]) -> Column:
     """Every substring of the given lengths."""
-    cut = [
-        F.when(F.length(name) >= n, F.transform(
-            F.sequence(F.lit(1), F.length(name) - n + 1), lambda i, n=n: F.substring(name, i, F.lit(n))))
-        .otherwise(F.array().cast("array<string>")) for n in lengths
-    ]
-    return F.array_distinct(F.flatten(F.array(*cut)))
+    def cut(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(name) - n + 1)
+        return F.when(F.length(name) >= n, F.transform(starts, lambda i: F.substring(name, i, F.lit(n)))
+                      ).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(*[cut(n) for n in lengths])))
 
 
 def _contained(wanted: DataFrame, key: str, files: DataFrame, name: Column) -> DataFrame:
