@@ -16,6 +16,7 @@ from tablesmith.operators.profile import dataset_totals, profile, quality_score
 from tablesmith.operators.validate import validate
 from tablesmith.plans.normalize import dispatch
 from tablesmith.plans.rules import rule_plans
+from tablesmith.session import cut_lineage
 from tablesmith.sources import registry
 from tablesmith.streaming.landing import ROW_ID, ingest
 
@@ -87,7 +88,7 @@ def prepare(spark: SparkSession, path: str, root: str, target: str | None = None
     goal = chosen.first()
     facts = data_facts(data, dataset, goal["target_column"]) if goal and goal["target_column"] else {}
     rules = rule_plans(p, chosen, **facts)
-    plan = dispatch(p, outputs, rules)
+    plan = cut_lineage(dispatch(p, outputs, rules))  # one row, read several times below
     _register(spark, root, m, dataset, plan)
     return Prepared(metadata, data, texts, meta, report, plan, rules)
 

@@ -9,6 +9,7 @@ from tablesmith.operators.infer import dispatch_scores, dispatch_target
 from tablesmith.plans import contract as C
 from tablesmith.plans.repair import parse_outputs
 from tablesmith.plans.rules import rule_plans, rule_proposal
+from tablesmith.session import cut_lineage
 
 
 def dataset_facts(p: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def normalize(proposals: DataFrame) -> DataFrame:
                    ).otherwise(default(lambda x: plain(x) & ~x["is_numeric"]))
     df = df.withColumn("one_hot_columns", one_hot)
     return df.select(
-        "dataset", "cols", "best_target", "source", "parse_status",
+        *[c for c in ("dataset", "cols", "best_target", "source", "parse_status", "priority") if c in proposals.columns],
         F.col("task").alias("task_type"), F.col("target").alias("target_column"),
         "drop_columns",
         _allowed(imp["numeric_strategy"], C.NUMERIC_STRATEGIES, "median").alias("numeric_strategy"),
@@ -150,8 +151,8 @@ PROTECTED = ["drop_columns", "numeric_columns", "categorical_columns", "one_hot_
              "label_encoding_columns", "scaling_columns"]
 
 
-def plan_reasons(strict: bool) -> Column:
-    """Why a plan is refused; an empty array means it is valid."""
+def plan_reasons(strict: Column) -> Column:
+    """Why a plan is refused; an empty array means it is valid. ``strict`` also refuses weak parses."""
     target, fact, best = F.col("target_column"), _fact(F.col("target_column")), _fact(F.col("best_target"))
     expected = F.when(fact["is_numeric"] & (fact["unique_count"] > 10), "regression").otherwise("classification")
     exists = fact.isNotNull()
@@ -172,13 +173,13 @@ def plan_reasons(strict: bool) -> Column:
     reasons += [F.when(F.array_contains(c, target),
                        F.concat(F.lit("Target column appears inside preprocessing list: "), target))
                 for c in PROTECTED]
-    if strict:
-        reasons.append(F.when(F.col("parse_status").isin(C.WEAK_STATUSES),
-                              F.concat(F.lit("Transformer output incomplete or weak: "), F.col("parse_status"))))
+    reasons.append(F.when(strict & F.col("parse_status").isin(C.WEAK_STATUSES),
+                          F.concat(F.lit("Transformer output incomplete or weak: "), F.col("parse_status"))))
     return F.array_compact(F.array(*reasons))
 
 
-def validate_plans(plans: DataFrame, strict: bool = False) -> DataFrame:
+def validate_plans(plans: DataFrame, strict: bool | Column = False) -> DataFrame:
+    strict = F.lit(strict) if isinstance(strict, bool) else strict
     return plans.withColumn("reasons", plan_reasons(strict)).withColumn("is_valid", F.size("reasons") == 0)
 
 
@@ -238,19 +239,17 @@ def dispatch(
 
     All datasets go through in one job; the candidates are rows ranked by priority.
     """
-    facts = dataset_facts(p)
+    facts = cut_lineage(dataset_facts(p))  # three branches start from it
     outputs = outputs if outputs is not None else p.sparkSession.createDataFrame(
         [], "dataset string, raw_output string")
     rules = rules if rules is not None else rule_plans(p)
-    model = validate_plans(normalize(model_proposals(facts, outputs)), strict=True)
-    rule = validate_plans(normalize(rule_proposals(facts, rules)))
-    last = normalize(default_proposals(facts)).withColumns(
-        {"reasons": F.array().cast("array<string>"), "is_valid": F.lit(True)})
-    ranked = (
-        model.withColumn("priority", F.lit(1))
-        .unionByName(rule.withColumn("priority", F.lit(2)))
-        .unionByName(last.withColumn("priority", F.lit(3)))
+    proposals = (
+        model_proposals(facts, outputs).withColumn("priority", F.lit(1))
+        .unionByName(rule_proposals(facts, rules).withColumn("priority", F.lit(2)))
+        .unionByName(default_proposals(facts).withColumn("priority", F.lit(3)))
     )
+    ranked = validate_plans(normalize(proposals), F.col("priority") == 1).withColumn(
+        "is_valid", F.col("is_valid") | (F.col("priority") == 3))  # the defaults are never refused
     fields = [c for c in ranked.columns if c != "dataset"]
     chosen = ranked.groupBy("dataset").agg(
         F.min_by(F.struct(*fields), F.when(F.col("is_valid"), F.col("priority"))).alias("plan"),

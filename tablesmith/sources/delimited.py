@@ -29,8 +29,9 @@ NA_TOKENS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 FILE_TYPES = [".csv", ".xlsx", ".xls"]
+# the CSV source reads UTF and Latin-1 only; the other one-byte sets are mapped from Latin-1 below
 JVM_CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1", "latin1": "ISO-8859-1",
-                "cp1252": "windows-1252", "iso-8859-1": "ISO-8859-1", "mac_roman": "x-MacRoman"}
+                "cp1252": "ISO-8859-1", "iso-8859-1": "ISO-8859-1", "mac_roman": "ISO-8859-1"}
 STRATEGIES = ["sniff", "first_line", "schema_match", "first_multicolumn", "encoding_only"]
 # -----------------------------------------------------------------------------------
 
@@ -133,6 +134,13 @@ def field_count(line: Column, sep: str) -> Column:
     return F.regexp_count(bare, F.lit(re.escape(sep) if sep != "\t" else "\t")) + 1
 
 
+def byte_map(encoding: str) -> tuple[str, str]:
+    """Characters that differ between Latin-1 and another one-byte encoding, as a translation."""
+    pairs = [(bytes([b]).decode("latin-1"), bytes([b]).decode(encoding, errors="replace")) for b in range(128, 256)]
+    pairs = [(a, c) for a, c in pairs if a != c and c != "\ufffd"]
+    return "".join(a for a, _ in pairs), "".join(c for _, c in pairs)
+
+
 def scan_text(spark: SparkSession, path: str, names: list[str], sep: str, encoding: str,
               multi_line: bool = False) -> DataFrame:
     """All cells as text; rows with too many fields are dropped, short rows padded with nulls."""
@@ -147,7 +155,13 @@ def scan_text(spark: SparkSession, path: str, names: list[str], sep: str, encodi
         .csv(path)
     )
     too_long = F.col(CORRUPT).isNotNull() & (field_count(F.col(CORRUPT), sep) > len(names))
-    return raw.where(~too_long).drop(CORRUPT)
+    # a query may not read the corrupt-record column alone: the filter names a data column too
+    some_cell = F.coalesce(F.length(quoted(names[0])), F.lit(0)) >= 0
+    rows = raw.where(some_cell & ~too_long).drop(CORRUPT)
+    if encoding in ("cp1252", "mac_roman"):
+        latin, wanted = byte_map(encoding)
+        rows = rows.select(*[F.translate(quoted(n), latin, wanted).alias(n) for n in names])
+    return rows
 
 
 def clean_tokens(df: DataFrame) -> DataFrame:

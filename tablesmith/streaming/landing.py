@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,10 +83,9 @@ def ingest_paths(spark: SparkSession, paths: list[str], root: str, strategy: str
 
 
 def folder_files(spark: SparkSession, folder: str) -> list[str]:
-    """Paths of the supported files of a folder (names only, contents are not read)."""
-    files = spark.read.format("binaryFile").load(folder).select("path")
-    supported = F.lower("path").rlike("(" + "|".join(t.replace(".", r"\.") for t in FILE_TYPES) + ")$")
-    return [r[0] for r in files.where(supported).orderBy("path").collect()]
+    """Paths of the supported files of a folder, empty ones included (names only)."""
+    names = sorted(unquote(p) for p in spark.read.format("binaryFile").load(folder).inputFiles())
+    return [n for n in names if n.lower().endswith(tuple(FILE_TYPES))]
 
 
 def ingest_folder(spark: SparkSession, folder: str, root: str, strategy: str = "sniff") -> DataFrame:
