@@ -100,10 +100,12 @@ def header_names(line: str, sep: str) -> list[str]:
 
 
 def sniff_separator(line: str) -> str:
+    """Guess from one line; a letter or digit is never a separator."""
     try:
-        return csv.Sniffer().sniff(line).delimiter
+        found = csv.Sniffer().sniff(line).delimiter
     except csv.Error:
         return ","
+    return "," if found.isalnum() else found
 
 
 def choose_separator(spark: SparkSession, line: str, strategy: str, expected: list[str] | None,
