@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tablesmith.functions.names import is_drop_id
 from tablesmith.functions.numeric import (
-    as_double, is_numeric_type, is_time_type, observed, quoted, value_text, zero_if_infinite,
+    as_double, is_nested_type, is_numeric_type, is_time_type, observed, quoted, value_text, zero_if_infinite,
 )
 from tablesmith.operators.infer import (
     FEATURE_BAD, FEATURE_TARGETS, detect_time_column, parse_time,
@@ -25,7 +25,7 @@ from tablesmith.operators.lookup import attach, lookup_size
 from tablesmith.operators.profile import value_counts
 from tablesmith.operators.ranks import agg_row, exact_quantiles, global_row_number
 from tablesmith.operators.split import split_random, split_stratified, split_time, tie_order
-from tablesmith.session import BROADCAST_ROWS, cut_lineage
+from tablesmith.session import cut_lineage
 
 ENCODE_LEVELS = 10     # numeric columns with at most this many levels are encoded
 TRACKED_LEVELS = 100   # largest level count any rule asks about
@@ -38,8 +38,8 @@ def level_sketches(df: DataFrame, columns: list[str]) -> dict[str, Column]:
     """Sketch of the distinct count of each column, to be evaluated with other aggregates."""
     return {
         f.name: F.approx_count_distinct(
-            observed(f.name, f.dataType) if is_numeric_type(f.dataType)
-            else value_text(quoted(f.name), f.dataType), HLL_RSD)
+            value_text(quoted(f.name), f.dataType) if is_nested_type(f.dataType)
+            else observed(f.name, f.dataType), HLL_RSD)
         for f in df.schema.fields if f.name in columns
     }
 
@@ -179,12 +179,12 @@ class Codes:
 def dictionary(df: DataFrame, column: str, text: Column | None = None) -> DataFrame:
     """(text, n, code): sorted distinct texts of a column numbered from 0.
 
-    Codes are given on the distinct values only, split by value ranges when many.
+    Codes are given on the distinct values only, split by value ranges when many. The
+    counts are stored once: sizes, scaler and join all read them again.
     """
     text = value_text(quoted(column), df.schema[column].dataType) if text is None else text
     counts = df.where(text.isNotNull()).groupBy(text.alias("text")).agg(F.count("*").alias("n"))
-    if counts.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        counts = cut_lineage(counts)
+    counts = cut_lineage(counts)
     return global_row_number(counts, F.col("text"), counts.count(), "code")
 
 
