@@ -123,15 +123,14 @@ def profile_sql(relations: dict[str, str] | None = None) -> str:
 PROFILE_OUT = (
     "dataset, ordinal::BIGINT AS ordinal, name, dtype, n::BIGINT AS row_count, miss::BIGINT AS missing_count, "
     f"{r6('pct')} AS missing_percentage, uniq::BIGINT AS unique_count, {r6('mn')} AS min, {r6('mx')} AS max, "
-    "(round(mean, 3) + 0.0) AS mean, (round(skew, 3) + 0.0) AS skewness, outl::BIGINT AS outlier_count"
+    "(round(mean, 3) + 0.0) AS mean, (round(skew, 4) + 0.0) AS skewness, outl::BIGINT AS outlier_count"
 )
 
 
 def profile_out(p: DataFrame) -> DataFrame:
     return plain(p.select(
         "dataset", "ordinal", "name", "dtype", "row_count", "missing_count", "missing_percentage", "unique_count",
-        "min", "max", F.round("mean", 3).alias("mean"), F.round("raw_skewness", 3).alias("skewness")
-        if "raw_skewness" in p.columns else F.round("skewness", 3).alias("skewness"), "outlier_count"))
+        "min", "max", F.round("mean", 3).alias("mean"), "skewness", "outlier_count"))
 
 
 # --- name rules in SQL ---------------------------------------------------------------------------

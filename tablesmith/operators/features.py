@@ -459,7 +459,11 @@ def _free_keys(keys: list[str], kept: list[str]) -> bool:
 
 def _add_split(rows: DataFrame, target: str, task: str, chronological: bool, n: int) -> DataFrame:
     if chronological:
-        return split_time(rows, F.col("_time"), tie_order(["_key"]), n_rows=n)
+        key = rows.schema["_key"].dataType
+        whole = len(key) == 1 and isinstance(key[0].dataType, T.IntegralType)
+        # equal times go by the row key itself where it is one whole number
+        tie = F.col("_key").getField(key[0].name).cast("long") if whole else tie_order(["_key"])
+        return split_time(rows, F.col("_time"), tie, n_rows=n)
     flat = rows.withColumn("_row", F.to_json("_key"))
     done = (split_stratified(flat, target, ["_row"]) if task == "classification"
             else split_random(flat, ["_row"], n_rows=n))

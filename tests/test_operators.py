@@ -214,3 +214,12 @@ def test_time_columns(spark):
         assert time_frequency(time_steps(weekly, "t", F.col("id"), bucket_rows=rows)).first()["frequency"] == "weekly"
     back = time_frequency(time_steps(weekly, "t", -F.col("id"))).first()["frequency"]
     assert back == "irregular"  # falling order, steps of minus a week
+
+
+def test_chronological_build_orders_equal_times_by_the_key(spark):
+    df = spark.range(100).select(
+        F.col("id").alias("row"), F.timestamp_seconds((F.col("id") % 2) * 86400).alias("date"),
+        (F.col("id") * 31 % 97).alias("amount"), (F.col("id") % 3).alias("label"))
+    b = fe.build_features(df, ["row"], {"target_column": "row", "task_type": "regression"})
+    test = sorted(r["row"] for r in b.frame.where("split = 'test'").collect())
+    assert b.time_column == "date" and test == list(range(61, 100, 2))
