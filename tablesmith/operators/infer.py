@@ -307,14 +307,13 @@ def time_steps(df: DataFrame, column: str, position: Column, n_rows: int | None
         .groupBy("step").agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), F.asc("step")).limit(1)
     )
-    broken = df.agg(F.count_if(bad).alias("bad_cells"))
-    one = flags.crossJoin(F.broadcast(broken))  # single rows
-    return one.join(F.broadcast(steps), F.lit(True), "left").select(
-        F.lit(column).alias("time_column"),
-        ((F.col("rising") | F.col("falling")) & F.col("no_gaps")).alias("is_monotonic"),
-        F.col("step").alias("modal_step_micros"), step_label(F.col("step")).alias("step_label"),
-        F.col("bad_cells"),
-    )
+    # three single rows: two flags, the count of unreadable cells, the leading step
+    order, bad_cells, step = flags.first(), df.agg(F.count_if(bad)).first()[0], steps.first()
+    monotonic = order["no_gaps"] and (order["rising"] or order["falling"])
+    row = [(column, monotonic, step["step"] if step else None, bad_cells)]
+    return df.sparkSession.createDataFrame(
+        row, "time_column string, is_monotonic boolean, modal_step_micros long, bad_cells long",
+    ).withColumn("step_label", step_label(F.col("modal_step_micros")))
 
 
 def time_frequency(steps: DataFrame) -> DataFrame:

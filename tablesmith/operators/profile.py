@@ -284,12 +284,11 @@ def quick_profile(df: DataFrame) -> DataFrame:
 def target_distribution(df: DataFrame, target: str, top: int = 5) -> DataFrame:
     """Most frequent classes with their share of all rows; equal counts by value."""
     counts = df.groupBy(quoted(target).alias("value")).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*").alias("total"))  # one row
+    total = df.count()
     return (
         counts.where(F.col("value").isNotNull())
         .orderBy(F.desc("n"), F.asc("value")).limit(top)
-        .crossJoin(F.broadcast(total))
-        .select("value", "n", F.round(F.col("n") * 100.0 / F.col("total"), 1).alias("pct"))
+        .select("value", "n", F.round(F.col("n") * 100.0 / F.lit(total), 1).alias("pct"))
     )
 
 

@@ -106,7 +106,7 @@ def class_quotas(df: DataFrame, target: str, test_size: float = TEST_SIZE) -> tu
 
 def split_stratified(df: DataFrame, target: str, keys: list[str], test_size: float = TEST_SIZE,
                      seed: int = SEED, bucket_rows: int = 200_000) -> DataFrame:
-    """Per-class split in hash order; falls back to a random split like the reference.
+    """Per-class split in hash order; falls back to a random split.
 
     The fall-back applies when a class has one row or either side is smaller than
     the number of classes. Classes larger than ``bucket_rows`` are counted per hash
