@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import QUERY_MODULES, entry
 from compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -16,14 +16,17 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+NAMES = [name for m in QUERY_MODULES for name in m.QUERIES]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
     ok, note = compare(spark, con, name, SF)
     assert ok, note
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert {name for m in QUERY_MODULES for name in m.ORACLES} == set(NAMES)
 
 
 def test_entry(spark):
