@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablesmith.llm.bpe import encode_documents
 from tablesmith.llm.packing import pack_documents
+from tablesmith.llm.quality import measure
 from tablesmith.llm.sharding import shard_documents
+from tablesmith.llm.warc import round_trip
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,6 +20,15 @@ def op1_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return shard_documents(_table(spark, sf, "documents"), 40)
 
 
+def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return round_trip(_table(spark, sf, "pages"))
+
+
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return measure(docs, _table(spark, sf, "labels")).drop("text")
+
+
 def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -28,5 +39,5 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op6_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_warc, op4_quality, op6_bpe, op10_packing)}
 ORACLES: dict[str, str] = {}
