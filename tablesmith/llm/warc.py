@@ -75,11 +75,12 @@ def parse(data: bytes) -> dict:
 def _first_holders(pages: DataFrame, least: int) -> DataFrame:
     """For payloads that occur more than once: digest, the smallest page_id (nulls last) and how often it occurs itself."""
     narrow = pages.select(F.col("page_id"), F.sha1(F.col("payload")).alias("sha"), F.octet_length("payload").alias("size"))
-    per_page = narrow.where(F.col("size") >= least).groupBy("sha", "page_id").agg(F.count("*").alias("n"))
+    per_page = narrow.where(F.col("size") >= least).groupBy("sha", "page_id").agg(F.count("*").alias("n"), F.min("url").alias("url"))
     return per_page.groupBy("sha").agg(
-        F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.col("n").alias("n"))).alias("first"),
+        F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.col("n").alias("n"),
+                       F.col("url").alias("url"))).alias("first"),
         F.sum("n").alias("all"),
-    ).where("all > 1").select("sha", F.col("first.id").alias("first_id"), F.col("first.n").alias("first_n"))
+    ).where("all > 1").select("sha", F.col("first.id").alias("first_id"), F.col("first.n").alias("first_n"), F.col("first.url").alias("first_url"))
 
 
 def write(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> DataFrame:
@@ -87,7 +88,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> DataFrame:
 
     Of records with equal payloads of at least ``least`` bytes that with the smallest page_id is the
     response. A null html counts as empty. Repeated rows get a record each: of rows alike in page_id and
-    html one is the response. File names carry the task attempt, so a retried task leaves at
+    html one with the first URL is the response. File names carry the task attempt, so a retried task leaves at
     worst a file that no index row names. Columns besides page_id, url and html are not read.
     """
     spark = pages.sparkSession
@@ -95,7 +96,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     firsts = store(_first_holders(pages, least), f"{folder}/firsts")
     # Its written size decides between broadcast and a shuffle whose large keys Spark splits.
-    rows = pages.withColumn("sha", F.sha1("payload")).join(firsts, "sha", "left").withColumn("copy", F.lit(0))
+    rows = pages.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload")).join(firsts, "sha", "left").withColumn("copy", F.lit(0))
     holder = F.col("page_id").eqNullSafe(F.col("first_id"))
     tied = F.coalesce(F.col("first_n") > 1, F.lit(False)) & holder
     later = F.col("first_n").isNotNull() & ~holder
@@ -103,15 +104,14 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_BYTES) -> DataFrame:
     if firsts.where("first_n > 1").isEmpty():
         every = plain
     else:  # rows alike in page_id and html: counted before they meet, then dealt out again
-        alike = rows.where(tied).groupBy("sha", "page_id").agg(
-            *[F.first(c).alias(c) for c in ("url", "payload", "first_id", "first_n")], F.count("*").alias("n"))
+        alike = rows.where(tied).groupBy("sha", "page_id", "url").agg(
+            *[F.first(c).alias(c) for c in ("payload", "size", "first_id", "first_url")], F.count("*").alias("n"))
         copies = alike.select("*", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("copy")).drop("n")
-        copies = copies.withColumn("revisit", F.col("copy") > 0).withColumn(
-            "payload", F.when(F.col("copy") == 0, F.col("payload")))
+        copies = copies.withColumn("revisit", (F.col("copy") > 0) | ~F.col("url").eqNullSafe(F.col("first_url")))
         every = plain.unionByName(copies, allowMissingColumns=True)
     every = every.select(
         "page_id", "url", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), "sha",
-        F.coalesce(F.octet_length("payload"), F.lit(0)).alias("size"), F.when(F.col("revisit"), F.col("first_id")).alias("refers_to"), "copy")
+        "size", F.when(F.col("revisit"), F.col("first_id")).alias("refers_to"), "copy")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{folder}/archives/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
