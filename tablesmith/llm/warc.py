@@ -74,7 +74,7 @@ def parse(data: bytes) -> dict:
 
 def _first_holders(pages: DataFrame, least: int) -> DataFrame:
     """For payloads that occur more than once: digest, the smallest page_id (nulls last) and how often it occurs itself."""
-    narrow = pages.select(F.col("page_id"), F.sha1(F.col("payload")).alias("sha"), F.octet_length("payload").alias("size"))
+    narrow = pages.select("page_id", "url", F.sha1(F.col("payload")).alias("sha"), F.octet_length("payload").alias("size"))
     per_page = narrow.where(F.col("size") >= least).groupBy("sha", "page_id").agg(F.count("*").alias("n"), F.min("url").alias("url"))
     return per_page.groupBy("sha").agg(
         F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.col("n").alias("n"),
