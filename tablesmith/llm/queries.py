@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablesmith.llm.bpe import encode_documents
 from tablesmith.llm.packing import pack_documents
 from tablesmith.llm.quality import measure
 from tablesmith.llm.sharding import shard_documents
+from tablesmith.llm.topk import top_k
 from tablesmith.llm.warc import round_trip
 
 
@@ -20,6 +22,10 @@ def op1_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return shard_documents(_table(spark, sf, "documents"), 40)
 
 
+def op2_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k(_table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
     return round_trip(_table(spark, sf, "pages"))
 
@@ -39,5 +45,19 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_warc, op4_quality, op6_bpe, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk, op3_warc, op4_quality, op6_bpe, op10_packing)}
+ORACLES = {
+    "op2_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+}
