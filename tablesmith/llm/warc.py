@@ -173,6 +173,8 @@ def read(index: DataFrame, payloads: bool = False) -> DataFrame:
         return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     spans = index.select("file", "offset", "length", F.expr(f"offset div {SPAN}").alias("span"))
+    # As many tasks as spans: index rows are far smaller than what they point to.
+    spans = spans.repartition(max(1, spans.select("file", "span").distinct().count()), "file", "span")
     return spans.groupBy("file", "span").applyInPandas(
         fetch, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
         + ", payload binary" * payloads)
