@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesmith.llm.bpe import encode_documents
+from tablesmith.llm.chains import repeated_passages
 from tablesmith.llm.minhash import near_duplicates
 from tablesmith.llm.packing import pack_documents
 from tablesmith.llm.quality import measure
@@ -44,13 +45,17 @@ def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_substring(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(
         _table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk, op3_warc, op4_quality, op5_minhash, op6_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk, op3_warc, op4_quality, op5_minhash, op6_bpe, op7_substring, op10_packing)}
 ORACLES = {
     "op2_topk": """
 WITH v AS (
