@@ -14,6 +14,7 @@ from tablesmith.llm.quality import measure
 from tablesmith.llm.sharding import shard_documents
 from tablesmith.llm.topk import top_k
 from tablesmith.llm.warc import round_trip
+from tablesmith.llm.wrappers import main_text
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -49,13 +50,17 @@ def op7_substring(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_passages(_table(spark, sf, "documents"))
 
 
+def op8_html(spark: SparkSession, sf: str) -> DataFrame:
+    return main_text(_table(spark, sf, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(
         _table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk, op3_warc, op4_quality, op5_minhash, op6_bpe, op7_substring, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk, op3_warc, op4_quality, op5_minhash, op6_bpe, op7_substring, op8_html, op10_packing)}
 ORACLES = {
     "op2_topk": """
 WITH v AS (
