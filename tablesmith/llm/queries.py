@@ -10,6 +10,7 @@ from tablesmith.llm.bpe import encode_documents
 from tablesmith.llm.chains import repeated_passages
 from tablesmith.llm.minhash import near_duplicates
 from tablesmith.llm.packing import pack_documents
+from tablesmith.llm.private import report
 from tablesmith.llm.quality import measure
 from tablesmith.llm.sharding import shard_documents
 from tablesmith.llm.topk import top_k
@@ -54,13 +55,17 @@ def op8_html(spark: SparkSession, sf: str) -> DataFrame:
     return main_text(_table(spark, sf, "pages"))
 
 
+def op9_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return report(_table(spark, sf, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(
         _table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk, op3_warc, op4_quality, op5_minhash, op6_bpe, op7_substring, op8_html, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk, op3_warc, op4_quality, op5_minhash, op6_bpe, op7_substring, op8_html, op9_pii, op10_packing)}
 ORACLES = {
     "op2_topk": """
 WITH v AS (
