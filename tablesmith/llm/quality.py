@@ -18,8 +18,8 @@ from tablesmith.llm.shared import BLANK, col, fresh
 BUCKETS = 16_384
 #: Labelled rows that the target is fitted on, at most; the first by the hash of their id.
 TRUSTED_ROWS = 20_000
-#: Added to each bucket's count in both multinomials.
-SMOOTH = 1.0
+#: Added to a bucket's target count and to the count that the raw share would give it, so that rare buckets weigh little.
+SMOOTH = 10.0
 #: Lowest mean log-likelihood ratio of a kept document, in millionths.
 THRESHOLD = -90_000
 
@@ -86,9 +86,8 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataF
     lists = filled.agg(
         F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"),
         F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("b"))
-    chance = lambda n, total: (n + SMOOTH) / (total + SMOOTH * buckets)
-    ratio = F.transform("b", lambda x: F.round(1e6 * F.log(
-        chance(x["target"], F.col("all_target")) / chance(x["raw"], F.col("all_raw")))).cast("long"))
+    expected = lambda x: x["raw"] * F.col("all_target") / F.col("all_raw")
+    ratio = F.transform("b", lambda x: F.round(1e6 * F.log((x["target"] + SMOOTH) / (expected(x) + SMOOTH))).cast("long"))
     # Without trusted text there is no target, and every document scores 0.
     none = F.transform("b", lambda x: F.lit(0).cast("long"))
     return lists.select(F.when(F.col("all_target") > 0, ratio).otherwise(none).alias("weights"))
