@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,13 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesmith.functions.numeric import as_double, numeric_columns, quoted, safe_corr
-from tablesmith.operators.ranks import AGG_CHUNK, agg_row, chunks
+from tablesmith.operators.ranks import AGG_CHUNK, chunks
+from tablesmith.session import cut_lineage
 
 LOW_CORRELATION = 0.05
 HIGH_CORRELATION = 0.9
 IMBALANCE_RATIO = 3
-MAX_SQL_PAIRS = 10  # measured: beyond this one co-moment scan beats the many aggregates
-MOMENTS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+MOMENTS = ["n", "mx", "my", "sxx", "syy", "sxy"]
 
 
 def _xs(df: DataFrame, columns: list[str]) -> dict[str, Column]:
@@ -46,44 +44,67 @@ def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return out
 
 
+def _pair_moments(x: np.ndarray) -> dict[str, np.ndarray]:
+    """For all pairs of columns, over the rows that have both: count, means, and sums centred on those means."""
+    k = x.shape[1]
+    have = ~np.isnan(x)
+    filled = np.where(have, x, 0.0)
+    out = {m: np.zeros((k, k)) for m in MOMENTS}
+    for i in range(k):
+        rows = have[:, i]
+        both, a, b = have[rows], filled[rows, i][:, None], filled[rows]
+        n = both.sum(axis=0)
+        safe = np.maximum(n, 1)
+        out["n"][i], out["mx"][i], out["my"][i] = n, (a * both).sum(axis=0) / safe, b.sum(axis=0) / safe
+        da, db = (a - out["mx"][i]) * both, (b - out["my"][i]) * both
+        out["sxx"][i], out["syy"][i], out["sxy"][i] = (da * da).sum(axis=0), (db * db).sum(axis=0), (da * db).sum(axis=0)
+    return out
+
+
+def _merge(a: dict, b: dict) -> dict:
+    """Moments of two groups of rows together."""
+    n = a["n"] + b["n"]
+    share = np.divide(b["n"], n, out=np.zeros_like(n), where=n > 0)
+    dx, dy = b["mx"] - a["mx"], b["my"] - a["my"]
+    weight = a["n"] * share
+    return {"n": n, "mx": a["mx"] + dx * share, "my": a["my"] + dy * share, "sxx": a["sxx"] + b["sxx"] + dx * dx * weight,
+            "syy": a["syy"] + b["syy"] + dy * dy * weight, "sxy": a["sxy"] + b["sxy"] + dx * dy * weight}
+
+
 def gram_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """All pairs of a wide table in one scan.
+    """All pairs of a table in one scan, whatever its width.
 
-    Every task turns its rows into pairwise co-moments (presence masks give the
-    pairwise null deletion); the k*k sums are then added up across tasks. Values
-    are shifted by the column means first, which keeps the sums well conditioned.
+    Every task reduces its rows to each pair's count, means and centred sums over the rows that have
+    both values, so a value far away on other rows costs no digits; tasks are put together around the common means.
     """
     xs = _xs(df, columns)
-    means = agg_row(df, {c: F.avg(x) for c, x in xs.items()})
-    shifted = df.select(*[
-        (xs[c] - F.lit(means[c] or 0.0)).alias(f"x{i}") for i, c in enumerate(columns)])
     k = len(columns)
     first, second = np.triu_indices(k, 1)
 
     def moments(batches):
-        total = np.zeros((6, len(first)))
+        total = None
         for batch in batches:
-            x = batch.to_numpy(dtype=float, na_value=np.nan)
-            m = (~np.isnan(x)).astype(float)
-            x = np.nan_to_num(x)
-            sq = x * x
-            grams = [m.T @ m, x.T @ m, m.T @ x, sq.T @ m, m.T @ sq, x.T @ x]
-            total += np.array([g[first, second] for g in grams])
-        yield pd.DataFrame(np.vstack([first, second, total]).T, columns=list("ij") + MOMENTS)
-
-    schema = "i double, j double, " + ", ".join(f"{c} double" for c in MOMENTS)
-    s = shifted.mapInPandas(moments, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in MOMENTS])
-    n = F.col("n")
-    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
-    vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n)
-    vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
-    tiny = 1e-12
-    flat = (vx <= tiny * F.col("sxx")) | (vy <= tiny * F.col("syy")) | (vx <= 0) | (vy <= 0)
+            part = _pair_moments(batch.to_numpy(dtype=float, na_value=np.nan))
+            total = part if total is None else _merge(total, part)
+        if total is not None:
+            yield pd.DataFrame({"i": first, "j": second} | {m: total[m][first, second] for m in MOMENTS}).query("n > 0")
+
+    schema = "i long, j long, " + ", ".join(f"{c} double" for c in MOMENTS)
+    parts = cut_lineage(df.select(*[xs[c].alias(f"x{i}") for i, c in enumerate(columns)]).mapInPandas(moments, schema))
+    means = parts.groupBy("i", "j").agg(
+        F.sum("n").alias("all"), (F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("ax"), (F.sum(F.col("n") * F.col("my")) / F.sum("n")).alias("ay"))
+    dx, dy = F.col("mx") - F.col("ax"), F.col("my") - F.col("ay")
+    s = parts.join(means, ["i", "j"]).groupBy("i", "j").agg(
+        F.sum(F.col("sxx") + F.col("n") * dx * dx).alias("sxx"), F.sum(F.col("syy") + F.col("n") * dy * dy).alias("syy"),
+        F.sum(F.col("sxy") + F.col("n") * dx * dy).alias("sxy"), F.first("all").alias("n"), F.first("ax").alias("ax"), F.first("ay").alias("ay"))
+    # What rounding alone leaves of a constant column is no spread.
+    noise = lambda mean: 1e-28 * F.col("n") * F.col(mean) * F.col(mean)
+    flat = (F.col("sxx") <= noise("ax")) | (F.col("syy") <= noise("ay"))
     names = F.array(*[F.lit(c) for c in columns])
-    i, j = F.col("i").cast("int"), F.col("j").cast("int")
     return s.select(
-        (i * k + j).alias("ordinal"), F.get(names, i).alias("col1"), F.get(names, j).alias("col2"),
-        F.when(~flat, F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy))).alias("correlation"))
+        (F.col("i") * k + F.col("j")).alias("ordinal"), F.get(names, F.col("i").cast("int")).alias("col1"),
+        F.get(names, F.col("j").cast("int")).alias("col2"),
+        F.when(~flat, F.try_divide("sxy", F.sqrt("sxx") * F.sqrt("syy"))).alias("correlation"))
 
 
 def low_correlation(df: DataFrame, target: str, threshold: float = LOW_CORRELATION) -> DataFrame:
@@ -101,11 +122,10 @@ def high_correlation(df: DataFrame, threshold: float = HIGH_CORRELATION,
                      columns: list[str] | None = None) -> DataFrame:
     """Pairs with |r| above the threshold in column order; the second is the one to drop."""
     names = columns or numeric_columns(df)
-    pairs = list(combinations(names, 2))
-    if not pairs:
+    if len(names) < 2:
         return df.sparkSession.createDataFrame(
             [], "ordinal int, col1 string, col2 string, correlation double")
-    r = pair_correlations(df, pairs) if len(pairs) <= MAX_SQL_PAIRS else gram_correlations(df, names)
+    r = gram_correlations(df, names)
     return r.where(F.abs("correlation") > threshold).withColumn(
         "correlation", F.round("correlation", 3))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.session import BROADCAST_BYTES, BROADCAST_ROWS
+from tablesmith.session import BROADCAST_BYTES, BROADCAST_ROWS, free_names
 
 HEAVY_SHARE = 1e-3
 
@@ -36,24 +36,25 @@ def attach(
 ) -> DataFrame:
     """Left-join ``values`` of ``lookup`` (unique ``lookup_key``, row count ``n``) onto ``df``."""
     n_keys, n_bytes, n_rows = size or lookup_size(lookup, lookup_key)
-    slim = lookup.select(F.col(lookup_key).alias("_lk"), "n", *[F.col(v) for v in values])
-    rows = df.withColumn("_k", key)
+    k, lk, hk, hot_name, salt, lsalt, k2, n = free_names(
+        df, *(f"_{x}_{'_'.join(values)}" for x in ("k", "lk", "hk", "hot", "salt", "lsalt", "k2", "n")))
+    slim = lookup.select(F.col(lookup_key).alias(lk), F.col("n").alias(n), *[F.col(v) for v in values])
+    rows = df.withColumn(k, key)
     if n_keys <= broadcast_rows and n_bytes <= broadcast_bytes:
-        hit = rows.join(F.broadcast(slim.drop("n")), F.col("_k") == F.col("_lk"), "left")
-        return hit.drop("_k", "_lk")
+        hit = rows.join(F.broadcast(slim.drop(n)), F.col(k) == F.col(lk), "left")
+        return hit.drop(k, lk)
 
     floor = max(2, int(n_rows * HEAVY_SHARE))
-    heavy = slim.where(F.col("n") >= floor).select(
-        F.col("_lk").alias("_hk"), *[F.col(v).alias(f"_h_{v}") for v in values], F.lit(True).alias("_hot"))
-    light = slim.where(F.col("n") < floor).drop("n").withColumn("_lsalt", F.lit(0))
-    first = rows.join(F.broadcast(heavy), F.col("_k") == F.col("_hk"), "left").drop("_hk")
-    hot = F.coalesce(F.col("_hot"), F.lit(False)) | F.col("_k").isNull()
+    heavy = slim.where(F.col(n) >= floor).select(
+        F.col(lk).alias(hk), *[F.col(v).alias(f"{hk}_{v}") for v in values], F.lit(True).alias(hot_name))
+    light = slim.where(F.col(n) < floor).drop(n).withColumn(lsalt, F.lit(0))
+    first = rows.join(F.broadcast(heavy), F.col(k) == F.col(hk), "left").drop(hk)
+    hot = F.coalesce(F.col(hot_name), F.lit(False)) | F.col(k).isNull()
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << 20)).cast("int")
     first = (
-        first.withColumn("_salt", F.when(hot, spread).otherwise(F.lit(0)))
-        .withColumn("_k2", F.when(~hot, F.col("_k")))
+        first.withColumn(salt, F.when(hot, spread).otherwise(F.lit(0)))
+        .withColumn(k2, F.when(~hot, F.col(k)))
     )
-    second = first.join(
-        light, (F.col("_k2") == F.col("_lk")) & (F.col("_salt") == F.col("_lsalt")), "left")
-    merged = [F.coalesce(F.col(f"_h_{v}"), F.col(v)).alias(v) for v in values]
+    second = first.join(light, (F.col(k2) == F.col(lk)) & (F.col(salt) == F.col(lsalt)), "left")
+    merged = [F.coalesce(F.col(f"{hk}_{v}"), F.col(v)).alias(v) for v in values]
     return second.select(*[F.col(f"`{c}`") for c in df.columns], *merged)

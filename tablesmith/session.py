@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A lookup side is broadcast only below both of these measured sizes.
 BROADCAST_ROWS = 500_000
@@ -28,12 +30,16 @@ def get_session(app_name: str = "tablesmith", master: str | None = None) -> Spar
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a private one only if unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a private one only in local mode."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or tempfile.mkdtemp(prefix="tablesmith-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tablesmith-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -42,3 +48,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored_rows(df: DataFrame, part: str, place: str) -> DataFrame:
+    """A stored copy of the rows with the file each lies in (a number) and its place there."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(
+        "*", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias(part),
+        F.col("_metadata.row_index").alias(place))
+
+
+def with_row_id(df: DataFrame, name: str) -> DataFrame:
+    """Rows with a number of their own, copies included. Stored once, so every later read sees the same numbers."""
+    part, place = free_names(df, "part", "place")
+    rows = stored_rows(df, part, place)
+    return rows.withColumn(name, F.shiftleft(F.col(part), 40) + F.col(place)).drop(part, place)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names close to the wanted ones that no column of the frame has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
