@@ -187,6 +187,38 @@ def balanced(spark, sf):
     return plain(rebalance(done, "toxic").groupBy("toxic", "split").agg(F.count("*").alias("n")))
 
 
+SPLIT_SIZES = """SELECT k.split, (CASE WHEN k.split = 'test' THEN ceil(n * 0.2) ELSE n - ceil(n * 0.2) END)::BIGINT AS n
+    FROM (SELECT count(*) AS n FROM {t}), (VALUES ('test'), ('train')) AS k(split)"""
+
+
+@query("split_duplicates", SPLIT_SIZES.format(t="documents"))
+def split_duplicates(spark, sf):
+    """Rows without a key, most of them alike."""
+    done = split_random(table(spark, sf, "documents").select("lang", "source"))
+    return plain(done.groupBy("split").agg(F.count("*").alias("n")))
+
+
+@query("split_null_target", f"""WITH g AS (SELECT CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS y, o_orderkey FROM orders),
+    z AS (SELECT count(*) AS n, count(y) AS m FROM g), h AS (SELECT *, ceil(n * 0.2) AS t, ceil(m * 0.2) AS tm FROM z)
+    SELECT y IS NULL AS gap, k.split, (CASE WHEN y IS NULL THEN CASE WHEN k.split = 'test' THEN any_value(t - tm) ELSE
+    any_value(n - m - t + tm) END ELSE CASE WHEN k.split = 'test' THEN any_value(tm) ELSE any_value(m - tm) END END)::BIGINT AS n
+    FROM (SELECT DISTINCT CASE WHEN y IS NOT NULL THEN 'x' END AS y FROM g), h, (VALUES ('test'), ('train')) AS k(split)
+    GROUP BY y, k.split""")
+def split_null_target(spark, sf):
+    df = table(spark, sf, "orders").select(
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("y"), "o_orderkey")
+    done = split_stratified(df, "y", ["o_orderkey"])
+    return plain(done.groupBy(F.col("y").isNull().alias("gap"), "split").agg(F.count("*").alias("n")))
+
+
+@query("rebalance_names", """WITH c AS (SELECT toxic, count(*) AS n, floor(max(count(*)) OVER () / count(*))::BIGINT AS times FROM labels
+    GROUP BY toxic) SELECT toxic::BIGINT AS toxic, (n * times)::BIGINT AS n, (n * times * 7)::BIGINT AS kept FROM c""")
+def rebalance_names(spark, sf):
+    """A table that has columns under the helper names."""
+    df = table(spark, sf, "labels").withColumns({"copy": F.lit(7), "times": F.lit(1), "n": F.lit(1), "last": F.lit(0)})
+    return plain(rebalance(df, "toxic").groupBy("toxic").agg(F.count("*").alias("n"), F.sum("copy").alias("kept")))
+
+
 # --- correlation, balance ---------------------------------------------------------------------------------
 
 NUMERIC = [c for c, k in columns_of("lineitem") if k in ("int", "double")]
@@ -216,6 +248,20 @@ def high_corr(spark, sf):
     return plain(high_correlation(df).select("col1", "col2", "correlation"))
 
 
+FAR = "CASE WHEN o_orderkey % 50 = 0 THEN 1e9 + o_orderkey ELSE 1e-3 * o_custkey END"
+NEAR = "CASE WHEN o_orderkey % 50 <> 0 THEN 2e-3 * o_custkey + 5 END"
+
+
+@query("high_corr_wide", f"""SELECT 'x' AS col1, 'y' AS col2, (round(corr(x, y), 3) + 0.0) AS correlation
+    FROM (SELECT {FAR} AS x, {NEAR} AS y FROM orders) WHERE y IS NOT NULL""")
+def high_corr_wide(spark, sf):
+    """A pair that agrees on the rows it shares and lies far away on others, among unrelated columns."""
+    df = table(spark, sf, "orders").select(
+        F.expr(FAR.replace("1e-3", "1e-3D")).alias("x"), F.expr(NEAR).alias("y"),
+        *[(F.pmod(F.xxhash64("o_orderkey", F.lit(i)), F.lit(1000))).cast("double").alias(f"z{i}") for i in range(5)])
+    return plain(high_correlation(df).select("col1", "col2", "correlation"))
+
+
 @query("correlated_drops", "SELECT DISTINCT col2 AS name FROM (" + " UNION ALL ".join(
     f"SELECT '{b}' AS col2, {corr_sql(a, b)} AS r FROM {CORR_REL}" for a, b in _pairs)
     + ") WHERE abs(r) > 0.9")

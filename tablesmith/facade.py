@@ -14,7 +14,7 @@ from tablesmith.operators.infer import (
 )
 from tablesmith.operators.profile import dataset_totals, profile, quality_score
 from tablesmith.operators.validate import validate
-from tablesmith.plans.normalize import dispatch
+from tablesmith.plans.normalize import dispatch, plan_struct
 from tablesmith.plans.rules import rule_plans
 from tablesmith.session import cut_lineage
 from tablesmith.sources import registry
@@ -112,14 +112,17 @@ def _register(spark: SparkSession, root: str, m, dataset: str, plan: DataFrame)
     now = F.current_timestamp()
     name = spark.range(1).select(short_name(F.lit(dataset))).first()[0]
     base = spark.range(1).select(registry.dataset_key(F.lit(dataset)).alias("dataset_id"))
-    chosen = plan.select("target_column", "task_type", F.to_json(F.struct("*")).alias("plan_json")).first()
-    registry.append(base.select(
+    chosen = plan.select("target_column", "task_type", F.to_json(plan_struct()).alias("plan_json")).first()
+    known = registry.read(spark, f"{root}/registry", "datasets").join(base, "dataset_id", "left_semi")
+    new = base.select(
         "dataset_id", F.lit(name).alias("dataset_name"), F.lit(m["original_filename"]).alias("original_filename"),
         F.lit(m["stored_path"]).alias("stored_path"), F.lit(m["version_id"]).alias("version_id"),
         F.lit(m["file_type"]).alias("file_type"), F.lit(m["rows"]).alias("row_count"),
         F.lit(m["columns_count"]).alias("column_count"), F.lit(chosen["target_column"]).alias("target_column"),
-        F.lit(chosen["task_type"]).alias("task_type"), now.alias("created_at"), now.alias("updated_at")),
-        f"{root}/registry", "datasets")
+        F.lit(chosen["task_type"]).alias("task_type"), now.alias("created_at"), now.alias("updated_at"))
+    # One row, worked out before its own table is appended to.
+    merged = spark.createDataFrame(registry.upsert_datasets(known, new).collect(), known.schema)
+    registry.append(merged, f"{root}/registry", "datasets")
     plan_id, run_id = (r[0] for r in spark.range(2).select(F.uuid()).collect())
     registry.append(base.select(
         F.lit(plan_id).alias("plan_id"), "dataset_id", F.lit(chosen["plan_json"]).alias("plan_json"),

@@ -25,7 +25,7 @@ from tablesmith.operators.lookup import attach, lookup_size
 from tablesmith.operators.profile import value_counts
 from tablesmith.operators.ranks import agg_row, exact_quantiles, global_row_number
 from tablesmith.operators.split import split_random, split_stratified, split_time, tie_order
-from tablesmith.session import cut_lineage
+from tablesmith.session import cut_lineage, free_names, with_row_id
 
 ENCODE_LEVELS = 10     # numeric columns with at most this many levels are encoded
 TRACKED_LEVELS = 100   # largest level count any rule asks about
@@ -352,6 +352,11 @@ def build_features(
     ``keys`` identify a row (from landing); they order ties and seed the split and
     are kept out of the features unless the data itself holds them.
     """
+    if not keys:  # rows get stored numbers of their own, which leave with the key
+        row, = free_names(df, "row_id")
+        built = build_features(with_row_id(df, row), [row], plan, detect_time, split)
+        built.frame = built.frame.drop(row)
+        return built
     time_column = detect_time_column(df) if detect_time else None
     work = df
     if time_column:

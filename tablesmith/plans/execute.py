@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.functions.numeric import (
@@ -17,9 +17,11 @@ from tablesmith.operators.features import (
     column_medians, few_levels, fill_numeric, label_encode, replace_columns, scale,
 )
 from tablesmith.operators.profile import OUTLIER_FACTOR
-from tablesmith.operators.ranks import agg_row, exact_quantiles
+from tablesmith.operators.lookup import attach
+from tablesmith.operators.ranks import agg_row, exact_quantiles, global_row_number
 from tablesmith.operators.split import split_random, split_stratified
 from tablesmith.plans.contract import DEFAULT_FILL, DEFAULT_SEED, DEFAULT_TEST_SIZE
+from tablesmith.session import cut_lineage, free_names, with_row_id
 
 
 def _present(df: DataFrame, columns: list[str] | None) -> list[str]:
@@ -92,27 +94,38 @@ def log_transform(df: DataFrame, columns: list[str]) -> DataFrame:
 def one_hot(df: DataFrame, columns: list[str], max_levels: int = 1000) -> DataFrame:
     """One 0/1 column per level, named ``{column}_{level}``, in place of each column.
 
-    A column of more than ``max_levels`` levels is an error: it has no sensible
-    one-hot form, and plans list at most 15 levels.
+    A column of more than ``max_levels`` levels gets the same vector in sparse form: ``{column}_index``, the place of
+    its level in the same order (null where all would be 0), and ``{column}_size``, the number of levels.
     """
     columns = _present(df, columns)
     levels = few_levels(df, columns)
+    names: dict[str, list | None] = {}
+    for c in columns:
+        text = value_text(quoted(c), df.schema[c].dataType)
+        if c in levels and all(isinstance(v, str) for v, _ in levels[c]):
+            found = [v for v, _ in levels[c]]
+        else:
+            found = [r[0] for r in df.select(text.alias("t")).where("t is not null").distinct().limit(max_levels + 1).collect()]
+        names[c] = sorted(found, key=lambda s: s.encode("utf-8")) if len(found) <= max_levels else None
+    wide = [c for c, found in names.items() if found is None]
+    rows, sizes = df, {}
+    for c in wide:
+        text = value_text(quoted(c), df.schema[c].dataType)
+        counts = cut_lineage(df.where(quoted(c).isNotNull()).groupBy(text.alias("value")).agg(F.count("*").alias("n")))
+        sizes[c] = counts.count()
+        index, = free_names(rows, f"{c}_index")
+        codes = cut_lineage(global_row_number(counts, F.col("value"), sizes[c], "at").withColumnRenamed("at", index))
+        rows = attach(rows, text, codes, "value", [index]).withColumnRenamed(index, f"{c}_index")
     out = []
     for c in df.columns:
         if c not in columns:
             out.append(quoted(c))
-            continue
-        text = value_text(quoted(c), df.schema[c].dataType)
-        if c in levels and all(isinstance(v, str) for v, _ in levels[c]):
-            names = [v for v, _ in levels[c]]
+        elif c in wide:
+            out += [quoted(f"{c}_index"), F.lit(sizes[c]).cast("long").alias(f"{c}_size")]
         else:
-            names = [r[0] for r in df.select(text.alias("t")).where("t is not null").distinct()
-                     .limit(max_levels + 1).collect()]
-        if len(names) > max_levels:
-            raise ValueError(f"{c} has more than {max_levels} levels")
-        out += [F.coalesce((text == F.lit(n)).cast("int"), F.lit(0)).alias(f"{c}_{n}")
-                for n in sorted(names, key=lambda s: s.encode("utf-8"))]
-    return df.select(*out)
+            text = value_text(quoted(c), df.schema[c].dataType)
+            out += [F.coalesce((text == F.lit(n)).cast("int"), F.lit(0)).alias(f"{c}_{n}") for n in names[c]]
+    return rows.select(*out)
 
 
 def dedup_rows(df: DataFrame, columns: list[str] | None = None,
@@ -134,15 +147,6 @@ def dedup_rows(df: DataFrame, columns: list[str] | None = None,
     return first.select(*picked)
 
 
-def mode_table(df: DataFrame, column: str) -> DataFrame:
-    """Value counts of a column, most frequent first (smallest value on a tie)."""
-    order = Window.orderBy(F.desc("n"), F.asc("value"))
-    return (
-        df.where(quoted(column).isNotNull()).groupBy(quoted(column).alias("value"))
-        .agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(order)).where("rank = 1")
-    )
-
-
 @dataclass
 class Applied:
     frame: DataFrame
@@ -151,26 +155,42 @@ class Applied:
     duplicates_removed: int | None = None
 
 
-def plan_dict(row) -> dict:
-    """A normalized plan row (or struct) as a plain dict."""
-    d = row.asDict(recursive=True) if hasattr(row, "asDict") else dict(row)
-    return d
+def contract_plan(row) -> dict:
+    """The nested plan of the contract from a flat row of ``dispatch``, or from a row that is nested already."""
+    plan = row.asDict(recursive=True) if hasattr(row, "asDict") else dict(row)
+    if "preprocessing" in plan:
+        return plan
+    part = lambda *names: {n: plan.get(n) for n in names}
+    return {
+        "dataset_name": plan.get("dataset"), "task_type": plan["task_type"], "target_column": plan["target_column"],
+        "preprocessing": {
+            "drop_columns": plan["drop_columns"],
+            "imputation": part("numeric_strategy", "numeric_columns", "categorical_strategy", "categorical_columns", "constant_value"),
+            "encoding": part("one_hot_columns", "label_encoding_columns"),
+            "scaling": {"strategy": plan["scaling_strategy"], "columns": plan["scaling_columns"]},
+            "log_transform": plan["log_transform"],
+        },
+        "split_strategy": part("test_size", "random_state", "stratify"),
+        "smote": {"enabled": plan.get("smote_enabled"), "reason": plan.get("smote_reason")},
+    }
 
 
 def apply_plan(
     df: DataFrame,
-    plan: dict,
+    plan,
     keys: list[str] | None = None,
     dedup: bool = False,
     cap: list[str] | None = None,
     low_correlation: list[str] | None = None,
     with_split: bool = True,
 ) -> Applied:
-    """Apply a normalized plan (nested layout of the contract) to a table.
+    """Apply a normalized plan to a table: the contract's nested layout, or a row that ``dispatch`` gave.
 
     ``cap`` and ``low_correlation`` are the optional extras of a rule plan. ``keys``
-    identify a row for the split; without them the whole row does.
+    identify a row for the split; without them rows get stored numbers of their own. What is left after dedup is
+    stored too, so the later fits do not repeat it.
     """
+    plan = contract_plan(plan)
     target = plan["target_column"]
     pre = plan["preprocessing"]
     imp, enc, sca = pre["imputation"], pre["encoding"], pre["scaling"]
@@ -182,13 +202,16 @@ def apply_plan(
 
     if dedup:
         before = df.count()
-        step("dedup", dedup_rows(df))
+        step("dedup", cut_lineage(dedup_rows(df)))
         done.duplicates_removed = before - done.frame.count()
     drops = [c for c in _present(df, (pre["drop_columns"] or []) + (low_correlation or []))
              if c != target]
-    keys = keys or []
-    split_key = F.to_json(F.struct(*[quoted(k) for k in (keys or df.columns)]))
-    work = done.frame.withColumn("_row", split_key) if with_split else done.frame
+    row, = free_names(done.frame, "_row")
+    work = done.frame
+    if with_split and keys:
+        work = work.withColumn(row, F.sha2(F.to_json(F.struct(*[quoted(k) for k in keys])), 256))
+    elif with_split:
+        work = with_row_id(work, row)
     if drops:
         step("drop", work.drop(*map(quoted, drops)))
         work = done.frame
@@ -218,11 +241,11 @@ def apply_plan(
         s = plan.get("split_strategy") or {}
         size = s.get("test_size") or DEFAULT_TEST_SIZE
         seed = s.get("random_state") if s.get("random_state") is not None else DEFAULT_SEED
-        split = (split_stratified(work, target, ["_row"], size, seed) if s.get("stratify")
-                 else split_random(work, ["_row"], size, seed))
+        split = (split_stratified(work, target, [row], size, seed) if s.get("stratify")
+                 else split_random(work, [row], size, seed))
         step("split", split)
         work = done.frame
-    done.frame = work.drop("_row")
+    done.frame = work.drop(row)
     return done
 
 

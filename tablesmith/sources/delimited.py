@@ -58,44 +58,57 @@ def file_type(path: str) -> str:
     return suffix
 
 
-def detect_encoding(spark: SparkSession, path: str, ladder: list[str]) -> str:
-    """First encoding of the ladder that can decode every byte of the file."""
+def text_facts(spark: SparkSession, path: str | list[str]) -> dict:
+    """Lines that are no UTF-8, those with bytes cp1252 lacks, and those that leave a quote open: one scan."""
     lines = spark.read.text(path)
     bad = ~F.is_valid_utf8(F.col("value"))
     undefined = F.hex(F.col("value").cast("binary")).rlike("^(..)*(81|8D|8F|90|9D)")
-    row = lines.agg(F.count_if(bad).alias("bad"), F.count_if(bad & undefined).alias("undefined")).first()
+    open_quote = F.regexp_count(F.col("value"), F.lit('"')) % 2 == 1
+    return lines.agg(F.count_if(bad).alias("bad"), F.count_if(bad & undefined).alias("undefined"),
+                     F.count_if(open_quote).alias("open")).first().asDict()
+
+
+def detect_encoding(facts: dict, ladder: list[str]) -> str:
+    """First encoding of the ladder that can decode every byte."""
     for encoding in ladder:
         if encoding.startswith("utf-8"):
-            if row["bad"] == 0:
+            if facts["bad"] == 0:
                 return encoding
         elif encoding == "cp1252":
-            if row["undefined"] == 0:
+            if facts["undefined"] == 0:
                 return encoding
         else:
             return encoding
     return ladder[-1]
 
 
-def header_line(spark: SparkSession, path: str, encoding: str) -> str:
-    head = spark.read.text(path).select(F.col("value").cast("binary")).limit(1).collect()
-    if not head:
+def headers(spark: SparkSession, path: str, encoding: str) -> dict[str, list[str]]:
+    """Files by their first line, in the order of their names; a file's first block is read by one task, in order."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
+    firsts = lines.where("block = 0").groupBy("file").agg(F.first("line").alias("line"))
+    groups = firsts.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    if not groups:
         raise ValueError(f"empty file: {path}")
-    return bytes(head[0][0]).decode(encoding, errors="replace").lstrip("﻿").rstrip("\r\n")
+    show = lambda b: bytes(b).decode(encoding, errors="replace").lstrip("\ufeff").rstrip("\r\n")
+    return {show(g["line"]): g["files"] for g in sorted(groups, key=lambda g: g["files"][0])}
 
 
-def has_data(spark: SparkSession, path: str) -> bool:
+def has_data(spark: SparkSession, path: str | list[str]) -> bool:
     return len(spark.read.text(path).limit(2).collect()) > 1
 
 
 def header_names(line: str, sep: str) -> list[str]:
-    """Column names of a header line; blanks get a position name, repeats a suffix."""
+    """Column names of a header line; blanks get a position name, repeats a suffix, also those that differ in case only."""
     cells = next(csv.reader([line], delimiter=sep), [])
-    names, seen = [], {}
+    names, taken = [], set()
     for i, cell in enumerate(cells):
         name = cell if cell else f"Unnamed: {i}"
-        n = seen.get(name, 0)
-        seen[name] = n + 1
+        n = 0
+        while (f"{name}.{n}" if n else name).lower() in taken:
+            n += 1
         names.append(f"{name}.{n}" if n else name)
+        taken.add(names[-1].lower())
     return names
 
 
@@ -143,7 +156,7 @@ def byte_map(encoding: str) -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(c for _, c in pairs)
 
 
-def scan_text(spark: SparkSession, path: str, names: list[str], sep: str, encoding: str,
+def scan_text(spark: SparkSession, path: str | list[str], names: list[str], sep: str, encoding: str,
               multi_line: bool = False) -> DataFrame:
     """All cells as text; rows with too many fields are dropped, short rows padded with nulls."""
     from pyspark.sql import types as T
@@ -207,17 +220,29 @@ def read_delimited(
     multi_line: bool = False,
     typed: bool = True,
 ) -> tuple[DataFrame, ReadInfo]:
-    """Read one delimited dataset. ``expected`` column names steer ``schema_match``."""
+    """Read one delimited dataset. ``expected`` column names steer ``schema_match``.
+
+    Files of a folder are read by their own headers and put together by name. Where a quoted cell holds a line
+    break (a line leaves a quote open), records are read across lines, also without ``multi_line``.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}")
-    encoding = encoding or detect_encoding(spark, path, ENCODINGS.get(strategy, ENCODINGS["default"]))
-    line = header_line(spark, path, encoding)
-    sep, score = choose_separator(spark, line, strategy, expected, has_data(spark, path))
-    names = header_names(line, sep)
-    df = clean_tokens(scan_text(spark, path, names, sep, encoding, multi_line))
-    if typed:
-        df = infer_types(df)
-    return df, ReadInfo(encoding, SEPARATORS.get(sep, "auto"), sep, score, len(names))
+    facts = text_facts(spark, path)
+    encoding = encoding or detect_encoding(facts, ENCODINGS.get(strategy, ENCODINGS["default"]))
+    multi_line = multi_line or facts["open"] > 0
+    groups = headers(spark, path, encoding)
+    parts, info = [], None
+    for line, files in groups.items():
+        where = path if len(groups) == 1 else files
+        sep, score = choose_separator(spark, line, strategy, expected, has_data(spark, where))
+        names = header_names(line, sep)
+        parts.append(clean_tokens(scan_text(spark, where, names, sep, encoding, multi_line)))
+        info = info or ReadInfo(encoding, SEPARATORS.get(sep, "auto"), sep, score, len(names))
+    df = parts[0]
+    for other in parts[1:]:
+        df = df.unionByName(other, allowMissingColumns=True)
+    info.columns_read = len(df.columns)
+    return (infer_types(df) if typed else df), info
 
 
 def promote_header(df: DataFrame, position: Column) -> DataFrame:

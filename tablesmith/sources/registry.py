@@ -55,7 +55,18 @@ def _checked(column: str, allowed: list[str]) -> Column:
     return F.when(bad, F.raise_error(F.concat(F.lit(f"invalid {column}: "), F.col(column)))).otherwise(F.col(column))
 
 
+#: Key, and the time by which the latest row of a key is told.
+LATEST = {"datasets": ("dataset_id", "updated_at"), "plans": ("plan_id", "updated_at"),
+          "runs": ("run_id", "completed_at"), "metrics": ("metric_id", "created_at")}
+
+
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The latest row of each key."""
+    return latest_by(read_all(spark, root, table), *LATEST[table])
+
+
+def read_all(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """Every appended row."""
     try:
         return spark.read.schema(SCHEMAS[table]).parquet(f"{root}/{table}")
     except Exception as e:
@@ -64,10 +75,6 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
         raise
 
 
-def new_id() -> Column:
-    return F.uuid()
-
-
 def dataset_key(name: Column | str) -> Column:
     """Stable dataset id from its name."""
     return F.sha2(F.col(name) if isinstance(name, str) else name, 256)
@@ -75,10 +82,15 @@ def dataset_key(name: Column | str) -> Column:
 
 # --- latest row per key --------------------------------------------------------------
 
-def latest_by(df: DataFrame, key: str, at: str, tie: Column | None = None) -> DataFrame:
+def newest_first(at: str, columns: list[str]) -> Column:
+    """Order of rows by time: one without a time is older than all others, equal times go by the row's text."""
+    return F.struct(F.col(at).isNotNull(), F.col(at), F.to_json(F.struct(*[F.col(c) for c in columns])))
+
+
+def latest_by(df: DataFrame, key: str, at: str) -> DataFrame:
     """Latest row per key. ``max_by`` combines on the map side: no per-key sort, no hot group."""
     rest = [c for c in df.columns if c != key]
-    order = F.struct(F.col(at), tie) if tie is not None else F.col(at)
+    order = newest_first(at, rest)
     picked = df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r"))
     return picked.select(*[F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in df.columns])
 
@@ -87,12 +99,13 @@ def upsert_datasets(current: DataFrame, new: DataFrame) -> DataFrame:
     """Newest fields win, the first ``created_at`` stays, a missing target keeps the old one."""
     rows = current.unionByName(new, allowMissingColumns=True)
     keep = [c for c in rows.columns if c not in ("dataset_name", "created_at", "target_column")]
-    at = F.struct(F.col("updated_at"))
+    at = newest_first("updated_at", keep)
     target = F.nullif("target_column", F.lit(""))
     out = rows.groupBy("dataset_name").agg(
         F.max_by(F.struct(*keep), at).alias("r"),
         F.min("created_at").alias("created_at"),
-        F.max_by("target_column", F.when(target.isNotNull(), F.col("updated_at"))).alias("target_column"),
+        F.max_by("target_column", F.when(target.isNotNull(), F.struct(
+            F.col("updated_at").isNotNull(), F.col("updated_at"), F.col("target_column")))).alias("target_column"),
     )
     done = {"dataset_name", "created_at", "target_column"}
     return out.select(*[F.col(c) if c in done else F.col(f"r.{c}").alias(c) for c in rows.columns])
@@ -104,9 +117,9 @@ def upsert_plans(current: DataFrame, new: DataFrame, datasets: DataFrame) -> Dat
     rows = current.unionByName(accepted, allowMissingColumns=True)
     rest = [c for c in rows.columns if c not in ("dataset_id", "created_at", "plan_id")]
     out = rows.groupBy("dataset_id").agg(
-        F.max_by(F.struct(*rest), F.col("updated_at")).alias("r"),
+        F.max_by(F.struct(*rest), newest_first("updated_at", rest)).alias("r"),
         F.min("created_at").alias("created_at"),
-        F.min_by("plan_id", "created_at").alias("plan_id"))
+        F.min_by("plan_id", F.struct(F.col("created_at").isNull(), F.col("created_at"), F.col("plan_id"))).alias("plan_id"))
     own = {"dataset_id", "created_at", "plan_id"}
     return out.select(*[F.col(c) if c in own else F.col(f"r.{c}").alias(c) for c in rows.columns])
 
@@ -135,15 +148,23 @@ def check_limit(limit: int) -> int:
     return limit
 
 
+def _latest(df: DataFrame, key: str) -> DataFrame:
+    """Latest row per key; frames without a time of change go by their own text."""
+    at = next((c for c in ("updated_at", "created_at") if c in df.columns), None)
+    return latest_by(df, key, at) if at else latest_by(df.withColumn("updated_at", F.lit(None).cast("timestamp")), key, "updated_at").drop("updated_at")
+
+
 def recent_runs(runs: DataFrame, datasets: DataFrame, plans: DataFrame, limit: int = DEFAULT_LIMIT,
                 newest: str = "started_at") -> DataFrame:
     """Newest runs with their dataset and, if any, their plan.
 
-    The newest runs of known datasets are cut first, so the plan join sees ``limit`` rows.
+    The newest runs of known datasets are cut first, so the plan join sees ``limit`` rows. Of several
+    rows of a dataset or plan the latest counts, so no run comes twice.
     """
-    known = runs.join(datasets, "dataset_id")
-    top = known.orderBy(F.desc(newest), F.desc("run_id")).limit(check_limit(limit))
-    return top.join(plans, "plan_id", "left")
+    known = runs.join(_latest(datasets, "dataset_id"), "dataset_id")
+    order = [F.desc(newest), F.desc("run_id")]
+    top = known.orderBy(*order).limit(check_limit(limit))
+    return top.join(_latest(plans, "plan_id"), "plan_id", "left").orderBy(*order)
 
 
 def recent_runs_with_metrics(runs: DataFrame, datasets: DataFrame, metrics: DataFrame,
@@ -151,7 +172,7 @@ def recent_runs_with_metrics(runs: DataFrame, datasets: DataFrame, metrics: Data
     """Newest runs with dataset and metrics where present; the limit counts joined rows."""
     order = [F.desc(newest), F.desc("run_id")]
     top = runs.orderBy(*order).limit(check_limit(limit))
-    return top.join(datasets, "dataset_id", "left").join(metrics, "run_id", "left").orderBy(*order).limit(limit)
+    return top.join(_latest(datasets, "dataset_id"), "dataset_id", "left").join(metrics, "run_id", "left").orderBy(*order).limit(limit)
 
 
 def lookup(df: DataFrame, **equals) -> DataFrame:

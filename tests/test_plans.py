@@ -117,9 +117,31 @@ def test_modes_and_bounds(spark):
     assert ex.column_modes(df, ["s"]) == {"s": "a"}  # smallest of the most frequent
     capped = [r["x"] for r in ex.cap_outliers(df, ["x"]).collect()]
     assert capped[3] is None and max(v for v in capped if v is not None) < 100
-    assert ex.mode_table(df, "s").first()["value"] == "a"
-    with pytest.raises(ValueError):
-        ex.one_hot(spark.range(50).select(F.col("id").cast("string").alias("s")), ["s"], max_levels=10)
+    wide = spark.range(51).select(F.when(F.col("id") < 50, F.col("id").cast("string")).alias("s"), F.lit(1).alias("s_index_"))
+    sparse = ex.one_hot(wide, ["s"], max_levels=10)
+    dense = ex.one_hot(wide, ["s"])
+    assert sparse.columns == ["s_index", "s_size", "s_index_"] and sparse.where("s_size = 50").count() == 51
+    order = [c.removeprefix("s_") for c in dense.columns[:-1]]
+    assert sorted(r[0] for r in sparse.select("s_index").collect() if r[0] is not None) == list(range(50))
+    assert order == sorted(order) and sparse.where("s_index IS NULL").count() == 1
+
+
+def test_split_without_keys_and_with_copies(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 500, 0).otherwise(F.col("id")).alias("v"), F.lit("y").alias("_row"))
+    plan = {"target_column": "v", "preprocessing": {
+        "drop_columns": [], "log_transform": [], "imputation": {"numeric_columns": [], "categorical_columns": []},
+        "encoding": {"one_hot_columns": [], "label_encoding_columns": []}, "scaling": {"strategy": "none", "columns": []}}}
+    done = ex.apply_plan(df, plan)
+    assert done.frame.columns == ["v", "_row", "split"] and done.frame.where("split = 'test'").count() == 200
+
+
+def test_dispatched_plan_is_applied(spark, people, people_profile):
+    row = nz.dispatch(people_profile).first()
+    done = ex.apply_plan(people, row)
+    assert done.frame.count() == people.count() and done.steps[-1] == "split"
+    nested = nz.dispatch(people_profile).select(nz.plan_struct().alias("p")).first()["p"]
+    flat = ex.contract_plan(row)
+    assert {k: v for k, v in nested.asDict(recursive=True).items() if k != "_debug"} == flat
 
 
 def test_validation_run(spark, people, people_profile):

@@ -212,3 +212,38 @@ def test_prepare_end_to_end(spark, tmp_path):
     assert registry.read(spark, f"{root}/registry", "runs").first()["status"] == "success"
     override = prepare(spark, f, root, target="Sex")
     assert override.rules.first()["target_column"] == "Sex"
+
+
+def test_line_breaks_headers_and_names(spark, tmp_path):
+    from tablesmith.sources.delimited import read_delimited
+
+    one = tmp_path / "quoted.csv"
+    one.write_text('id,text,n\n1,"a\nb",5\n2,"c ""d""",6\n3,e,7,8\n')
+    rows = [tuple(r) for r in read_delimited(spark, str(one))[0].collect()]
+    assert sorted(rows) == [(1, "a\nb", 5), (2, 'c "d"', 6)]
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b\n1,2\n")
+    (folder / "2.csv").write_text("b,a\n3,4\n")
+    got = read_delimited(spark, str(folder))[0]
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == [(1, 2), (4, 3)]
+    case = tmp_path / "case.csv"
+    case.write_text("A,a\n1,2\n")
+    assert read_delimited(spark, str(case))[0].columns == ["A", "a.1"]
+
+
+def test_registry_keeps_one_row_for_each_key(spark, tmp_path):
+    root = str(tmp_path)
+    for n, at in ((1, "2024-01-01"), (2, "2024-01-02"), (3, None)):
+        registry.append(spark.createDataFrame([("d", "data", n)], "dataset_id string, dataset_name string, row_count long").withColumn(
+            "updated_at", F.lit(at).cast("timestamp")), root, "datasets")
+    registry.append(spark.createDataFrame([("r", "d", "p", "success")], "run_id string, dataset_id string, plan_id string, status string").withColumn(
+        "started_at", F.current_timestamp()), root, "runs")
+    assert registry.read(spark, root, "datasets").first()["row_count"] == 2
+    every = registry.read_all(spark, root, "datasets")
+    assert every.count() == 3
+    assert registry.recent_runs(registry.read(spark, root, "runs"), every, registry.read(spark, root, "plans")).count() == 1
+    plans = spark.createDataFrame([("p", "d", "{}")], "plan_id string, dataset_id string, plan_json string").withColumns(
+        {"updated_at": F.lit(None).cast("timestamp"), "created_at": F.lit(None).cast("timestamp")})
+    kept = registry.upsert_plans(plans.limit(0), plans, every)
+    assert kept.first()["plan_json"] == "{}"
