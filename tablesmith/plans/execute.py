@@ -209,7 +209,7 @@ def apply_plan(
     row, = free_names(done.frame, "_row")
     work = done.frame
     if with_split and keys:
-        work = work.withColumn(row, F.sha2(F.to_json(F.struct(*[quoted(k) for k in keys])), 256))
+        work = work.withColumn(row, F.to_json(F.struct(*[quoted(k) for k in keys])))
     elif with_split:
         work = with_row_id(work, row)
     if drops:
