@@ -27,8 +27,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 32 bands of 4 coordinates miss a pair of similarity 0.8 with a probability of 5e-8.
 BANDS, ROWS = 32, 4
-#: Candidates whose signatures agree less are not verified: 4.5 standard deviations below 0.8.
-AGREEMENT = 0.64
+#: Bits of the filter that keeps texts without a shared bucket out of a shuffle: fixed, so it can go to every task.
+FILTER_BITS = 1 << 23
 #: Members of one bucket that one task compares; larger buckets are compared chunk by chunk.
 CHUNK = 2048
 #: Rank side of the smallest cell, and elements handled at once.
@@ -135,7 +135,7 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, k: int = BANDS * ROWS) -> DataFrame:
-    """doc_id, node, the signature in 32-bit parts and the band keys (null without words)."""
+    """doc_id, node and the band keys (null without words)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,15 +152,13 @@ def sketches(docs: DataFrame, k: int = BANDS * ROWS) -> DataFrame:
                 for b in range(BANDS):
                     for j in range(ROWS):
                         keys[:, b] = mix(keys[:, b] ^ (sig[:, b * ROWS + j] * _C[0])) + np.uint64(b + 1)
-                small = (mix(sig) >> np.uint64(32)).astype("<u4")
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(start, stop - start), batch.column(1).slice(start, stop - start),
-                    pa.array([x.tobytes() if n else None for x, n in zip(small, sizes)], pa.binary()),
                     pa.array([x.astype(np.int64).tolist() if n else None for x, n in zip(keys, sizes)], pa.list_(pa.int64())),
-                ], names=["doc_id", "node", "sig", "keys"])
+                ], names=["doc_id", "node", "keys"])
                 start = stop
 
-    return hashed(docs).mapInArrow(sketch, "doc_id long, node binary, sig binary, keys array<long>")
+    return hashed(docs).mapInArrow(sketch, "doc_id long, node binary, keys array<long>")
 
 
 def components(edges: DataFrame, path: str) -> DataFrame:
@@ -199,113 +197,133 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(F.col("i") >= similarity * (F.col("n") - F.col("i")) - 1e-9).select("a", "b")
 
 
-def _pairs_inside(forest: bool):
-    """Candidate pairs of one bucket (or of two chunks of a large one) from different components."""
+def _links_inside(similarity: float):
+    """Verified links that join components within one bucket, or between two chunks of a large one.
+
+    Every member outside the largest component is compared with all others at once, by counting over an
+    inverted index of the shingles. Only links that join two parts come out.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group["sig"]), "<u4").reshape(len(group), -1)
         node, label = group["node"].tolist(), pd.factorize(group["label"])[0]
-        first = group["chunk"].to_numpy() == group["lo"].to_numpy()
-        one = (group["lo"] == group["hi"]).iloc[0]
-        found = []
-        for i in range(len(node)):
-            others = np.arange(i + 1, len(node)) if one else np.flatnonzero(~first) if first[i] else np.zeros(0, int)
-            others = others[label[others] != label[i]]
-            if len(others):
-                agree = (sig[others] == sig[i]).mean(axis=1)
-                found += [(a, i, j) for a, j in zip(agree[agree >= AGREEMENT].tolist(), others[agree >= AGREEMENT].tolist())]
-        if forest:  # best first, and only what joins two parts
-            root = {}
-
-            def top(x):
-                while root.get(x, x) != x:
-                    x = root[x]
-                return x
-
-            chosen = []
-            for a, i, j in sorted(found, reverse=True):
+        side = (group["chunk"] == group["lo"]).to_numpy()
+        apart = bool((group["lo"] != group["hi"]).iloc[0])
+        sizes = group["s"].map(len).to_numpy()
+        owner = np.repeat(np.arange(len(node)), sizes)
+        flat = np.concatenate(group["s"].tolist())
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        root = list(range(label.max() + 1))
+
+        def top(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        rows = []
+        for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+            s = group["s"].iloc[i]
+            lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared = np.bincount(owner[at], minlength=len(node))
+            near = shared >= similarity * (sizes + len(s) - shared) - 1e-9
+            if apart:
+                near &= side != side[i]
+            for j in np.flatnonzero(near & (label != label[i])).tolist():
                 x, y = top(label[i]), top(label[j])
                 if x != y:
                     root[x] = y
-                    chosen.append((a, i, j))
-            found = chosen
-        rows = [(min(node[i], node[j]), max(node[i], node[j])) for _, i, j in found]
+                    rows.append((min(node[i], node[j]), max(node[i], node[j])))
         return pd.DataFrame(rows, columns=["a", "b"])
 
     return run
 
 
-def _bucket_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, forest: bool, path: str) -> DataFrame:
-    """Candidate pairs across components in the buckets that hold more than one."""
+def _bucket_links(members: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, path: str) -> DataFrame:
+    """Verified links across components in the buckets that hold more than one."""
     known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    buckets = known.groupBy("band", "key").agg(
-        F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"),
+    buckets = known.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("label").alias("first"), F.max("label").alias("last"), F.expr("count_if(node != least AND star = least)").alias("tested"),
         # Buckets with the same members say the same; one of them is enough.
         F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"))
-    open_ = buckets.where("least != most").groupBy("n", "h1", "h2").agg(F.min(F.struct("band", "key")).alias("x"))
-    open_ = open_.select("x.band", "x.key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    rows = store(known.join(open_, ["band", "key"]).withColumn(
-        "chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), path)
+    # Two members of which one was compared with the other have nothing left to say.
+    open_ = buckets.where("first != last AND NOT (n = 2 AND tested = 1)").groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))
+    open_ = open_.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    rows = store(known.join(open_, "key").select(
+        "key", "node", "label", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")), path)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "band", "key", "node", "label", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
-    rows = rows.join(nodes.select("node", "sig"), "node")
-    return rows.groupBy("band", "key", "lo", "hi").applyInPandas(_pairs_inside(forest), "a binary, b binary").distinct()
+        "key", "node", "label", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
+    rows = rows.join(sets, "node")
+    return rows.groupBy("key", "lo", "hi").applyInPandas(_links_inside(similarity), "a binary, b binary").distinct()
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, path: str | None = None) -> DataFrame:
-    """doc_id, node and class_id for every row: the smallest doc_id among all that a chain of near copies joins.
+def _sets(docs: DataFrame, involved: DataFrame) -> DataFrame:
+    """node and its sorted shingle hashes, for the nodes that share a bucket.
 
-    Exact copies in words fall together first, so only different word sequences are
-    compared. In each band bucket all link to the smallest member at once; components that still share a bucket are joined by the
-    best agreeing pairs, and every pair left across components is verified last. Texts without words, null
-    included, are one class; fewer than five words are one shingle. Rows with a null doc_id get a
-    class too (its id is null if all have none). Only doc_id and text are read.
+    A bit filter of fixed size keeps most other texts out of the shuffle; the join then decides exactly.
     """
-    spark = docs.sparkSession
-    path = path or workspace(spark, "minhash")
-    sketched = store(sketches(docs), f"{path}/sketches")
-    nodes = store(sketched.where("keys IS NOT NULL").groupBy("node").agg(
-        F.first("sig").alias("sig"), F.first("keys").alias("keys")), f"{path}/nodes")
-    bands = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    shared = bands.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").drop("n")
-    members = store(bands.join(shared, ["band", "key"]), f"{path}/members")
-    involved = store(members.select("node").distinct(), f"{path}/involved")
+    at = lambda node: F.pmod(F.xxhash64(node), F.lit(FILTER_BITS))
+    words_ = involved.select(at(F.col("node")).alias("bit")).groupBy((F.col("bit") % (FILTER_BITS // 64)).cast("int").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(bit div {FILTER_BITS // 64} as int))")).alias("bits"))
+    every = docs.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("word")).join(words_, "word", "left")
+    table = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).cast("long").alias("bits")))),
+                                  lambda x: x["bits"]).alias("table"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, values = _lists(batch.column(1))
             for s in range(0, batch.num_rows, 256):
                 t = min(s + 256, batch.num_rows)
-                sets = [np.unique(shingles(values[offsets[i]: offsets[i + 1]])).astype(np.int64) for i in range(s, t)]
+                sets = [np.unique((shingles(values[offsets[i]: offsets[i + 1]]) >> np.uint64(16)).astype(np.int64)) for i in range(s, t)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(s, t - s),
                     pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), np.concatenate(sets))], names=["node", "s"])
 
-    # One text for each node that shares a bucket.
-    words = words_of(F.col("text"))
-    texts = docs.select(F.unhex(F.md5(F.array_join(words, " "))).alias("node"), "text").join(involved, "node", "left_semi")
-    texts = texts.groupBy("node").agg(F.first("text").alias("text"))
+    texts = docs.select(F.unhex(F.md5(F.array_join(words_of(F.col("text")), " "))).alias("node"), "text").withColumn("table", table.scalar())
+    bit = at(F.col("node"))
+    texts = texts.where(F.getbit(F.get("table", (bit % (FILTER_BITS // 64)).cast("int")), F.floor(bit / (FILTER_BITS // 64)).cast("int")) == 1)
+    texts = texts.select("node", "text").join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     hashes = texts.select("node", let(words_of(F.col("text")), lambda ws: F.transform(ws, lambda x: F.xxhash64(x))).alias("w"))
-    sets = store(hashes.mapInArrow(sets_of, "node binary, s array<long>"), f"{path}/sets")
-    star = members.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    edges = store(_verified(star, sets, similarity), f"{path}/edges-0")
-    members = members.drop("least")
+    return hashes.mapInArrow(sets_of, "node binary, s array<long>")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, path: str | None = None) -> DataFrame:
+    """doc_id, node and class_id for every row: the smallest doc_id among all that a chain of near copies joins.
+
+    Exact copies in words fall together first, so only different word sequences are
+    compared. Each is compared with the smallest member of most of its band buckets at once; in the buckets that still hold several
+    components, every pair across them is then verified, and only links that join two components leave the task. Texts without words, null
+    included, are one class; fewer than five words are one shingle. Rows with a null doc_id get a
+    class too (its id is null if all have none). Only doc_id and text are read.
+    """
+    spark = docs.sparkSession
+    path = path or workspace(spark, "minhash")
+    sketched = store(sketches(docs), f"{path}/sketches")
+    bands = sketched.where("keys IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys"))
+    bands = store(bands, f"{path}/nodes").select("node", F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").drop("n")
+    # Stored first: a join of two plain shuffles is one whose hot keys Spark can split.
+    shared = store(shared, f"{path}/shared")
+    members = store(bands.join(shared, "key"), f"{path}/pairs")
+    erase(spark, f"{path}/nodes")
+    # Each node is first compared with one smallest member only: that of most of its buckets.
+    stars = members.groupBy("node", "least").agg(F.count("*").alias("n")).groupBy("node").agg(
+        F.min(F.struct((F.col("node") == F.col("least")).alias("own"), (-F.col("n")).alias("n"), F.col("least").alias("star"))).alias("x"))
+    stars = store(stars.select("node", "x.star"), f"{path}/stars")
+    members = members.join(stars, "node")
+    sets = store(_sets(docs, stars.select("node")), f"{path}/sets")
+    edges = store(_verified(stars.where("node != star").select(F.col("star").alias("a"), F.col("node").alias("b")), sets, similarity),
+                  f"{path}/edges")
     labels = components(edges, f"{path}/components-0")
-    for k, forest in enumerate((True, False), 1):
-        pairs = _bucket_pairs(members, nodes, labels, forest, f"{path}/open-{k}")
-        more = store(_verified(pairs, sets, similarity), f"{path}/edges-{k}")
-        if not more.isEmpty():
-            edges = edges.union(more)
-            labels = components(edges, f"{path}/components-{k}")
-    for part in ("sets", "members", "nodes", "involved"):
+    more = store(_bucket_links(members, sets, labels, similarity, f"{path}/open"), f"{path}/more")
+    if not more.isEmpty():
+        labels = components(edges.union(more), f"{path}/components-1")
+    for part in ("sets", "pairs", "stars", "open"):
         erase(spark, f"{path}/{part}")
     rows = sketched.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return _with_class(rows)
-
-
-def _with_class(rows: DataFrame) -> DataFrame:
-    """The smallest doc_id for each label; labels of one row need no join of hot groups, as ids are combined first."""
-    least = rows.groupBy(F.col("label").alias("l")).agg(F.min("doc_id").alias("class_id"))
+    least = store(rows.groupBy(F.col("label").alias("l")).agg(F.min("doc_id").alias("class_id")), f"{path}/least")
     return rows.join(least, F.col("label") == F.col("l")).select("doc_id", "node", "class_id")
 
 
