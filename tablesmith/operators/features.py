@@ -126,8 +126,9 @@ def impute(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     medians = column_medians(df, numeric) if numeric else {}
     new = {c: fill_numeric(df, c, m) for c, m in medians.items()}
     for f in df.schema.fields:
-        if f.name in gaps and isinstance(f.dataType, T.StringType):
-            new[f.name] = F.coalesce(quoted(f.name), F.lit("unknown"))
+        # with gaps, a column that is no number holds objects: its values become text beside the filler
+        if f.name in gaps and (isinstance(f.dataType, (T.StringType, T.BooleanType))):
+            new[f.name] = F.coalesce(value_text(quoted(f.name), f.dataType), F.lit("unknown"))
     return replace_columns(df, new)
 
 

@@ -55,8 +55,10 @@ GENERATOR_NUMERIC = ["int64", "float64", "int32", "float32", "int", "float"]
 PAIR_NUMERIC = ["int64", "float64", "int32", "float32"]
 # ------------------------------------------------------------------------------
 
-TEXT_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy", "dd.MM.yyyy",
-                "yyyyMMdd", "MMM d, yyyy"]
+# month first where both readings are possible
+TEXT_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy/M/d", "yyyy/M/d H:m", "yyyy/M/d H:m:s", "M/d/yyyy", "M/d/yyyy H:m", "M/d/yyyy H:m:s",
+                "d/M/yyyy", "d/M/yyyy H:m", "d/M/yyyy H:m:s", "M-d-yyyy", "d-M-yyyy", "d.M.yyyy", "d.M.yyyy H:m",
+                "yyyyMMdd", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy"]
 
 
 def points(cond: Column, value: int) -> Column:

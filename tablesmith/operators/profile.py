@@ -254,7 +254,7 @@ def profile_many(
         try:
             return profile_rows(df, name, positions.get(name), distinct), None
         except Exception as e:  # recorded as a row, like any other per-table failure
-            return [], (name, str(e)[:500])
+            return [], (name, str(e))
 
     with ThreadPoolExecutor(parallel) as pool:
         done = list(pool.map(one, tables.items()))

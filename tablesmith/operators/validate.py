@@ -116,7 +116,7 @@ def validate_many(spark, tables: dict[str, tuple], profiles: DataFrame) -> tuple
                            raw_path=path, schema_path=f"{p['base_name']}_schema").first()
         except Exception as e:  # one bad file is one failed row
             text = problem if ok_status else f"Failed to read or validate dataset: {e}"
-            row = failed_report(spark, p["name"], p["version"], str(text)[:500], path).first()
+            row = failed_report(spark, p["name"], p["version"], str(text), path).first()
             ok_status = ok_status or "failed"
         reports.append(tuple(row))
         errors = row["errors"]

@@ -136,6 +136,9 @@ def pair_prompts(metadata: DataFrame, p: DataFrame, targets: DataFrame) -> DataF
 
 # --- artifact match ---------------------------------------------------------------------------
 
+SUMMARY_FILE = "validation_summary.json"
+
+
 def _pieces(name: Column, lengths: list[int]) -> Column:
     """Every substring of the given lengths."""
     def cut(n: int) -> Column:
@@ -147,34 +150,36 @@ def _pieces(name: Column, lengths: list[int]) -> Column:
 
 
 def _contained(wanted: DataFrame, key: str, files: DataFrame, name: Column) -> DataFrame:
-    """(version_id, file_name, json) where the file name contains the key.
+    """(version_id, file_name): the first file name that contains the key.
 
     Containment as an equality join on the substrings that have the length of some
-    key: no pair of rows is ever compared that does not match.
+    key. A substring keeps its first file name before the join, so one that many names share gives each
+    dataset one row; no document is carried.
     """
     lengths = sorted(r[0] for r in wanted.select(F.length(key)).distinct().collect() if r[0])
     if not lengths:
-        return files.select(F.lit("").alias("version_id"), "file_name", "json").limit(0)
-    parts = files.select("file_name", "json", F.explode(_pieces(name, lengths)).alias("piece"))
-    return wanted.join(parts, F.col(key) == F.col("piece")).select("version_id", "file_name", "json")
+        return files.select(F.lit("").alias("version_id"), "file_name").limit(0)
+    parts = files.select("file_name", F.explode(_pieces(name, lengths)).alias("piece")).groupBy("piece").agg(
+        F.min("file_name").alias("file_name"))
+    return wanted.join(parts, F.col(key) == F.col("piece")).groupBy("version_id").agg(F.min("file_name").alias("file_name"))
 
 
 def match_artifacts(metadata: DataFrame, files: DataFrame, fold: bool = False) -> DataFrame:
     """(version_id, file_name, json) of the artifact of each dataset version, if any.
 
     A file name holding the version id wins; else one holding the dataset name
-    (separators removed on both sides with ``fold``); the first name decides.
+    (separators removed on both sides with ``fold``); the first name decides. The summary of a validation run is no artifact.
     """
+    files = files.where(~F.lower("file_name").endswith(SUMMARY_FILE))
     wanted = metadata.select("version_id", F.lower(
         F.regexp_replace("dataset", "[ _-]", "") if fold else F.translate("dataset", " ", "_")).alias("clean"))
     lowered = F.lower("file_name")
     named = F.regexp_replace(F.regexp_replace(lowered, r"\.[^.]*$", ""), "[ _-]", "") if fold else lowered
-    first = lambda df: df.groupBy("version_id").agg(
-        F.min_by(F.struct("file_name", "json"), "file_name").alias("f"))
-    by_version = first(_contained(wanted, "version_id", files, F.col("file_name")))
+    by_version = _contained(wanted, "version_id", files, F.col("file_name"))
     rest = wanted.join(by_version, "version_id", "left_anti")
-    by_name = first(_contained(rest, "clean", files, named))
-    return by_version.unionByName(by_name).select("version_id", "f.file_name", "f.json")
+    by_name = _contained(rest, "clean", files, named)
+    bodies = files.groupBy("file_name").agg(F.min("json").alias("json"))
+    return by_version.unionByName(by_name).join(bodies, "file_name").select("version_id", "file_name", "json")
 
 
 # --- comprehensive record ------------------------------------------------------------------------

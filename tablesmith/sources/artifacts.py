@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesmith.functions.names import base_name, stem
+from tablesmith.functions.numeric import quoted
+from tablesmith.sources.delimited import promote_header
 
 COLUMN_INFO = (
     "struct<name:string,dtype:string,missing_count:bigint,missing_percentage:double,unique_count:bigint,"
@@ -94,6 +96,31 @@ def write_features(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     write_table(df, path, fmt, ["split"] if "split" in df.columns else None)
 
 
+def features_and_target(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+    """X and y of a feature table: all columns but the target and the split mark, and the target alone."""
+    mark = [c for c in ("split",) if c in df.columns and c != target]
+    return df.drop(quoted(target), *map(quoted, mark)), df.select(quoted(target))
+
+
+def write_train_test(df: DataFrame, target: str, path: str, fmt: str = "parquet") -> None:
+    """X_train, y_train, X_test and y_test of a split feature table, each as a table of its own."""
+    for side in ("train", "test"):
+        x, y = features_and_target(df.where(F.col("split") == side), target)
+        write_table(x, f"{path}/X_{side}", fmt)
+        write_table(y, f"{path}/y_{side}", fmt)
+
+
+def curate(df: DataFrame, name: str, path: str, encoding: str = "utf-8", position: Column | None = None) -> DataFrame:
+    """Curated pass-through: header repair (where a row position is given), the written table, and its appended log row."""
+    before = df.count()
+    done = df if position is None else promote_header(df, position)
+    write_table(done, f"{path}/curated/{name}")
+    n = df.sparkSession.read.parquet(f"{path}/curated/{name}").count()
+    log = transform_log(done, name, encoding, n, before, ["promote_header"] if done.columns != df.columns else [])
+    write_json(log, f"{path}/transform_log")
+    return log
+
+
 def head_sample(df: DataFrame, order: list[Column], n: int = 50) -> DataFrame:
     """First n rows in a stated order (top-n per partition, then merged)."""
     return df.orderBy(*order).limit(n)

@@ -223,3 +223,28 @@ def test_chronological_build_orders_equal_times_by_the_key(spark):
     b = fe.build_features(df, ["row"], {"target_column": "row", "task_type": "regression"})
     test = sorted(r["row"] for r in b.frame.where("split = 'test'").collect())
     assert b.time_column == "date" and test == list(range(61, 100, 2))
+
+
+def test_text_dates_and_boolean_gaps(spark):
+    from tablesmith.operators.features import impute
+    from tablesmith.operators.infer import parse_time
+
+    texts = ["5/3/2024", "13/05/2024", "05/13/2024 10:11", "5 January 2024", "2024-02-01", "no date"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [str(r[0]) for r in df.select(parse_time(F.col("t"), df.schema["t"].dataType)).collect()]
+    assert got == ["2024-05-03 00:00:00", "2024-05-13 00:00:00", "2024-05-13 10:11:00", "2024-01-05 00:00:00", "2024-02-01 00:00:00", "None"]
+    flags = impute(spark.createDataFrame([(True,), (None,), (False,)], "b boolean")).collect()
+    assert [r[0] for r in flags] == ["True", "unknown", "False"]
+
+
+def test_splits_of_any_rows_and_names(spark):
+    names = {n: F.lit(1) for n in ("n", "q", "last", "times", "_h", "_k", "_lk", "at", "mine", "row_id")}
+    df = spark.range(400).select("id", (F.col("id") % 4).alias("y")).withColumns(names)
+    done = split_stratified(df, "y", ["id"])
+    assert done.columns == [*df.columns, "split"]
+    assert {r[0]: r[1] for r in done.where("split = 'test'").groupBy("y").count().collect()} == {i: 20 for i in range(4)}
+    alike = df.withColumn("id", F.lit(1))
+    assert split_random(alike, ["id"]).where("split = 'test'").count() == 80
+    assert split_stratified(alike, "y", ["id"]).where("split = 'test'").count() == 80
+    gaps = df.withColumn("y", F.when(F.col("id") < 200, F.col("y")))
+    assert split_stratified(gaps, "y").where("split = 'test'").groupBy(F.col("y").isNull()).count().select("count").distinct().collect() == [(40,)]

@@ -195,3 +195,13 @@ def test_pairs_take_the_plan_when_there_is_one(spark, people_profile):
     prompts = pr.pair_prompts(meta, people_profile, facts)
     pairs = pr.build_pairs(prompts, pr.comprehensive_plans(meta, people_profile, facts))
     assert {r["id"] for r in pairs.collect()} == {f"0a1b2c3d_{v}" for v in pr.LABELS}
+
+
+def test_artifact_match_with_a_common_name(spark):
+    from tablesmith.plans.pairs import match_artifacts
+
+    versions = spark.createDataFrame([(f"v{i}", "data") for i in range(40)], "version_id string, dataset string")
+    files = spark.createDataFrame([("validation_summary.json", "{}"), *[(f"data_{i:02d}.json", str(i)) for i in range(40)], ("x_v7.json", "v")],
+                                  "file_name string, json string")
+    got = {r["version_id"]: (r["file_name"], r["json"]) for r in match_artifacts(versions, files).collect()}
+    assert len(got) == 40 and got["v7"] == ("x_v7.json", "v") and got["v1"] == ("data_00.json", "0")

@@ -247,3 +247,26 @@ def test_registry_keeps_one_row_for_each_key(spark, tmp_path):
         {"updated_at": F.lit(None).cast("timestamp"), "created_at": F.lit(None).cast("timestamp")})
     kept = registry.upsert_plans(plans.limit(0), plans, every)
     assert kept.first()["plan_json"] == "{}"
+
+
+def test_curated_copy_and_train_test_tables(spark, tmp_path):
+    from tablesmith.sources.artifacts import curate, write_train_test
+
+    raw = spark.createDataFrame([(0, "name", "n"), (1, "a", "1"), (2, "b", "2")], "p long, _c0 string, _c1 string")
+    log = curate(raw.select("p", "_c0", "_c1"), "movies", str(tmp_path), position=F.col("p")).first()
+    assert log["status"] == "success" and log["original_shape"][0] == 3 and log["final_shape"][0] == 2
+    assert spark.read.json(f"{tmp_path}/transform_log").count() == 1
+    table = spark.createDataFrame([(1, 0, "train"), (2, 1, "train"), (3, 1, "test")], "x long, y long, split string")
+    write_train_test(table, "y", f"{tmp_path}/f")
+    assert spark.read.parquet(f"{tmp_path}/f/X_train").columns == ["x"]
+    assert rows(spark.read.parquet(f"{tmp_path}/f/y_test")) == [(1,)]
+
+
+def test_landing_events_carry_durations(spark, tmp_path):
+    from tablesmith.streaming.landing import ingest_paths
+
+    good, bad = write(tmp_path / "a.csv", "x,y\n1,2\n"), str(tmp_path / "missing.csv")
+    done = {r["file"]: r["status"] for r in ingest_paths(spark, [good, bad], f"{tmp_path}/w").collect()}
+    assert done == {"a.csv": "completed", "missing.csv": "failed"}
+    events = read_events(spark, f"{tmp_path}/w/events").collect()
+    assert len(events) == 2 and all(e["duration_ms"] > 0 for e in events)
