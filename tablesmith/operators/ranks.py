@@ -7,14 +7,13 @@ round is a scan with a map-side aggregate, no shuffle of rows; pivots only steer
 the counts decide, so the answer is exact. Once a region is small its distinct
 values are counted and ranked.
 
-``global_row_number`` gives every row its position in a total order by splitting
-the key range at sampled boundaries. The bucket is a pure function of the key, so
-a recomputed task puts each row in the same bucket as before.
+``global_row_number`` gives every row its position in a total order: the rows are
+written once in key order, and a position is the file's start plus the place in it, so a
+recomputed task sees the same numbers. The number of files follows the rows.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
 import math
 from dataclasses import dataclass, field
@@ -22,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablesmith.session import SINGLE_TASK_ROWS
+from tablesmith.session import SINGLE_TASK_ROWS, free_names, stored_rows
 
 AGG_CHUNK = 40  # expressions of one kind per aggregate, keeps generated code small
 PIVOT_ACCURACY = 10_000
@@ -262,33 +261,13 @@ def rank_cut(
 
 # --- total order over rows -----------------------------------------------------
 
-def range_boundaries(df: DataFrame, key: Column, n_rows: int, bucket_rows: int,
-                     max_buckets: int = 4096) -> list:
-    """Sorted cut points for a unique key: a hash sample whose size is bounded."""
-    buckets = min(max_buckets, math.ceil(n_rows / bucket_rows))
-    if buckets <= 1:
-        return []
-    oversample = 8
-    every = max(1, n_rows // (buckets * oversample))
-    picked = F.pmod(F.xxhash64(key), F.lit(every)) == 0
-    sample = sorted(r[0] for r in df.select(key.alias("k")).where(picked).distinct().collect())
-    step = max(1, math.ceil(len(sample) / buckets))
-    return sample[step - 1 : -1 : step]
-
-
-def bucket_of(key: Column, boundaries: list) -> Column:
-    """How many boundaries lie below the key, by a two-level comparison."""
-    if not boundaries:
-        return F.lit(0)
-    width = max(1, math.isqrt(len(boundaries)))
-    groups = chunks(boundaries, width)
-    heads = F.array(*[F.lit(g[-1]) for g in groups[:-1]]) if len(groups) > 1 else None
-    if heads is None:
-        return F.size(F.filter(F.array(*map(F.lit, groups[0])), lambda b: b < key))
-    tails = F.array(*[F.array(*map(F.lit, g)) for g in groups])
-    group = F.size(F.filter(heads, lambda b: b < key))
-    inner = F.size(F.filter(F.get(tails, group), lambda b: b < key))
-    return group * width + inner
+def sorted_rows(df: DataFrame, key: Column, part: str, place: str) -> DataFrame:
+    """Rows written once in the order of a unique key: the file a row lies in, and its place there.
+
+    The sort deals key ranges to tasks, so no task holds the whole column, and a retried reader sees the same places.
+    """
+    at, = free_names(df, "sort_key")
+    return stored_rows(df.withColumn(at, key).orderBy(at), part, place).drop(at)
 
 
 def global_row_number(
@@ -296,18 +275,15 @@ def global_row_number(
     bucket_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Add the 0-based position by a unique ``key`` (number, text, date)."""
-    bounds = range_boundaries(df, key, n_rows, bucket_rows)
-    tagged = df.withColumn("_bucket", bucket_of(key, bounds)).withColumn("_key", key)
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key")) - 1
-    if not bounds:
-        return tagged.withColumn(out, inside.cast("long")).drop("_bucket", "_key")
-    per_bucket = {r[0]: r[1] for r in tagged.groupBy("_bucket").count().collect()}
-    offsets, total = [], 0
-    for b in range(len(bounds) + 1):
-        offsets.append(total)
-        total += per_bucket.get(b, 0)
-    start = F.get(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_bucket"))
-    return tagged.withColumn(out, start + inside).drop("_bucket", "_key")
+    if n_rows <= bucket_rows:
+        at, = free_names(df, "sort_key")
+        number = (F.row_number().over(Window.orderBy(at)) - 1).cast("long")
+        return df.withColumn(at, key).withColumn(out, number).drop(at)
+    part, place, before = free_names(df, "part", "place", "before")
+    rows = sorted_rows(df, key, part, place)
+    files = rows.groupBy(part).agg(F.count("*").alias("n"))  # one row for each written file
+    starts = files.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(before))
+    return rows.join(starts, part).withColumn(out, F.col(place) + F.col(before)).drop(part, place, before)
 
 
 def with_previous(
@@ -316,28 +292,18 @@ def with_previous(
 ) -> DataFrame:
     """Add the value of the preceding row in the order of a unique numeric ``key``.
 
-    The last row of each key range is carried over to the next range, so no range
+    The last row of each sorted file is carried over to the next, so no file
     waits for another and none holds the whole column.
     """
-    bounds = range_boundaries(df, key, n_rows, bucket_rows)
-    tagged = df.select(
-        bucket_of(key, bounds).alias("_bucket"), key.alias("_key"), value.alias("value"))
-    lagged = F.lag("value").over(Window.partitionBy("_bucket").orderBy("_key"))
-    first = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key")) == 1
-    if not bounds:
-        return tagged.select("value", lagged.alias(out), (~first).alias("has_previous"))
-    last = tagged.groupBy("_bucket").agg(F.max_by(F.struct("value"), "_key").alias("last"))
-    ends = {r["_bucket"]: r["last"]["value"] for r in last.collect()}
-    present = sorted(ends)
-    carry = []
-    for b in range(len(bounds) + 1):
-        i = bisect.bisect_left(present, b)
-        carry.append(ends[present[i - 1]] if i else None)
-    value_type = df.select(value.alias("v")).schema[0].dataType
-    carried = F.get(F.array(*[F.lit(c).cast(value_type) for c in carry]), F.col("_bucket"))
-    start = F.lit(present[0])
-    return tagged.select(
-        "value",
-        F.when(first, carried).otherwise(lagged).alias(out),
-        (~(first & (F.col("_bucket") == start))).alias("has_previous"),
-    )
+    narrow = df.select(key.alias("_key"), value.alias("value"))
+    if n_rows <= bucket_rows:
+        order = Window.orderBy("_key")
+        return narrow.select("value", F.lag("value").over(order).alias(out), (F.row_number().over(order) > 1).alias("has_previous"))
+    rows = sorted_rows(narrow, F.col("_key"), "part", "place")
+    ends = rows.groupBy("part").agg(F.max_by(F.struct("value"), "place").alias("end"))  # one row for each written file
+    carried = ends.select("part", F.lag("end").over(Window.orderBy("part")).alias("carried"))
+    lagged = F.lag("value").over(Window.partitionBy("part").orderBy("place"))
+    first = F.col("place") == 0
+    return rows.withColumn("lagged", lagged).join(carried, "part").select(
+        "value", F.when(first, F.col("carried.value")).otherwise(F.col("lagged")).alias(out),
+        (~(first & F.col("carried").isNull())).alias("has_previous"))

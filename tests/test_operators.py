@@ -248,3 +248,16 @@ def test_splits_of_any_rows_and_names(spark):
     assert split_stratified(alike, "y", ["id"]).where("split = 'test'").count() == 80
     gaps = df.withColumn("y", F.when(F.col("id") < 200, F.col("y")))
     assert split_stratified(gaps, "y").where("split = 'test'").groupBy(F.col("y").isNull()).count().select("count").distinct().collect() == [(40,)]
+
+
+def test_both_quantile_paths_agree(spark):
+    """The narrowing search gives what one sorted task gives, on the values that doubles hold badly."""
+    df = spark.range(500).select(
+        (F.lit(2**53) + F.col("id") * 3).alias("big"), (F.col("id") / 7).cast("decimal(20,6)").alias("dec"),
+        F.when(F.col("id") < 20, float("-inf")).when(F.col("id") > 480, float("inf")).otherwise(F.col("id") * 1.5).alias("inf"),
+        F.when(F.col("id") % 2 == 0, -0.0).otherwise(0.0).alias("zero"))
+    columns = {c: F.col(c).cast("double") for c in df.columns}
+    sizes = {c: 500 for c in columns}
+    one = exact_quantiles(df, columns, [0.1, 0.25, 0.5, 0.9], sizes, 500)
+    many = exact_quantiles(df, columns, [0.1, 0.25, 0.5, 0.9], sizes, 500, single_task_rows=10)
+    assert one == many
