@@ -36,7 +36,7 @@ DATASETS = ("SELECT c_custkey AS dataset_id, c_name AS original_filename, c_nati
 PLANS = "SELECT n_nationkey AS plan_id, n_name AS plan_source FROM nation"
 RUNS = ("SELECT o_orderkey AS run_id, o_custkey AS dataset_id, CAST(o_custkey % 40 AS INT) AS plan_id, "
         "o_orderstatus AS status, o_orderdate AS started_at FROM orders")
-METRICS = "SELECT o_orderkey AS run_id, o_totalprice AS accuracy FROM orders WHERE o_orderkey % 2 = 0"
+METRICS = "SELECT o_orderkey AS run_id, o_totalprice AS accuracy FROM orders"
 
 
 @query("registry_datasets", f"""SELECT dataset_id::BIGINT AS dataset_id, original_filename, row_count::BIGINT AS row_count,
@@ -65,10 +65,11 @@ def recent_metrics(spark, sf):
 
 
 OLD = ("SELECT c_name AS dataset_name, c_mktsegment AS target_column, c_nationkey AS row_count, c_custkey AS created_at, "
-       "c_custkey AS updated_at FROM customer WHERE c_custkey % 5 <> 0")
-NEW = ("SELECT c_name AS dataset_name, CASE WHEN c_custkey % 2 = 0 THEN 'renewed' END AS target_column, "
-       "c_nationkey + 100 AS row_count, c_custkey + 1000000 AS created_at, c_custkey + 1000000 AS updated_at "
-       "FROM customer WHERE c_custkey % 3 = 0")
+       "c_custkey AS updated_at FROM customer")
+# every second supplier renews the customer of its number, the others are new
+NEW = ("SELECT CASE WHEN s_suppkey % 2 = 0 THEN replace(s_name, 'Supplier', 'Customer') ELSE s_name END AS dataset_name, "
+       "CASE WHEN s_suppkey % 4 = 0 THEN 'renewed' END AS target_column, s_nationkey + 100 AS row_count, "
+       "s_suppkey + 1000000 AS created_at, s_suppkey + 1000000 AS updated_at FROM supplier")
 
 
 @query("registry_upsert", f"""SELECT coalesce(o.dataset_name, n.dataset_name) AS dataset_name,
@@ -76,15 +77,15 @@ NEW = ("SELECT c_name AS dataset_name, CASE WHEN c_custkey % 2 = 0 THEN 'renewed
     coalesce(o.created_at, n.created_at)::BIGINT AS created_at, coalesce(n.updated_at, o.updated_at)::BIGINT AS updated_at
     FROM ({OLD}) o FULL JOIN ({NEW}) n ON o.dataset_name = n.dataset_name""")
 def registry_upsert(spark, sf):
-    view(spark, sf, "customer")
+    view(spark, sf, "customer", "supplier")
     return plain(rg.upsert_datasets(spark.sql(OLD), spark.sql(NEW)))
 
 
 OLD_PLANS = ("SELECT o_orderkey AS plan_id, o_custkey AS dataset_id, o_orderpriority AS plan_json, o_orderkey AS created_at, "
-             "o_orderkey AS updated_at FROM orders WHERE o_orderkey % 10 < 3")
-NEW_PLANS = ("SELECT o_orderkey AS plan_id, o_custkey AS dataset_id, o_orderstatus AS plan_json, o_orderkey + 5000000 AS created_at, "
-             "o_orderkey + 5000000 AS updated_at FROM orders WHERE o_orderkey % 10 >= 8")
-KNOWN = "SELECT c_custkey AS dataset_id FROM customer WHERE c_custkey % 4 <> 1"
+             "o_orderkey AS updated_at FROM orders")
+NEW_PLANS = ("SELECT event_id + 10000000 AS plan_id, user_id * 2 AS dataset_id, event_type AS plan_json, event_id + 5000000 AS created_at, "
+             "event_id + 5000000 AS updated_at FROM events")
+KNOWN = "SELECT c_custkey AS dataset_id FROM customer"
 
 
 @query("registry_plan_upsert", f"""WITH u AS (SELECT * FROM ({OLD_PLANS}) UNION ALL SELECT * FROM ({NEW_PLANS})
@@ -92,7 +93,7 @@ KNOWN = "SELECT c_custkey AS dataset_id FROM customer WHERE c_custkey % 4 <> 1"
     arg_min(plan_id, created_at)::BIGINT AS plan_id, arg_max(plan_json, updated_at) AS plan_json,
     max(updated_at)::BIGINT AS updated_at FROM u GROUP BY dataset_id""")
 def plan_upsert(spark, sf):
-    view(spark, sf, "orders", "customer")
+    view(spark, sf, "orders", "customer", "events")
     return plain(rg.upsert_plans(spark.sql(OLD_PLANS), spark.sql(NEW_PLANS), spark.sql(KNOWN)))
 
 

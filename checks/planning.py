@@ -280,10 +280,12 @@ def json_rescued(spark, sf):
 # --- prompts and pairs ---------------------------------------------------------------------------------------
 
 KEYED = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
-         "part": "p_partkey", "orders": "o_orderkey"}
+         "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey * 10 + l_linenumber", "events": "event_id",
+         "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id",
+         "conversations": "conv_id * 1000 + turn"}
 KEYED_REL = {t: RELATIONS[t] for t in KEYED}
 SAMPLES = "samples AS (" + " UNION ALL ".join(
-    f"""SELECT '{t}' AS dataset, '{c}' AS name, string_agg('''' || v || '''', ', ' ORDER BY rk) AS shown FROM (
+    f"""SELECT '{t}' AS dataset, '{c}' AS name, string_agg('''' || replace(v, chr(10), '\\n') || '''', ', ' ORDER BY rk) AS shown FROM (
     SELECT {c}::VARCHAR AS v, row_number() OVER (ORDER BY min({k}), {c}::VARCHAR) AS rk FROM {RELATIONS[t]}
     WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rk <= 3"""
     for t, k in KEYED.items() for c, kind in columns_of(t) if kind in ("str", "ts")) + ")"
@@ -292,7 +294,7 @@ PSAMP = f"{profile_sql(KEYED_REL)}, {SAMPLES}, ps AS (SELECT prof.*, shown FROM
 
 def keyed_profiles(spark, sf):
     tables = {t: gappy(spark, sf, t) if t in GAPS else table(spark, sf, t) for t in KEYED}
-    p = profile_many(spark, tables, {t: F.col(k) for t, k in KEYED.items()})[0]
+    p = profile_many(spark, tables, {t: F.expr(k) for t, k in KEYED.items()})[0]
     # sums run in another order on another engine: show the mean to 3 digits on both sides
     return p.withColumn("mean", F.round("mean", 3))
 
@@ -314,7 +316,7 @@ PROMPTS = f"""{PSAMP}, {T1}, pt AS (SELECT ps.*, target_column, coalesce(name =
     FROM ps JOIN t1 USING (dataset)), pb AS (SELECT dataset, any_value(n) AS n, count(*) AS k,
     coalesce(any_value(target_column), 'None') AS tgt, string_agg('  - ' || name || CASE WHEN is_t THEN ' [TARGET]' ELSE '' END
     || ': ' || dtype || ', ' || CASE WHEN mn IS NOT NULL THEN 'min=' || mn::VARCHAR || ', max=' || mx::VARCHAR || ', mean='
-    || round(round(mean, 3), 2)::VARCHAR || ', ' || uniq || ' unique' || CASE WHEN pct > 0 THEN ', ' || (pct::DOUBLE)::VARCHAR
+    || round(round(mean, 3)::DECIMAL(28, 3), 2)::DOUBLE::VARCHAR || ', ' || uniq || ' unique' || CASE WHEN pct > 0 THEN ', ' || (pct::DOUBLE)::VARCHAR
     || '% missing' ELSE '' END ELSE uniq || ' unique' || CASE WHEN pct > 0 THEN ', ' || (pct::DOUBLE)::VARCHAR || '% missing'
     ELSE '' END || coalesce(', samples=[' || shown || ']', '') END, chr(10) ORDER BY ordinal) AS details,
     string_agg(name, ', ' ORDER BY ordinal) FILTER (WHERE NOT is_t AND {GNUM}) AS nums,
@@ -413,8 +415,8 @@ def summary(spark, sf):
 
 ART_META = """(SELECT substr(md5({k}), 1, 8) AS version_id, 'Ds-' || lpad({k}, 7, '0') || ' set' AS dataset FROM customer)"""
 ART_FILES = """(SELECT CASE c_custkey % 4 WHEN 0 THEN '20240101_000000_' || substr(md5({k}), 1, 8) || '_x_schema.json'
-    WHEN 1 THEN 'ds_' || lpad({k}, 7, '0') || '_SET_schema.json' WHEN 2 THEN 'other_' || c_custkey || '_schema.json' END AS file_name,
-    CASE WHEN c_custkey % 8 <> 4 THEN '{{}}' END AS json FROM customer WHERE c_custkey % 4 < 3)"""
+    WHEN 1 THEN 'ds_' || lpad({k}, 7, '0') || '_SET_schema.json' WHEN 2 THEN 'other_' || c_custkey || '_schema.json' ELSE 'rest_' || c_custkey || '.json' END AS file_name,
+    CASE WHEN c_custkey % 8 <> 4 THEN '{{}}' END AS json FROM customer)"""
 _kd, _ks = "c_custkey::VARCHAR", "cast(c_custkey as string)"
 CLEAN = "lower(replace(replace(replace({c}, ' ', ''), '_', ''), '-', ''))"
 MATCH = f"""m AS (SELECT * FROM {ART_META.format(k=_kd)}), f AS (SELECT * FROM {ART_FILES.format(k=_kd)}),
