@@ -284,7 +284,8 @@ def _sets(docs: DataFrame, involved: DataFrame) -> DataFrame:
     texts = docs.select(F.unhex(F.md5(F.array_join(words_of(F.col("text")), " "))).alias("node"), "text").withColumn("table", table.scalar())
     bit = at(F.col("node"))
     texts = texts.where(F.getbit(F.get("table", (bit % (FILTER_BITS // 64)).cast("int")), F.floor(bit / (FILTER_BITS // 64)).cast("int")) == 1)
-    texts = texts.select("node", "text").join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    # Copies are reduced to one text where they are read, so they do not meet in one task.
+    texts = texts.groupBy("node").agg(F.first("text").alias("text")).join(involved, "node", "left_semi")
     hashes = texts.select("node", let(words_of(F.col("text")), lambda ws: F.transform(ws, lambda x: F.xxhash64(x))).alias("w"))
     return hashes.mapInArrow(sets_of, "node binary, s array<long>")
 
