@@ -192,6 +192,8 @@ def passages(docs: DataFrame, least: int = LEAST, path: str | None = None) -> Da
     path = path or workspace(spark, "chains")
     found = store(seeds(docs), f"{path}/seeds")
     shared = found.groupBy("h").agg(F.min("tid").alias("least"), F.max("tid").alias("most")).where("least != most").select("h")
+    # Stored first: a join of two plain shuffles is one whose hot keys Spark can split.
+    shared = store(shared, f"{path}/shared")
     hits = store(found.join(shared, "h", "left_semi"), f"{path}/hits")
     erase(spark, f"{path}/seeds")
     texts = store(docs.select(
@@ -204,6 +206,7 @@ def passages(docs: DataFrame, least: int = LEAST, path: str | None = None) -> Da
     first_hits = store(first_hits, f"{path}/first-hits")
     start = first_hits.groupBy("h").agg(F.min(F.struct(order().alias("o"), F.col("pos").alias("pos"))).alias("f"))
     start = start.select("h", F.col("f.o.id").alias("src_id"), F.col("f.o.tid").alias("src"), F.col("f.pos").alias("src_pos"))
+    start = store(start, f"{path}/start")
     links = first_hits.join(start, "h").where("tid != src")
     per_text = links.groupBy("tid").agg(F.collect_list(F.struct("src", "src_id", "pos", "src_pos")).alias("links"))
 
