@@ -4,7 +4,8 @@ Only the histogram of piece lengths, at most one count for each length up to
 the capacity, comes to the driver. Patterns of two and three lengths that fill
 a sequence exactly are enumerated, their repeat counts are fitted to the histogram by
 non-negative least squares and rounded to whole numbers that the histogram can
-serve; what is left goes, longest first, into the tightest open space. The plan
+serve; repeats of one or two hot lengths, which need not fill exactly, are tried too. What is
+left goes, longest first, into the tightest open space, and the plan with the fewest sequences is taken. The plan
 is a table of patterns with repeat counts, so its size follows the capacity and not the
 corpus. Pieces find their place from their length and their rank in it.
 """
@@ -30,6 +31,8 @@ CAPACITY = 2048
 #: The smallest part of a three-part pattern is a multiple of this.
 GRID = 32
 FIT_ROUNDS = 400
+#: Lengths with most tokens whose repeats are tried as patterns.
+HOT = 8
 #: Entries that a worker keeps of encoded chunks.
 KEEP = 1_000_000
 LONG_CHUNK = 64
@@ -169,42 +172,81 @@ def fit(counts: np.ndarray, table: np.ndarray, rounds: int = FIT_ROUNDS) -> np.n
     return x
 
 
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns with repeat counts that use every length exactly as often as ``counts`` says. Driver work bounded by the capacity."""
-    left = counts.astype(np.int64).copy()
+def take(left: np.ndarray, parts: tuple[int, ...], most: int | None = None) -> int:
+    """How often the pattern can be repeated from what is ``left``, ``most`` at most; these pieces are taken away."""
+    n = min(int(left[p]) // parts.count(p) for p in parts)
+    n = n if most is None else min(n, most)
+    for p in parts:
+        left[p] -= n
+    return n
+
+
+def close(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns for all that is left: longest first, as many as fit into the open sequences with the least space that suffices, then into new ones."""
+    left = left.copy()
+    spaces: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    for length in range(capacity, 0, -1):
+        n = int(left[length])
+        while n:
+            room = min((s for s in spaces if s >= length), default=None)
+            if room is None:
+                room, parts = capacity, ()
+                fits = min(room // length, n)
+                many = n // fits
+            else:
+                parts, many = spaces[room].pop()
+                if not spaces[room]:
+                    del spaces[room]
+                fits = min(room // length, n)
+            taken = min(many, n // fits)
+            if taken < many:
+                spaces.setdefault(room, []).append((parts, many - taken))
+            spaces.setdefault(room - fits * length, []).append((parts + (length,) * fits, taken))
+            n -= taken * fits
+    return [x for entries in spaces.values() for x in entries]
+
+
+def fitted(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Exact fillings as often as the fit says; takes their pieces from ``left``."""
     out: list[tuple[tuple[int, ...], int]] = []
-    if left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
     table = patterns(capacity)
     if left.any() and len(table):
-        fitted = np.rint(fit(left, table)).astype(np.int64)
-        for k in np.argsort(-fitted, kind="stable"):
-            if not fitted[k]:
+        times = np.rint(fit(left, table)).astype(np.int64)
+        for k in np.argsort(-times, kind="stable"):
+            if not times[k]:
                 break
-            parts = [int(p) for p in table[k] if p]
-            n = min([int(fitted[k]), *(int(left[p]) // parts.count(p) for p in parts)])
+            parts = tuple(int(p) for p in table[k] if p)
+            n = take(left, parts, int(times[k]))
             if n > 0:
-                out.append((tuple(parts), n))
-                for p in parts:
-                    left[p] -= n
-    # The rest: longest first, into the open sequences with the least space that suffices.
-    spaces: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-    for length in range(capacity - 1, 0, -1):
-        n = int(left[length])
-        while n:
-            room = min((s for s in spaces if s >= length), default=None)
-            parts, many = spaces[room].pop() if room is not None else ((), n)
-            if room is not None and not spaces[room]:
-                del spaces[room]
-            room = capacity if room is None else room
-            fits = min(room // length, -(-n // many)) if many < n else 1
-            take = min(many, n // fits)
-            if take < many:
-                spaces.setdefault(room, []).append((parts, many - take))
-            spaces.setdefault(room - fits * length, []).append((parts + (length,) * fits, take))
-            n -= take * fits
-    return out + [x for entries in spaces.values() for x in entries]
+                out.append((parts, n))
+    return out
+
+
+def repeated(left: np.ndarray, capacity: int, hot: int = HOT) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings by repeats of one or two of the lengths with most tokens, fullest first; takes their pieces from ``left``."""
+    tokens = left * np.arange(len(left))
+    top = [int(k) for k in np.argsort(-tokens, kind="stable")[:hot] if left[k]]
+    found = {(a,) * i + (b,) * ((capacity - i * a) // b) for a in top for b in top if a != b for i in range(1, capacity // a + 1)}
+    found |= {(a,) * (capacity // a) for a in top}
+    found = {tuple(sorted(x, reverse=True)) for x in found}
+    return [(x, n) for x in sorted(found, key=lambda x: (-sum(x), len(x), x)) if (n := take(left, x))]
+
+
+def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns with repeat counts that use every length exactly as often as ``counts`` says. Driver work bounded by the capacity.
+
+    Broad histograms fill well with the fitted patterns, hot lengths with repeats of themselves; the shortest plan is taken.
+    """
+    plans = []
+    for steps in ((fitted,), (), (repeated,), (repeated, fitted)):
+        left = counts.astype(np.int64).copy()
+        full = int(left[capacity])
+        left[capacity] = 0
+        out = [((capacity,), full)] if full else []
+        for step in steps:
+            out += step(left, capacity)
+        plans.append(out + close(left, capacity))
+    return min(plans, key=lambda x: sum(n for _, n in x))
 
 
 def places(planned: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

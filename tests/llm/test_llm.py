@@ -476,6 +476,30 @@ def test_plan_uses_every_length_and_wastes_little(n):
     assert sum(m for _, m in planned) <= 1.02 * total / 2048 + 2
 
 
+@pytest.mark.parametrize("hot, most", [
+    ({100: 2000}, 100), ({1: 4096}, 2), ({1: 5}, 1), ({900: 300, 300: 600}, 250), ({700: 1200, 670: 1200}, 900),
+    ({2048: 3, 1025: 10, 1023: 10}, 13), ({683: 7}, 4)])
+def test_plan_repeats_hot_lengths(hot, most):
+    counts = np.zeros(2049, np.int64)
+    for length, n in hot.items():
+        counts[length] = n
+    planned = packing.plan(counts, 2048)
+    used = Counter()
+    for parts, many in planned:
+        assert sum(parts) <= 2048 and many > 0
+        for p in parts:
+            used[p] += many
+    assert used == Counter(hot) and sum(m for _, m in planned) == most
+
+
+def test_plan_of_a_broad_histogram_with_a_hot_length():
+    r = np.random.default_rng(5)
+    counts = np.bincount(np.minimum(2048, r.lognormal(5.8, 1.2, 4000).astype(int) + 1), minlength=2049)
+    counts[300] += 6000
+    total = int((counts * np.arange(2049)).sum())
+    assert sum(m for _, m in packing.plan(counts, 2048)) <= 1.03 * total / 2048 + 2
+
+
 def test_split_at_blanks_gives_the_tokenizers_ids():
     c, r = packing.ByteCoder(BYTE, RANKS), random.Random(1)
     pieces = ["\0", "a", "the", "ing", "'s", "!", " ", "\n", "é", "22", "<|endoftext|>", " foo", "\t", "한", "\xa0", "\x85", "Ünd ", "."]
