@@ -377,6 +377,24 @@ def test_wrappers_generalise():
     assert m.slots_of(["table", "#"]) is None
 
 
+def texts_of(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in wrappers.main_text(df).collect()}
+
+
+@pytest.mark.parametrize("host", ["http://h.example/", None])
+def test_pages_without_article_on_a_host_with_articles(spark, host):
+    word = [f"w{i} x{i}" for i in range(40)]
+    rows = [(i, host, f"<html><body><nav>m{i}</nav><article><h1>{word[i]}</h1>" + f"<p>{word[i + 1]}</p>" * (1 + i % 3)
+             + f"</article><div>out {i}</div></body></html>") for i in range(6)]
+    rows += [(10, host, f"<html><body><nav>m</nav><div>{word[20]}</div><div>{word[21]}</div></body></html>"),
+             (11, host, f"<html><body><table><tr><td>{word[22]}</td><td>{word[23]}</td></tr></table></body></html>"),
+             (12, host, f"<html><body><h1>{word[24]}</h1><div>{word[25]}</div></body></html>")]
+    got = texts_of(spark, rows)
+    assert {i: got[i] for i in range(6)} == {i: "\n\n".join([word[i]] + [word[i + 1]] * (1 + i % 3)) for i in range(6)}
+    assert [got[i] for i in (10, 11, 12)] == ["\n\n".join(word[i: i + 2]) for i in (20, 22, 24)]
+
+
 # op9
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
