@@ -35,31 +35,47 @@ MAIN = frozenset("article main".split())
 WORDS = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie
 cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related
 replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget""".split())
+# Parts of a class name that speak of another block or of a state, and elements that class words never set apart.
+STATES = frozenset("has have no not non with without is layout enabled disabled".split())
+WHOLE = frozenset("html body main article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+# Name by name with its value, so that values are never read as names.
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]\S*)))?""")
 SLOT, LONGEST_UNIT = "#", 8
 
 
+def _names_a_part(value: str) -> bool:
+    """Whether one of the names in a class or id value is that of a part set apart: a word of ``WORDS`` first or last, nothing from ``STATES``."""
+    for name in value.split():
+        parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if parts and not STATES.intersection(parts) and (parts[0] in WORDS or parts[-1] in WORDS):
+            return True
+    return False
+
+
 def _key(name: str, attributes: str) -> str:
-    """An element's name, with a mark if its attributes make it no part of the main text."""
+    """An element's name, with a mark if its attributes make it no part of the main text. The first of equal attributes counts."""
     if not attributes.strip():
         return name
-    for attribute, value in _ATTR.findall(attributes):
-        attribute, value = attribute.lower(), value.strip("\"'")
-        if attribute == "hidden" or attribute == "aria-hidden" and value == "true":
+    seen = set()
+    for m in _ATTR.finditer(attributes):
+        attribute = m[1].lower()
+        if attribute in seen:
+            continue
+        seen.add(attribute)
+        value = html_lib.unescape(next((v for v in m.groups()[1:] if v is not None), "")).strip()
+        if attribute == "hidden" or attribute == "aria-hidden" and value.lower() == "true":
             return name + "!"
-        if attribute == "style" and re.search(r"display\s*:\s*none", value, re.I):
+        if attribute == "style" and re.search(r"(?:^|;)\s*display\s*:\s*none", value, re.I):
             return name + "!"
         if attribute == "role" and value.lower() in ROLES:
             return name + "!"
-        if attribute in ("class", "id"):
-            parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            if WORDS.intersection(parts):
-                return name + "!"
+        if attribute in ("class", "id") and name not in WHOLE and _names_a_part(value):
+            return name + "!"
     return name
 
 

@@ -395,6 +395,18 @@ def test_pages_without_article_on_a_host_with_articles(spark, host):
     assert [got[i] for i in (10, 11, 12)] == ["\n\n".join(word[i: i + 2]) for i in (20, 22, 24)]
 
 
+@pytest.mark.parametrize("tag, apart", [
+    ("body class='has-sidebar'", False), ("body class='navbar-fixed'", False), ("html id=menu", False), ("article class='post no-sidebar'", False),
+    ("main class='widget'", False), ("div class='content-with-sidebar'", False), ("div class='content-sidebar-wrap'", False), ("div data-hidden='false'", False),
+    ("article title='The hidden valley'", False), ("div title='a class=ad b'", False), ("div data-style='display:none'", False), ("div aria-hidden='false'", False),
+    ("div title='x' data-role='menu'", False), ("div id=story class=body", False), ("div hidden", True), ("div hidden=''", True), ("div a=b class='x ad'", True),
+    ("div class=sidebar-left", True), ("div id='siteFooter'", True), ("div ROLE = \"Menu\"", True), ("div style='color:red; display : none'", True),
+    ("article hidden", True), ("div aria-hidden=true", True), ("div class='main has-x navbar'", True)])
+def test_attributes_that_set_apart(tag, apart):
+    page = f"<{tag}><p>some text</p></{tag.split()[0]}>"
+    assert wrappers.extract(page, None) == ("" if apart else "some text")
+
+
 # op9
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
