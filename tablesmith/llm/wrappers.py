@@ -4,14 +4,16 @@ A page becomes a stream of structure tags and text slots. Neighbouring repeats
 are folded into groups, which leaves few distinct forms in a host; they are counted before they meet. The
 forms of a host are aligned one after the other with its wrapper, a regular expression
 without alternatives: what only one side has becomes an optional group, one
-copy of a unit against many a repeated group, and texts are slots. Slots inside the page's own article, if it
-has one, and outside menus, adverts and the like are content. The groups of its host's wrapper that
+copy of a unit against many a repeated group. Texts that many different pages of a host share are constants unless
+other text is aligned with them; all other texts are slots. Slots inside the page's own article, if it
+has one, and outside menus, adverts and the like are content; constants are none on pages without an article. The groups of its host's wrapper that
 a page fills decide, and the slots it fills give its blocks.
 """
 
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html as html_lib
 import json
 import re
@@ -46,6 +48,8 @@ _TAG = re.compile(
 # Name by name with its value, so that values are never read as names.
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]\S*)))?""")
 SLOT, LONGEST_UNIT = "#", 8
+#: A text is a candidate for the template if it stands on this many different pages of a host at least, and on this share of them.
+COMMON_PAGES, COMMON_SHARE = 3, 0.5
 
 
 def _names_a_part(value: str) -> bool:
@@ -124,6 +128,19 @@ def stream(page: str) -> tuple[list[str], list[str]]:
     return tokens, texts
 
 
+def digest(text: str) -> int:
+    """A signed number of 64 bits for a text."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def marked(tokens: list[str], texts: list[str], common: frozenset) -> list[str]:
+    """The tokens with the digest in the slot of each text that is common on the host."""
+    if not common:
+        return tokens
+    digests = map(digest, texts)
+    return [f"{SLOT}{d}" if t == SLOT and (d := next(digests)) in common else t for t in tokens]
+
+
 def fold(items: list) -> list:
     """Neighbouring copies of a unit, shortest units first, become one repeated group ("+", unit)."""
     for size in range(1, LONGEST_UNIT + 1):
@@ -147,6 +164,12 @@ def fold(items: list) -> list:
     return items
 
 
+def _texts(x, y) -> bool:
+    """Whether both are texts: of a wrapper, perhaps optional, and of a form."""
+    x = x[1][0] if isinstance(x, list) and x[0] == "?" else x
+    return isinstance(x, str) and isinstance(y, str) and x.startswith(SLOT) and y.startswith(SLOT)
+
+
 def merge(wrapper: list, form: list) -> list:
     """The wrapper that also fits another folded form."""
     a, b = [json.dumps(x) for x in wrapper], [json.dumps(x) for x in form]
@@ -166,6 +189,8 @@ def merge(wrapper: list, form: list) -> list:
             out.append(left[0])
         elif len(right) == 1 and right[0][0] == "+" and right[0][1] == left:
             out.append(right[0])
+        elif len(left) == len(right) and all(map(_texts, left, right)):  # unequal texts at one place
+            out += [["?", [SLOT]] if isinstance(x, list) else SLOT for x in left]
         else:
             optional(left)
             optional(right)
@@ -180,12 +205,12 @@ def infer(forms: list[list]) -> list:
     return wrapper
 
 
-def content_slots(tokens: list[str]) -> list[bool]:
-    """For each slot of a token stream, whether it is main text: in the article if there is one, and in no part set apart."""
+def places_of(tokens: list[str]) -> list[tuple[bool, bool]]:
+    """For each slot of a token stream, whether it is in no part set apart, and whether it is in an article."""
     stack: list[str] = []
     places = []
     for t in tokens:
-        if t == SLOT:
+        if t.startswith(SLOT):
             apart = any(x.endswith("!") or x in ASIDE for x in stack)
             places.append((not apart, any(x.rstrip("!") in MAIN for x in stack)))
         elif t.startswith("/"):
@@ -200,8 +225,15 @@ def content_slots(tokens: list[str]) -> list[bool]:
             if t.rstrip("!") == "body" and stack and stack[-1] == "head":
                 stack.pop()
             stack.append(t)
+    return places
+
+
+def content_slots(tokens: list[str], fixed: frozenset = frozenset()) -> list[bool]:
+    """For each slot of a token stream, whether it is main text: in no part set apart, and in the article if there is one, else none of the ``fixed`` texts."""
+    places = places_of(tokens)
     inside = any(ok and main for ok, main in places)
-    return [ok and (main or not inside) for ok, main in places]
+    texts = (t for t in tokens if t.startswith(SLOT))
+    return [ok and (main if inside else t not in fixed) for (ok, main), t in zip(places, texts)]
 
 
 def flat(wrapper: list) -> list[str]:
@@ -215,8 +247,11 @@ def flat(wrapper: list) -> list[str]:
 class Matcher:
     """A wrapper ready to judge the slots of its host's pages. One walk over a page; nothing depends on the clock."""
 
-    def __init__(self, wrapper: list):
-        self.known = frozenset(flat(wrapper))
+    def __init__(self, wrapper: list, common: frozenset = frozenset()):
+        self.known = frozenset(flat(wrapper)) | {SLOT} | {f"{SLOT}{d}" for d in common}
+        self.common = common
+        # What is still a constant after all forms were merged.
+        self.fixed = frozenset(t for t in flat(wrapper) if t.startswith(SLOT) and t != SLOT)
 
     def slots_of(self, tokens: list[str]) -> list[bool] | None:
         """Whether each slot of a page is content; None if the page has tags that its wrapper lacks.
@@ -226,39 +261,67 @@ class Matcher:
         """
         if not self.known.issuperset(tokens):
             return None
-        return content_slots(tokens)
+        return content_slots(tokens, self.fixed)
 
 
 def extract(page: str, matcher: Matcher | None) -> str:
     """Blocks of the main text, joined by blank lines. A page that its wrapper does not fit is judged by its own tags."""
     tokens, texts = stream(page)
-    chosen = matcher.slots_of(tokens) if matcher else None
+    chosen = matcher.slots_of(marked(tokens, texts, matcher.common)) if matcher else None
     if chosen is None:
         chosen = content_slots(tokens)
     return "\n\n".join(t for t, ok in zip(texts, chosen) if ok)
 
 
+def common_texts(pages: DataFrame) -> DataFrame:
+    """host, common: digests of the texts outside marked parts that many of the host's different pages without an article share.
+
+    Pages with the same texts count once; hosts without common texts are left out.
+    """
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict = {}
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens, texts = stream(page)
+                places = places_of(tokens)
+                if any(ok for ok, _ in places) and not any(ok and main for ok, main in places):
+                    seen[host, digest("\0".join(texts))] = sorted({digest(t) for t, (ok, _) in zip(texts, places) if ok})
+            yield pa.RecordBatch.from_arrays([
+                pa.array([h for h, _ in seen], pa.string()), pa.array([p for _, p in seen], pa.int64()),
+                pa.array(list(seen.values()), pa.list_(pa.int64()))], names=["host", "page", "texts"])
+
+    each = pages.mapInArrow(digests, "host string, page long, texts array<long>").groupBy("host", "page").agg(F.first("texts").alias("texts"))
+    each = store(each, workspace(pages.sparkSession, "page-texts"))
+    often = each.select("host", F.explode("texts").alias("text")).groupBy("host", "text").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_PAGES)
+    totals = each.groupBy("host").agg(F.count("*").alias("pages"))
+    return often.join(totals, "host").where(F.col("n") >= COMMON_SHARE * F.col("pages")).groupBy("host").agg(
+        F.sort_array(F.collect_list("text")).alias("common"))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper: one for each host, from all its pages."""
+    """host, wrapper, common: the wrapper of each host, from all its pages, and the common texts (or null) that its constants are chosen from."""
+    common = store(common_texts(pages), workspace(pages.sparkSession, "common"))
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict = {}
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                form = json.dumps(fold(stream(page)[0]))
+            for host, page, known in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                form = json.dumps(fold(marked(*stream(page), frozenset(known or ()))))
                 seen[host, form] = seen.get((host, form), 0) + 1
             yield pa.RecordBatch.from_arrays([
                 pa.array([h for h, _ in seen], pa.string()), pa.array([f for _, f in seen], pa.string()),
                 pa.array(list(seen.values()), pa.int64())], names=["host", "form", "n"])
 
-    counted = pages.mapInArrow(forms, "host string, form string, n long").groupBy("host", "form").agg(F.sum("n").alias("n"))
+    counted = pages.join(common, "host", "left").select("host", "html", "common").mapInArrow(
+        forms, "host string, form string, n long").groupBy("host", "form").agg(F.sum("n").alias("n"))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n", "form"], ascending=[False, True])
         return pd.DataFrame([[group["host"].iloc[0], json.dumps(infer([json.loads(f) for f in group["form"]]))]], columns=["host", "wrapper"])
 
     # Only the distinct forms of a host meet in a task, however many pages it has.
-    return counted.groupBy("host").applyInPandas(one, "host string, wrapper string")
+    return counted.groupBy("host").applyInPandas(one, "host string, wrapper string").join(common, "host", "left")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -276,13 +339,14 @@ def main_text(pages: DataFrame) -> DataFrame:
         known: dict = {}
         for batch in batches:
             texts = []
-            for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if wrapper not in known:
-                    known[wrapper] = Matcher(json.loads(wrapper))
-                texts.append(extract(page, known[wrapper]))
+            for page, wrapper, common in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                key = wrapper, tuple(common or ())
+                if key not in known:
+                    known[key] = Matcher(json.loads(wrapper), frozenset(key[1]))
+                texts.append(extract(page, known[key]))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])
 
-    return rows.join(found, "host").select("page_id", "url", "html", "wrapper").mapInArrow(
+    return rows.join(found, "host").select("page_id", "url", "html", "wrapper", "common").mapInArrow(
         read, "page_id long, url string, text string, n_chars long")

@@ -407,6 +407,28 @@ def test_attributes_that_set_apart(tag, apart):
     assert wrappers.extract(page, None) == ("" if apart else "some text")
 
 
+def test_template_texts_of_a_host_without_articles(spark):
+    page = "<html><body><div>We use cookies.</div><div><h1>{t}</h1>{body}</div><p>Write to us.</p></body></html>"
+    want, rows = {}, []
+    for i in range(8):
+        blocks = [f"text {i} {k}" for k in range(1 + i % 3)]
+        want[i] = "\n\n".join([f"title {i}", *blocks])
+        rows.append((i, "http://a.example/", page.format(t=f"title {i}", body="".join(f"<div>{b}</div>" for b in blocks))))
+    rows += [(20 + i, "http://copies.example/", page.format(t="same", body="<div>text</div>")) for i in range(6)]
+    rows += [(30 + i, "http://articles.example/", f"<article><h2>Contents</h2><p>words {i}</p></article><p>Write to us.</p>") for i in range(6)]
+    # Near copies lose nothing where other text stands at the same place.
+    rows += [(40 + i, "http://near.example/", f"<div>Cookies.</div><p>{'the same words' if i < 5 else f'other words {i}'}</p><h2>{i}</h2>") for i in range(6)]
+    got = texts_of(spark, rows)
+    assert {i: got[i] for i in want} == want
+    assert {got[20 + i] for i in range(6)} == {"We use cookies.\n\nsame\n\ntext\n\nWrite to us."}
+    assert [got[30 + i] for i in range(6)] == [f"Contents\n\nwords {i}" for i in range(6)]
+    assert [got[40 + i] for i in range(6)] == [f"the same words\n\n{i}" for i in range(5)] + ["other words 5\n\n5"]
+
+
+def test_unequal_texts_become_a_slot():
+    assert wrappers.infer([["p", "#7", "div", "#8"], ["p", "#", "div", "#8"]]) == ["p", "#", "div", "#8"]
+
+
 # op9
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
