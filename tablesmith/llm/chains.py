@@ -4,7 +4,7 @@ Winnowed k-mers of words are the seeds. A seed that occurs in several texts link
 occurrence to its first one, so a passage of n copies gives n links and
 not n squared. The links of a text to one source are chained in order, with gap costs, through a
 Fenwick tree; each chain is aligned word by word between its seeds and beyond both ends, which
-also finds passages with words changed, lost or added. Stretches of a text that chains cover are joined, and those of at least
+also finds passages with words changed, lost or added. Stretches of a text that one source covers are joined, and those of at least
 ``least`` words are its repeated passages.
 """
 
@@ -168,16 +168,27 @@ def align(run: list[tuple[int, int]], words: np.ndarray, source: np.ndarray) ->
 
 
 def cover(parts: list[tuple], least: int = LEAST, bridge: int = BRIDGE) -> list[tuple]:
-    """Joined stretches of at least ``least`` words: (start, end, source) with the source of the longest part, ties to the smallest."""
+    """(start, end, source) of what sources cover by at least ``least`` words each, joined where they meet.
+
+    Stretches of one source are joined first, so short repeats of several texts side by side are no passage. A joined
+    passage has the source of its longest part, ties to the smallest.
+    """
+    rank = lambda source: (source is None, source or 0)
+    long: list = []
+    for start, end, source in sorted(parts, key=lambda x: (rank(x[2]), x[0], x[1])):
+        if long and long[-1][2] == source and start <= long[-1][1] + bridge:
+            long[-1][1] = max(long[-1][1], end)
+        else:
+            long.append([start, end, source])
     out: list = []
-    for start, end, source in sorted(parts, key=lambda x: (x[0], x[1], x[2] is None, x[2] or 0)):
+    for start, end, source in sorted((x for x in long if x[1] - x[0] >= least), key=lambda x: (x[0], x[1], rank(x[2]))):
         if out and start <= out[-1][1] + bridge:
             if end - start > out[-1][3]:
                 out[-1][2], out[-1][3] = source, end - start
             out[-1][1] = max(out[-1][1], end)
         else:
             out.append([start, end, source, end - start])
-    return [tuple(x[:3]) for x in out if x[1] - x[0] >= least]
+    return [tuple(x[:3]) for x in out]
 
 
 def passages(docs: DataFrame, least: int = LEAST, path: str | None = None) -> DataFrame:

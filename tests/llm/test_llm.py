@@ -333,6 +333,13 @@ def test_exact_repeats_are_all_found_and_changed_ones_too(spark, docs, empty):
     assert chains.repeated_passages(empty).count() == 0
 
 
+def test_one_source_covers_a_passage():
+    assert chains.cover([(0, 30, 1), (30, 62, 2), (63, 90, 3)]) == []
+    assert chains.cover([(0, 30, 1), (31, 62, 1), (62, 80, 2)]) == [(0, 62, 1)]
+    assert chains.cover([(0, 60, 2), (58, 120, 1), (10, 20, 1), (200, 250, None)]) == [(0, 120, 1), (200, 250, None)]
+    assert chains.cover([(0, 49, 1)]) == []
+
+
 def test_removed_passages(docs):
     odd = clash(docs, "spans", "tid")
     out = chains.remove_passages(odd)
