@@ -24,7 +24,8 @@ from tablesmith.llm.quality import words_of
 from tablesmith.llm.shared import col, erase, fresh, store, workspace
 
 #: Words of a seed; one seed at least in every run of ``WINDOW`` neighbouring k-mers.
-SEED, WINDOW = 8, 24
+#: Twelve equal words in a row share a seed for certain, so passages with every tenth word changed hardly ever lack one.
+SEED, WINDOW = 5, 8
 #: Words of the shortest passage.
 LEAST = 50
 #: Worth of a seed in a chain, and the cost of each word of gap on either side.

@@ -333,6 +333,31 @@ def test_exact_repeats_are_all_found_and_changed_ones_too(spark, docs, empty):
     assert chains.repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("every", [10, 20])
+def test_changed_passages_share_a_seed(every):
+    r, found = np.random.default_rng(every), 0
+    words = lambda n: r.integers(1, 2**62, n, dtype=np.uint64)
+    for k in range(400):
+        passage = words(60)
+        changed = passage.copy()
+        changed[k % every:: every] = words(len(changed[k % every:: every]))
+        a, b = (set(chains.winnow(np.concatenate([words(60), p, words(60)]))[1].tolist()) for p in (passage, changed))
+        found += bool(a & b)
+    assert found >= 398
+
+
+def test_changed_passages_are_found(spark):
+    rows = []
+    for i in range(40):
+        shared = prose(7000 + i, 60).split()
+        changed = [f"other{i}{k}" if k % 10 == i % 10 else w for k, w in enumerate(shared)]
+        rows += [(i, prose(7100 + i, 60) + " " + " ".join(shared) + " " + prose(7200 + i, 60)),
+                 (100 + i, prose(7300 + i, 60) + " " + " ".join(changed) + " " + prose(7400 + i, 60))]
+    got = {r.doc_id: r for r in chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {100 + i for i in range(40)}
+    assert all(got[100 + i].source_id == i and abs(got[100 + i].start - 60) <= 3 and abs(got[100 + i].end - 120) <= 3 for i in range(40))
+
+
 def test_one_source_covers_a_passage():
     assert chains.cover([(0, 30, 1), (30, 62, 2), (63, 90, 3)]) == []
     assert chains.cover([(0, 30, 1), (31, 62, 1), (62, 80, 2)]) == [(0, 62, 1)]
