@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablesmith.llm.alignment import align_documents
 from tablesmith.llm.bpe import encode_documents
 from tablesmith.llm.chains import repeated_passages
+from tablesmith.llm.frames import token_files
+from tablesmith.llm.manifest import document_manifest
 from tablesmith.llm.minhash import near_duplicates
 from tablesmith.llm.packing import pack_documents
 from tablesmith.llm.private import report
@@ -65,7 +68,23 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk, op3_warc, op4_quality, op5_minhash, op6_bpe, op7_substring, op8_html, op9_pii, op10_packing)}
+def op11_frames(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files(
+        _table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return document_manifest(_table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_topk, op3_warc, op4_quality, op5_minhash, op6_bpe, op7_substring, op8_html, op9_pii, op10_packing,
+    op11_frames, op12_alignment, op13_manifest)}
 ORACLES = {
     "op2_topk": """
 WITH v AS (

@@ -7,7 +7,7 @@ import tempfile
 import types
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word rules: blank and U+0009 to U+000D.
@@ -72,17 +72,15 @@ def numbered(df: DataFrame, order: list[str], path: str, name: str = "row") -> t
     flat.orderBy(*[col(c) for c in order], tie).drop(tie).write.parquet(f"{path}/sorted")
     erase(spark, f"{path}/flat")
     rows = spark.read.schema(df.schema).parquet(f"{path}/sorted")
-    part, before = fresh(df, "part", "before")
-    rows = rows.select(
-        "*",
-        F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias(part),
-        F.col("_metadata.row_index").alias(name),
-    )
-    files = rows.groupBy(part).count().select(part, F.col("count").alias(before))
+    file, before = fresh(df, "file", "before")
+    rows = rows.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(name))
+    files = rows.groupBy(file).count().select(file, F.col("count").alias(before))
     total = files.agg(F.sum(before)).first()[0] or 0
+    # A task writes one file or, where their length is limited, several: the task's number, then the file's.
     # One row for each written file, so this running sum stays small in one task.
-    starts = files.select(part, F.expr(f"sum({before}) OVER (ORDER BY {part}) - {before}").alias(before))
-    out = rows.join(starts, part).withColumn(name, F.col(name) + F.col(before)).drop(part, before)
+    task, nth = (F.regexp_extract(col(file), rf"{p}(\d+)", 1).cast("long") for p in ("^part-", "-c"))
+    starts = files.withColumn(before, F.sum(before).over(Window.orderBy(task, nth)) - F.col(before))
+    out = rows.join(starts, file).withColumn(name, F.col(name) + F.col(before)).drop(file, before)
     return out, int(total)
 
 

@@ -1,0 +1,287 @@
+"""Token files, tokenizer alignment and the manifest against brute force, with edge rows and damaged inputs."""
+
+import bisect
+import hashlib
+import io
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+
+from tablesmith.llm import alignment, frames, manifest, sharding
+
+BYTE = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECE = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = ["the", "Of", "lyre", "Ünd", "éau", "running", "blest", "whom", "re", "nervous,", "That.\n\nNew", "12.5%"]
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+TEXTS = [
+    None, "", " ", " \t\n", "one", "A  b   c ", "x▁y", "<s> <0x41> </s> <|endoftext|> tail", "한국어 🙂\n\n tab\t x", "a᠎ b", "the\n the  the",
+    prose(1, 40), prose(2, 400), prose(1, 40), "x" * 9000, "Ab " * 3000,
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", None if i % 5 == 0 else f"s{i % 3}", None if t is None else len(t)) for i, t in enumerate(TEXTS)]
+    rows += [(None, "null id", "en", "s1", 7), (None, "null id", "en", "s1", 7), (4, "one", "en", "s1", 3), (4, "two", None, "s1", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(3)
+    for name in ("hash", "place", "file", "part", "unit", "n", "tree", "leaf", "other", "task"):
+        df = df.withColumn(name, F.lit("kept"))
+    return df
+
+
+# op11
+
+def coded(tok, text):
+    return np.asarray([*tok.encode(text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
+
+
+@pytest.fixture(scope="module")
+def tok():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(BYTE)
+
+
+@pytest.mark.parametrize("file_bytes", [1 << 27, 500])
+def test_token_files_hold_all_ids_in_order(docs, tok, tmp_path, file_bytes):
+    index = frames.write(docs, str(tmp_path), BYTE, RANKS, frame=50, file_bytes=file_bytes)
+    out = frames.read(index, ids=True, span=200).join(frames.starts(index), "file").collect()
+    out = sorted(out, key=lambda r: r.before + r["first"])
+    assert [r.doc_id for r in out] == sorted([r.doc_id for r in docs.collect()], key=lambda x: (x is not None, x))
+    want = sorted((r.doc_id if r.doc_id is not None else -1, coded(tok, r.text)) for r in docs.collect())
+    assert sorted((r.doc_id if r.doc_id is not None else -1, bytes(r.ids)) for r in out) == want
+    at = 0
+    for r in out:
+        assert r.before + r["first"] == at and r.n_tokens == len(r.ids) // 4 and r.ids_crc32 == zlib.crc32(r.ids)
+        at += r.n_tokens
+    assert (index.select("file").distinct().count() > 3) == (file_bytes == 500)
+
+
+def test_token_files_of_chosen_rows_repeats_and_no_rows(docs, tok, tmp_path):
+    index = frames.write(docs, str(tmp_path), BYTE, RANKS, frame=64)
+    one = index.where("doc_id = 12")
+    assert [bytes(r.ids) for r in frames.read(one.unionByName(one), ids=True).collect()] == [coded(tok, TEXTS[12])] * 2
+    assert frames.token_files(docs.limit(0), BYTE).count() == 0
+
+
+class _Counting(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.taken += len(data)
+        return data
+
+
+@pytest.mark.parametrize("width", [2, 4])
+def test_frames_are_plain_zstandard_and_read_apart(width):
+    ids = np.random.default_rng(1).integers(0, 50_000, 5000).astype("<u4")
+    out = io.BytesIO()
+    out.close, done = lambda: None, None
+    w = frames.FrameWriter(out, width, frame=500)
+    for part in np.split(ids, [3, 3, 1200, 4999]):
+        w.add(part.tobytes())
+    w.close()
+    data = out.getvalue()
+    plain = b"".join(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read(10**6) for _ in [0])
+    assert plain == ids.astype("<u2" if width == 2 else "<u4").tobytes()
+    f = _Counting(data)
+    r = frames.FrameReader(f, len(data))
+    before = f.taken
+    assert r.ids(700, 40) == ids[700:740].tobytes() and f.taken - before < len(data) / 5
+    assert r.ids(0, 5000) == ids.tobytes() and r.ids(499, 2) == ids[499:501].tobytes() and r.ids(5000, 0) == b""
+    with pytest.raises(ValueError):
+        r.ids(4999, 2)
+    sums = bytearray(data)
+    sums[-9 - 12 + 8] ^= 1  # the checksum of the last frame
+    with pytest.raises(ValueError):
+        frames.FrameReader(io.BytesIO(bytes(sums)), len(data)).ids(4999, 1)
+    with pytest.raises(ValueError):
+        frames.FrameReader(io.BytesIO(data[:-1]), len(data) - 1)
+
+
+# op12
+
+def brute_alignment(texts):
+    """Token bytes, spans and overlaps written out, without chunks, hashes or counts by task."""
+    t = alignment.Aligner(BYTE, PIECE)
+    docs = []
+    for text in texts:
+        a, b = (t.a.encode(" " + text, add_special_tokens=False).ids, t.b.encode(text)) if text else ([], [])
+        parts = [t.bytes_a[i] for i in a], [t.bytes_b[i] for i in b]
+        if not text or any(b"".join(p) != (" " + text).encode() for p in parts):
+            docs.append(None)
+            continue
+        ends = [np.cumsum([len(x) for x in p]).tolist() for p in parts]
+        common = sorted(set(ends[0]) & set(ends[1]))
+        groups = [[[], []] for _ in common]
+        for side, ids in enumerate((a, b)):
+            for i, e in zip(ids, ends[side]):
+                groups[bisect.bisect_left(common, e)][side].append(i)
+        links, j = [], 0
+        for i, (x, e) in enumerate(zip(a, ends[0])):
+            s = e - len(parts[0][i])
+            while ends[1][j] <= s:
+                j += 1
+            k = j
+            while k < len(b) and ends[1][k] - len(parts[1][k]) < e:
+                links.append((x, b[k]))
+                k += 1
+        shown = ";".join("|".join(",".join(map(str, side)) for side in g) for g in groups)
+        docs.append((len(a), len(b), len(common), links, hashlib.sha256(shown.encode()).hexdigest()))
+    counts = Counter(x for d in docs if d for x in set(d[3]))
+    high = defaultdict(int)
+    for (a, _), n in counts.items():
+        high[a] = max(high[a], n)
+    return [(0,) * 6 + ("",) if d is None else (*d[:3], len(d[3]), sum(counts[x] == high[x[0]] for x in d[3]), sum(counts[x] for x in d[3]), d[4])
+            for d in docs]
+
+
+@pytest.mark.parametrize("table_bytes", [1 << 26, 0])
+def test_alignment(docs, table_bytes):
+    rows = docs.collect()
+    out = alignment.align_documents(docs, BYTE, PIECE, table_bytes=table_bytes, bucket=20).collect()
+    assert sorted(map(str, (tuple(r)[1:] for r in out))) == sorted(map(str, brute_alignment([r.text for r in rows])))
+    assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in rows)
+    assert [tuple(r)[1:5] for r in out if r.doc_id in (0, 1, 6)] == [(0, 0, 0, 0)] * 3
+
+
+@pytest.mark.parametrize("table_bytes", [1 << 26, 0])
+def test_alignment_of_nothing(docs, table_bytes):
+    assert alignment.align_documents(docs.limit(0), BYTE, PIECE, table_bytes=table_bytes).count() == 0
+    none = alignment.align_documents(docs.where("text IS NULL"), BYTE, PIECE, table_bytes=table_bytes).collect()
+    assert [tuple(r)[1:] for r in none] == [(0,) * 6 + ("",)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 300, 5000])
+def test_hash_is_minimal_and_perfect(n):
+    keys = np.random.default_rng(n).choice(1 << 62, n, replace=False).astype(np.uint64)
+    buckets = max(1, n // 700)
+    at = alignment.bucket_of(keys, buckets)
+    rows = []
+    for b in np.unique(at):
+        seeds, placed = alignment.build(keys[at == b])
+        rows.append((int(b), seeds.astype("<u4").tobytes(), placed.astype("<u8").tobytes(), (placed % np.uint64(97)).astype("<i8").tobytes()))
+    t = alignment.Table(buckets, rows)
+    assert sorted(t.places(keys).tolist()) == list(range(n))
+    assert (t.lookup(keys) == (keys % np.uint64(97)).astype(np.int64)).all()
+    with pytest.raises(KeyError):
+        t.lookup(np.array([keys[0] + np.uint64(1)]))
+
+
+def test_vectors_add_up_over_several_levels(spark, tmp_path):
+    rows = [(task, key, task + key) for task in range(23) for key in range(0, 60, 1 + task % 4)]
+    partial = spark.createDataFrame(rows, "task int, key long, docs long")
+    functions = alignment.hash_pairs(partial, 3).cache()
+    sums = alignment.sum_vectors(partial, functions, 3, str(tmp_path), fan=2).join(functions, "bucket").collect()
+    got = {k: c for r in sums for k, c in zip(np.frombuffer(r["keys"], "<u8").tolist(), np.frombuffer(r["counts"], "<i8").tolist())}
+    want = Counter()
+    for _, k, n in rows:
+        want[k] += n
+    assert got == want
+
+
+# op13
+
+def joined(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def brute_leaf(*fields):
+    return joined(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in fields))
+
+
+def brute_tree(leaves):
+    """Root and, for each leaf, the (left, right) siblings of its ancestors."""
+    level, paths = [(x, [i]) for i, x in enumerate(leaves)], [[] for _ in leaves]
+    while len(level) > 1:
+        above = []
+        for k in range(0, len(level), 16):
+            run = level[k: k + 16]
+            for j, (_, below) in enumerate(run):
+                for i in below:
+                    paths[i].append(("".join(x for x, _ in run[:j]), "".join(x for x, _ in run[j + 1:])))
+            above.append((joined(*(x for x, _ in run)), [i for _, below in run for i in below]))
+        level = above
+    return level[0][0], paths
+
+
+def brute_manifest(rows):
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append((r.doc_id is not None, r.doc_id or 0, brute_leaf(r.doc_id, r.source, r.lang, r.n_chars, r.text), r))
+    names = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: brute_tree([x[2] for x in sorted(by[s], key=lambda x: x[:3])]) for s in names}
+    root, over = brute_tree([trees[s][0] for s in names])
+    out = []
+    for s, top in zip(names, over):
+        for (_, _, leaf, r), own in zip(sorted(by[s], key=lambda x: x[:3]), trees[s][1]):
+            text = r.text
+            if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and text is not None:
+                text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+            node = brute_leaf(r.doc_id, r.source, r.lang, r.n_chars, text)
+            for left, right in own + top:
+                node = joined(left, node, right)
+            out.append((r.doc_id, leaf, trees[s][0], root, joined(*(x + y for x, y in own + top)), node, node == root))
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_manifest(docs, block):
+    got = manifest.document_manifest(docs, block).collect()
+    assert sorted(str(tuple(r)[:7]) for r in got) == brute_manifest(docs.collect())
+
+
+@pytest.mark.parametrize("block", [16, 256])
+def test_manifest_of_large_and_many_groups(spark, block):
+    df = spark.range(700).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("Text A"), F.col("id")).alias("text"), F.lit("en").alias("lang"),
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("source"), F.lit(6).cast("long").alias("n_chars"))
+    got = manifest.document_manifest(df, block).collect()
+    assert sorted(str(tuple(r)[:7]) for r in got) == brute_manifest(df.collect())
+    assert {r.verified for r in got} == {True, False}
+
+
+@pytest.mark.parametrize("n", [0, 1, 16, 17])
+def test_manifest_of_few_rows(docs, n):
+    rows = docs.orderBy("doc_id", "text").limit(n)
+    assert sorted(str(tuple(r)[:7]) for r in manifest.document_manifest(rows).collect()) == (brute_manifest(rows.collect()) if n else [])
+
+
+def test_versions_share_all_but_their_path():
+    tree = manifest.Tree([joined(str(i)) for i in range(300)])
+    before = [list(x) for x in tree.levels]
+    one, two = tree.version(37, joined("new")), tree.version(299, joined("other"))
+    assert [len(v.path) for v in (one, two)] == [len(tree.levels)] * 2 and tree.levels == before
+    for v, at, leaf in ((one, 37, "new"), (two, 299, "other")):
+        leaves = [joined(str(i)) for i in range(300)]
+        leaves[at] = joined(leaf)
+        assert v.top == manifest.Tree(leaves).top == manifest.fold(joined(leaf), tree.siblings(at))
+        assert all(v.node(0, i) is tree.node(0, i) for i in range(300) if i != at)
+
+
+# Row numbers where one task writes several files
+
+def test_numbers_with_short_files(spark, docs):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        rows = sharding.shard_documents(spark.range(200).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), 6).collect()
+        got = manifest.document_manifest(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted(r.row for r in rows) == list(range(200))
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.row)] == list(range(200))
+    assert sorted(str(tuple(r)[:7]) for r in got) == brute_manifest(docs.collect())
