@@ -76,7 +76,9 @@ def op11_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align_documents(
+        docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op13_manifest(spark: SparkSession, sf: str) -> DataFrame:

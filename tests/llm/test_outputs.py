@@ -153,12 +153,28 @@ def brute_alignment(texts):
 @pytest.mark.parametrize("table_bytes", [1 << 26, 0])
 def test_alignment(docs, table_bytes):
     rows = docs.collect()
-    out = alignment.align_documents(docs, BYTE, PIECE, table_bytes=table_bytes, bucket=20).collect()
+    out = alignment.align_documents(docs, BYTE, PIECE, RANKS, table_bytes=table_bytes, bucket=20).collect()
     assert sorted(map(str, (tuple(r)[1:] for r in out))) == sorted(map(str, brute_alignment([r.text for r in rows])))
     assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in rows)
     assert [tuple(r)[1:5] for r in out if r.doc_id in (0, 1, 6)] == [(0, 0, 0, 0)] * 3
 
 
+@pytest.mark.parametrize("part", [3, 40, 1000])
+def test_texts_in_parts_align_as_whole(part, monkeypatch):
+    tool = alignment.Aligner(BYTE, PIECE, RANKS)
+    texts = [*TEXTS, "a\xa0b  c", prose(5, 90) + " x▁y " + prose(6, 90)]
+    whole = alignment.measured(alignment.Lexicon(tool), texts, pairs=True)
+    monkeypatch.setattr(alignment, "KEEP", 5)
+    words = alignment.Lexicon(tool)
+    cut = alignment.measured(words, texts, pairs=True, part=part)
+    assert (whole[0] == cut[0]).all() and whole[1] == cut[1]
+    assert [x is None for x in whole[2]] == [x is None for x in cut[2]]
+    keys = list(words.pairs)
+    for text, x, row in zip(texts, cut[2], brute_alignment(texts)):
+        assert x is None or (x[1].sum() == row[3] and len({keys[k] for k in x[0]}) == len(x[0]))
+    assert [tuple(r[:4]) for r in cut[0].tolist()] == [r[:4] for r in brute_alignment(texts)]
+
+
 @pytest.mark.parametrize("table_bytes", [1 << 26, 0])
 def test_alignment_of_nothing(docs, table_bytes):
     assert alignment.align_documents(docs.limit(0), BYTE, PIECE, table_bytes=table_bytes).count() == 0
