@@ -255,10 +255,10 @@ NEAR = "CASE WHEN o_orderkey % 50 <> 0 THEN 2e-3 * o_custkey + 5 END"
 @query("high_corr_wide", f"""SELECT 'x' AS col1, 'y' AS col2, (round(corr(x, y), 3) + 0.0) AS correlation
     FROM (SELECT {FAR} AS x, {NEAR} AS y FROM orders) WHERE y IS NOT NULL""")
 def high_corr_wide(spark, sf):
-    """A pair that agrees on the rows it shares and lies far away on others, among unrelated columns."""
+    """A pair that agrees on the rows it shares and lies far away on others, among 140 unrelated columns in two blocks."""
     df = table(spark, sf, "orders").select(
         F.expr(FAR.replace("1e-3", "1e-3D")).alias("x"), F.expr(NEAR).alias("y"),
-        *[(F.pmod(F.xxhash64("o_orderkey", F.lit(i)), F.lit(1000))).cast("double").alias(f"z{i}") for i in range(5)])
+        *[(F.pmod(F.xxhash64("o_orderkey", F.lit(i)), F.lit(1000))).cast("double").alias(f"z{i}") for i in range(140)])
     return plain(high_correlation(df).select("col1", "col2", "correlation"))
 
 

@@ -1,3 +1,12 @@
-"""Spark-native profiling, validation, planning and feature building for tabular data."""
+"""Spark-native data preparation for tabular machine learning.
+
+Functions that run inside Python workers are shipped by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 __version__ = "0.1.0"

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import functools
+import io
+
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablesmith.functions.numeric import as_double, numeric_columns, quoted, safe_corr
-from tablesmith.operators.ranks import AGG_CHUNK, chunks
-from tablesmith.session import cut_lineage
+from tablesmith.functions.numeric import as_double, numeric_columns, quoted
+from tablesmith.operators.ranks import AGG_CHUNK, agg_row
 
 LOW_CORRELATION = 0.05
 HIGH_CORRELATION = 0.9
 IMBALANCE_RATIO = 3
 MOMENTS = ["n", "mx", "my", "sxx", "syy", "sxy"]
+BLOCK_COLUMNS = 128  # columns of a block: a matrix of 128 KB
+FAN = 16
+FEW_PAIRS = AGG_CHUNK
 
 
 def _xs(df: DataFrame, columns: list[str]) -> dict[str, Column]:
@@ -23,88 +29,151 @@ def _xs(df: DataFrame, columns: list[str]) -> dict[str, Column]:
 
 
 def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(ordinal, col1, col2, correlation): all pairs of one chunk in a single scan.
+    """(ordinal, col1, col2, correlation) of chosen pairs by plain sums: means first, then sums centred on them.
 
-    Stays lazy: each chunk is a one-row aggregate turned into one row per pair.
+    A pair without gaps takes the means and spreads of its columns. A pair with gaps has its own, over the rows that
+    have both values. A few numbers for each pair reach the driver.
     """
-    names = sorted({c for p in pairs for c in p})
-    xs = _xs(df, names)
-    parts = []
-    for start, part in enumerate(chunks(list(enumerate(pairs)), AGG_CHUNK)):
-        row = df.agg(*[safe_corr(xs[a], xs[b]).alias(f"r{i}") for i, (_, (a, b)) in enumerate(part)])
-        cells = F.array(*[
-            F.struct(F.lit(o).alias("ordinal"), F.lit(a).alias("col1"), F.lit(b).alias("col2"),
-                     F.col(f"r{i}").alias("correlation"))
-            for i, (o, (a, b)) in enumerate(part)
-        ])
-        parts.append(row.select(F.inline(cells)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _pair_moments(x: np.ndarray) -> dict[str, np.ndarray]:
-    """For all pairs of columns, over the rows that have both: count, means, and sums centred on those means."""
-    k = x.shape[1]
-    have = ~np.isnan(x)
-    filled = np.where(have, x, 0.0)
-    out = {m: np.zeros((k, k)) for m in MOMENTS}
-    for i in range(k):
-        rows = have[:, i]
-        both, a, b = have[rows], filled[rows, i][:, None], filled[rows]
+    xs = _xs(df, sorted({c for p in pairs for c in p}))
+    first = agg_row(df, {"rows": F.count(F.lit(1))} | {f"n.{c}": F.count(x) for c, x in xs.items()}
+                    | {f"m.{c}": F.avg(x) for c, x in xs.items()})
+    dense = {c for c in xs if first[f"n.{c}"] == first["rows"]}
+    gapped = {p: (F.when(xs[p[1]].isNotNull(), xs[p[0]]), F.when(xs[p[0]].isNotNull(), xs[p[1]]))
+              for p in pairs if not dense.issuperset(p)}
+    own = agg_row(df, {(k, p): e for p, (x, y) in gapped.items()
+                       for k, e in (("n", F.count(x + y)), ("x", F.avg(x)), ("y", F.avg(y)))}) if gapped else {}
+    centred = {c: x - F.lit(first[f"m.{c}"]) for c, x in xs.items()}
+    sums = {("xx", c): F.sum(d * d) for c, d in centred.items() if c in dense}
+    for p in dict.fromkeys(pairs):
+        dx, dy = centred[p[0]], centred[p[1]]
+        if p in gapped:
+            dx, dy = (v - F.lit(own[k, p]) for k, v in zip("xy", gapped[p]))
+            sums |= {("xx", p): F.sum(dx * dx), ("yy", p): F.sum(dy * dy)}
+        sums["xy", p] = F.sum(dx * dy)
+    got = agg_row(df, sums)
+
+    def coefficient(p: tuple[str, str]) -> float | None:
+        n = own["n", p] if p in gapped else first["rows"]
+        mx, my = (own["x", p], own["y", p]) if p in gapped else (first[f"m.{c}"] for c in p)
+        sxx, syy = (got["xx", p], got["yy", p]) if p in gapped else (got["xx", c] for c in p)
+        if not n:
+            return None
+        r = float(_coefficients(tuple(np.full((1, 1), v) for v in (n, mx, my, sxx, syy, got["xy", p])))[0, 0])
+        return None if np.isnan(r) else r
+
+    return df.sparkSession.createDataFrame(
+        [(i, a, b, coefficient((a, b))) for i, (a, b) in enumerate(pairs)], "ordinal long, col1 string, col2 string, correlation double")
+
+
+# Wide tables: co-moments of blocks of columns
+
+def block_moments(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Moments of every column of ``x`` with every column of ``y`` over the rows that have both.
+
+    Without gaps the counts, means and spreads are those of the columns and stay vectors; with gaps they
+    are matrices, centred pair by pair, so a value far away on rows that lack the other costs no digits.
+    """
+    have_x, have_y = ~np.isnan(x), ~np.isnan(y)
+    if have_x.all() and have_y.all():
+        mx, my = x.mean(axis=0), y.mean(axis=0)
+        dx, dy = x - mx, y - my
+        return (np.full((1, 1), float(len(x))), mx[:, None], my[None, :], (dx * dx).sum(axis=0)[:, None],
+                (dy * dy).sum(axis=0)[None, :], dx.T @ dy)
+    out = tuple(np.zeros((x.shape[1], y.shape[1])) for _ in MOMENTS)
+    filled = np.where(have_y, y, 0.0)
+    for i in range(x.shape[1]):
+        rows = have_x[:, i]
+        both, a, b = have_y[rows], x[rows, i][:, None], filled[rows]
         n = both.sum(axis=0)
-        safe = np.maximum(n, 1)
-        out["n"][i], out["mx"][i], out["my"][i] = n, (a * both).sum(axis=0) / safe, b.sum(axis=0) / safe
-        da, db = (a - out["mx"][i]) * both, (b - out["my"][i]) * both
-        out["sxx"][i], out["syy"][i], out["sxy"][i] = (da * da).sum(axis=0), (db * db).sum(axis=0), (da * db).sum(axis=0)
+        mx, my = (a * both).sum(axis=0) / np.maximum(n, 1), b.sum(axis=0) / np.maximum(n, 1)
+        da, db = (a - mx) * both, (b - my) * both
+        for m, value in zip(out, (n, mx, my, (da * da).sum(axis=0), (db * db).sum(axis=0), (da * db).sum(axis=0))):
+            m[i] = value
     return out
 
 
-def _merge(a: dict, b: dict) -> dict:
+def merge_moments(a: tuple, b: tuple) -> tuple[np.ndarray, ...]:
     """Moments of two groups of rows together."""
-    n = a["n"] + b["n"]
-    share = np.divide(b["n"], n, out=np.zeros_like(n), where=n > 0)
-    dx, dy = b["mx"] - a["mx"], b["my"] - a["my"]
-    weight = a["n"] * share
-    return {"n": n, "mx": a["mx"] + dx * share, "my": a["my"] + dy * share, "sxx": a["sxx"] + b["sxx"] + dx * dx * weight,
-            "syy": a["syy"] + b["syy"] + dy * dy * weight, "sxy": a["sxy"] + b["sxy"] + dx * dy * weight}
+    n = a[0] + b[0]
+    share = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    weight = a[0] * share
+    return (n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + dx * dx * weight, a[4] + b[4] + dy * dy * weight,
+            a[5] + b[5] + dx * dy * weight)
+
+
+def pack_moments(m: tuple) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **dict(zip(MOMENTS, m)))
+    return out.getvalue()
+
+
+def unpack_moments(data: bytes) -> tuple[np.ndarray, ...]:
+    with np.load(io.BytesIO(data)) as m:
+        return tuple(m[name] for name in MOMENTS)
 
 
-def gram_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """All pairs of a table in one scan, whatever its width.
+def _coefficients(m: tuple) -> np.ndarray:
+    n, mx, my, sxx, syy, sxy = m
+    # What rounding alone leaves of a constant column is no spread.
+    flat = (sxx <= 1e-28 * n * mx * mx) | (syy <= 1e-28 * n * my * my) | (n < 1)
+    spread = np.sqrt(sxx) * np.sqrt(syy)
+    return np.divide(sxy, spread, out=np.full(sxy.shape, np.nan), where=~np.broadcast_to(flat, sxy.shape) & (spread > 0))
+
+
+def block_correlations(df: DataFrame, columns: list[str], width: int = BLOCK_COLUMNS, fan: int = FAN) -> DataFrame:
+    """(ordinal, col1, col2, correlation) of all pairs of a table of any width, in one scan.
 
-    Every task reduces its rows to each pair's count, means and centred sums over the rows that have
-    both values, so a value far away on other rows costs no digits; tasks are put together around the common means.
+    Accumulating tasks, no more than the cluster has cores twice over however many parts the input has, reduce their rows to one
+    matrix for each pair of column blocks; matrices are added up along a tree of ``fan`` children a node, a block pair a task.
     """
     xs = _xs(df, columns)
     k = len(columns)
-    first, second = np.triu_indices(k, 1)
+    starts = list(range(0, k, width))
 
-    def moments(batches):
-        total = None
+    def accumulate(batches):
+        task, total = TaskContext.get().partitionId(), {}
         for batch in batches:
-            part = _pair_moments(batch.to_numpy(dtype=float, na_value=np.nan))
-            total = part if total is None else _merge(total, part)
-        if total is not None:
-            yield pd.DataFrame({"i": first, "j": second} | {m: total[m][first, second] for m in MOMENTS}).query("n > 0")
-
-    schema = "i long, j long, " + ", ".join(f"{c} double" for c in MOMENTS)
-    parts = cut_lineage(df.select(*[xs[c].alias(f"x{i}") for i, c in enumerate(columns)]).mapInPandas(moments, schema))
-    means = parts.groupBy("i", "j").agg(
-        F.sum("n").alias("all"), (F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("ax"), (F.sum(F.col("n") * F.col("my")) / F.sum("n")).alias("ay"))
-    dx, dy = F.col("mx") - F.col("ax"), F.col("my") - F.col("ay")
-    s = parts.join(means, ["i", "j"]).groupBy("i", "j").agg(
-        F.sum(F.col("sxx") + F.col("n") * dx * dx).alias("sxx"), F.sum(F.col("syy") + F.col("n") * dy * dy).alias("syy"),
-        F.sum(F.col("sxy") + F.col("n") * dx * dy).alias("sxy"), F.first("all").alias("n"), F.first("ax").alias("ax"), F.first("ay").alias("ay"))
-    # What rounding alone leaves of a constant column is no spread.
-    noise = lambda mean: 1e-28 * F.col("n") * F.col(mean) * F.col(mean)
-    flat = (F.col("sxx") <= noise("ax")) | (F.col("syy") <= noise("ay"))
+            x = batch.to_numpy(dtype=float, na_value=np.nan)
+            for a in starts:
+                for b in starts:
+                    if a <= b and len(x):
+                        part = block_moments(x[:, a: a + width], x[:, b: b + width])
+                        total[a, b] = merge_moments(total[a, b], part) if (a, b) in total else part
+        yield pd.DataFrame([(a, b, task, pack_moments(m)) for (a, b), m in total.items()], columns=["i", "j", "node", "m"])
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        total = functools.reduce(merge_moments, map(unpack_moments, group.sort_values("node")["m"]))
+        return pd.DataFrame([[*group[["i", "j"]].iloc[0], group["node"].iloc[0] // fan, pack_moments(total)]], columns=["i", "j", "node", "m"])
+
+    def finish(batches):
+        for batch in batches:
+            for i, j, m in zip(batch["i"], batch["j"], batch["m"]):
+                r = _coefficients(unpack_moments(m))
+                at = np.argwhere((np.arange(r.shape[0]) + i)[:, None] < (np.arange(r.shape[1]) + j)[None, :])
+                r = r[at[:, 0], at[:, 1]]
+                yield pd.DataFrame({"i": at[:, 0] + i, "j": at[:, 1] + j, "r": pd.Series(r, dtype=object).where(~np.isnan(r), None)})
+
+    schema = "i long, j long, node long, m binary"
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    rows = df.select(*[xs[c].alias(f"x{i}") for i, c in enumerate(columns)]).coalesce(tasks)
+    parts = rows.mapInPandas(accumulate, schema)
+    while tasks > 1:
+        parts = parts.groupBy("i", "j", F.expr(f"node div {fan}").alias("above")).applyInPandas(merge, schema)
+        tasks = -(-tasks // fan)
     names = F.array(*[F.lit(c) for c in columns])
-    return s.select(
+    return parts.select("i", "j", "m").mapInPandas(finish, "i long, j long, r double").select(
         (F.col("i") * k + F.col("j")).alias("ordinal"), F.get(names, F.col("i").cast("int")).alias("col1"),
-        F.get(names, F.col("j").cast("int")).alias("col2"),
-        F.when(~flat, F.try_divide("sxy", F.sqrt("sxx") * F.sqrt("syy"))).alias("correlation"))
+        F.get(names, F.col("j").cast("int")).alias("col2"), F.col("r").alias("correlation"))
+
+
+def all_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """All pairs in column order. Both ways centre each pair on the rows that have both values.
+
+    The schema alone decides: up to ``FEW_PAIRS`` pairs are plain aggregates, more columns go through blocks.
+    """
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    return pair_correlations(df, pairs) if len(pairs) <= FEW_PAIRS else block_correlations(df, columns)
 
 
 def low_correlation(df: DataFrame, target: str, threshold: float = LOW_CORRELATION) -> DataFrame:
@@ -125,7 +194,7 @@ def high_correlation(df: DataFrame, threshold: float = HIGH_CORRELATION,
     if len(names) < 2:
         return df.sparkSession.createDataFrame(
             [], "ordinal int, col1 string, col2 string, correlation double")
-    r = gram_correlations(df, names)
+    r = all_correlations(df, names)
     return r.where(F.abs("correlation") > threshold).withColumn(
         "correlation", F.round("correlation", 3))
 

@@ -8,10 +8,8 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,27 +65,69 @@ def balanced_block(text: str) -> str | None:
     return None
 
 
+#: One JSON token: a string, a number or word, a sign. Possessive, so a broken string costs one look.
+TOKEN = re.compile(
+    r"""[ \t\r\n]*+(?:(?P<string>"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")"""
+    r"""|(?P<scalar>-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null|NaN|-?Infinity)"""
+    r"""|(?P<sign>[\[\]{},:]))""")
+#: What a token may do where the text stands: (state, token) -> next state. ``open`` and ``close`` change the stack.
+MOVES = {
+    **{(state, kind): "after" for state in ("value", "element") for kind in ("string", "scalar")},
+    **{(state, sign): "open" for state in ("value", "element") for sign in "{["},
+    ("member", "string"): "colon", ("name", "string"): "colon", ("colon", ":"): "value",
+    ("member", "}"): "close", ("element", "]"): "close", ("after", "}"): "close", ("after", "]"): "close",
+}
+
+
+def last_complete(body: str) -> tuple[int, str]:
+    """Where an object that breaks off can be cut so that ``]`` and then ``}`` close it: the last such place and what closes it.
+
+    One pass with a stack. At a place where every value is complete the stack must be braces with brackets inside, and counting
+    signs in the plain text, those in strings too, must give the same number of closing signs.
+    """
+    stack: list[str] = []
+    buried = 0  # braces that opened inside a bracket: they would have to close first
+    extra = {"[": 0, "{": 0}  # signs that only strings hold, opening ones less closing ones
+    depth = {"[": 0, "{": 0}
+    state, at, best = "value", 0, (0, "")
+    while (token := TOKEN.match(body, at)):
+        at, kind, word = token.end(), token.lastgroup, token[token.lastgroup]
+        if kind == "string":
+            for sign, other in ("[]", "{}"):
+                extra[sign] += word.count(sign) - word.count(other)
+        move = MOVES.get((state, word if kind == "sign" else kind))
+        if state == "after" and word == ",":
+            state = "name" if stack[-1] == "{" else "value"
+            continue
+        if move is None or (move == "close" and stack[-1] + word not in ("[]", "{}")):
+            break
+        if move == "open":
+            buried += word == "{" and depth["["] > 0
+            stack.append(word)
+            depth[word] += 1
+            move = "member" if word == "{" else "element"
+        elif move == "close":
+            depth[stack.pop()] -= 1
+            buried -= word == "}" and depth["["] > 0
+            move = "after"
+        state = move
+        complete = state in ("after", "member", "element")
+        if complete and not buried and all(max(depth[x] + extra[x], 0) == depth[x] for x in "[{"):
+            best = at, "]" * depth["["] + "}" * depth["{"]
+        if not stack:
+            break
+    return best
+
+
 def plan_fragment(text: str) -> dict:
-    """Longest repairable object after ``"preprocessing_plan":`` (empty if none)."""
+    """The most of the object after ``"preprocessing_plan":`` that closing brackets make whole (empty if none)."""
     m = re.search(r'"preprocessing_plan"\s*:\s*(?=\{)', text)
     if not m:
         return {}
     body = text[m.end():]
-    lack = {"[": [0], "{": [0]}  # running opening-minus-closing counts per prefix
-    for ch in body:
-        lack["["].append(lack["["][-1] + (ch == "[") - (ch == "]"))
-        lack["{"].append(lack["{"][-1] + (ch == "{") - (ch == "}"))
-    tried = -1
-    for end in range(len(body), 0, -1):
-        kept = len(body[:end].rstrip().rstrip(","))
-        if kept == tried or not kept:
-            continue
-        tried = kept
-        closing = "]" * max(lack["["][kept], 0) + "}" * max(lack["{"][kept], 0)
-        ok, value = _load(body[:kept] + closing)
-        if ok:
-            return value if isinstance(value, dict) else {}
-    return {}
+    end, closing = last_complete(body)
+    ok, value = _load(body[:end] + closing)
+    return value if ok else {}
 
 
 def salvage_text(text: str | None) -> tuple[str | None, str | None]:
@@ -105,8 +145,7 @@ def salvage_text(text: str | None) -> tuple[str | None, str | None]:
 
 
 def salvage(text: Column) -> Column:
-    """The repair as an Arrow UDF, shipped by value so executors need no install."""
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    """The repair as an Arrow UDF."""
 
     def batch(raw: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([salvage_text(t) for t in raw], columns=["status", "parsed"])

@@ -1,5 +1,9 @@
 """Rank, lookup, split, feature and profile operators against pandas and brute force."""
 
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,10 +11,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from conftest import ROOT
 from tablesmith.functions.names import clean_dataset_id, parse_filename, short_name
 from tablesmith.functions.numeric import float_text, safe_corr
 from tablesmith.operators import features as fe
-from tablesmith.operators.correlate import gram_correlations, pair_correlations
+from tablesmith.operators.correlate import block_correlations, pair_correlations
 from tablesmith.operators.infer import detect_time_column, detect_time_profile, profile_target, time_frequency, time_steps
 from tablesmith.operators.lookup import attach
 from tablesmith.operators.profile import profile, profile_many
@@ -136,13 +141,42 @@ def test_correlations_match_pandas_with_gaps_and_constants(spark):
     pdf.loc[::5, "b"] = np.nan
     df = spark.createDataFrame(pdf)
     want = pdf.corr()
-    for got in (gram_correlations(df, list("abcdk")), pair_correlations(df, [("a", "b"), ("a", "d"), ("a", "k")])):
+    for got in (block_correlations(df, list("abcdk")), block_correlations(df.repartition(7), list("abcdk"), width=2, fan=2), pair_correlations(df, [("a", "b"), ("a", "d"), ("a", "k")])):
         for r in got.collect():
             w = want.loc[r["col1"], r["col2"]]
             assert r["correlation"] is None if np.isnan(w) else r["correlation"] == pytest.approx(w, abs=1e-9)
     assert df.agg(safe_corr(F.col("a"), F.col("k"))).first()[0] is None
 
 
+def test_wide_correlations_from_another_folder(tmp_path):
+    """Workers that cannot import the package: the functions travel by value."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+import numpy as np, pandas as pd
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
+         .config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate())
+from tablesmith.facade import prepare
+from tablesmith.operators.correlate import block_correlations, high_correlation
+x = np.random.default_rng(1).normal(size=(400, 300))
+x[:, 299] = x[:, 3] * 2
+x[::7, 5] = np.nan
+df = spark.createDataFrame(pd.DataFrame(x, columns=[f"c{{i}}" for i in range(300)]))
+assert [tuple(r)[1:3] for r in high_correlation(df).collect()] == [("c3", "c299")]
+got = {{(r.col1, r.col2): r.correlation for r in block_correlations(df, df.columns).collect()}}
+want = pd.DataFrame(x).corr().to_numpy()
+assert len(got) == 300 * 299 // 2 and all(abs(got[f"c{{i}}", f"c{{j}}"] - want[i, j]) < 1e-9 for i in range(300) for j in range(i + 1, 300))
+with open("in.csv", "w") as f:
+    f.write("PassengerId,Age,Fare,Survived\\n" + "\\n".join(f"{{i}},{{20 + i % 40}},{{i * 1.5}},{{i % 2}}" for i in range(60)))
+prepare(spark, "in.csv", {str(tmp_path / "warehouse")!r})
+print("fine")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=env, timeout=600)
+    assert "fine" in done.stdout, done.stderr[-3000:]
+
+
 def test_float_text_is_python_text(spark):
     values = [0.0, 1.5, -2.0, 1e7, 12345678.5, 1e15, 1e16, 1.5e20, 0.001, 0.0005, 0.0001, 1e-5, 1.25e-7, 1 / 3]
     got = spark.createDataFrame([(v,) for v in values], "x double").select(float_text(F.col("x"))).collect()

@@ -1,8 +1,11 @@
 """Plan rules, cascade, output repair, execution, validation and pairs."""
 
 import json
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tablesmith.operators import validate as va
@@ -91,6 +94,36 @@ def test_repair_helpers():
     assert plan_fragment("no plan") == {}
 
 
+PIECES = ['{', '}', '[', ']', '"a"', '"b{"', '"]c"', ':', ',', ' ', '1', '-2.5e3', '1.', 'true', 'nul', 'NaN', '"\\\\u00e9"', '"\\\\x"', '"open', '\\n']
+
+
+def closed(prefix):
+    """A cut text with the signs that its plain counts lack, read as JSON; none if that fails."""
+    kept = prefix.rstrip().rstrip(",")
+    lacking = "".join(b * max(kept.count(a) - kept.count(b), 0) for a, b in ("[]", "{}"))
+    try:
+        return [json.loads(kept + lacking)]
+    except ValueError:
+        return None
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14), st.booleans())
+def test_fragment_is_the_longest_prefix_that_closes(parts, member):
+    body = "{" + ('"k":' if member else "") + "".join(parts)
+    readable = [value for k in range(1, len(body) + 1) if (value := closed(body[:k]))]
+    assert repr(plan_fragment('"preprocessing_plan": ' + body)) == repr(readable[-1][0] if readable and isinstance(readable[-1][0], dict) else {})
+
+
+def test_fragment_of_a_long_text_takes_linear_time():
+    item = '{"name": "column \\\\" with ] and [", "values": [1, 2.5, null]}, '
+    body = '{"columns": ' + '{"x": ' * 50 + '{"y": "' + "z" * 400_000 + '", "w": [' + "[1, 2], " * 80_000
+    for text in (body, '{"a": [' + item * 12_000, '{"a": "' + "b" * 1_000_000, '{"a": ' + '"' + "\\\\" * 1_000_000):
+        start = time.process_time()
+        plan_fragment('"preprocessing_plan": ' + text)
+        assert time.process_time() - start < 1
+
+
 def test_apply_plan(people):
     plan = {
         "target_column": "churn", "task_type": "classification",
