@@ -317,7 +317,7 @@ def diff_cte(t: str, c: str, key: str) -> str:
 
 @query("ts_monotonic", f"WITH {diff_cte('events', 'ts', 'event_id')} {steps_sql('events', 'ts', 'event_id')}")
 def ts_monotonic(spark, sf):
-    steps = infer.time_steps(table(spark, sf, "events"), "ts", F.col("event_id"), bucket_rows=1000)
+    steps = infer.time_steps(table(spark, sf, "events"), "ts", F.col("event_id"))
     return plain(steps.select("time_column", "is_monotonic", "modal_step_micros"))
 
 
@@ -335,7 +335,7 @@ def ts_frequency(spark, sf):
     daily = orders.select("o_orderkey", F.timestamp_seconds(F.col("o_orderkey") * 86400).alias("o_day"))
     one = infer.time_frequency(infer.time_steps(orders, "o_orderdate", F.col("o_orderkey")))
     return plain(one.unionByName(infer.time_frequency(
-        infer.time_steps(daily, "o_day", F.col("o_orderkey"), bucket_rows=1000))))
+        infer.time_steps(daily, "o_day", F.col("o_orderkey")))))
 
 
 def parts_sql(c: str, clock: bool) -> str:

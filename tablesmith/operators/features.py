@@ -21,11 +21,11 @@ from tablesmith.functions.numeric import (
 from tablesmith.operators.infer import (
     FEATURE_BAD, FEATURE_TARGETS, detect_time_column, parse_time,
 )
-from tablesmith.operators.lookup import attach, lookup_size
+from tablesmith.operators.lookup import KEY_BYTES, attach, broadcast_share
 from tablesmith.operators.profile import value_counts
-from tablesmith.operators.ranks import agg_row, exact_quantiles, global_row_number
+from tablesmith.operators.ranks import agg_row, exact_quantiles, literal_lookup
 from tablesmith.operators.split import split_random, split_stratified, split_time, tie_order
-from tablesmith.session import cut_lineage, free_names, with_row_id
+from tablesmith.session import BROADCAST_ROWS, free_names, stored_rows, with_row_id
 
 ENCODE_LEVELS = 10     # numeric columns with at most this many levels are encoded
 TRACKED_LEVELS = 100   # largest level count any rule asks about
@@ -145,12 +145,18 @@ def replace_infinite(df: DataFrame) -> DataFrame:
 
 # --- calendar parts -----------------------------------------------------------------------
 
+def has_clock(df: DataFrame, column: str) -> bool:
+    """Whether the hours of a time column differ."""
+    t = parse_time(quoted(column), df.schema[column].dataType)
+    low, high = df.agg(F.min(F.hour(t)), F.max(F.hour(t))).first()
+    return low != high
+
+
 def time_parts(df: DataFrame, column: str, with_clock: bool | None = None) -> DataFrame:
     """Replace a time column by its calendar parts (hour/minute only if hours differ)."""
     t = parse_time(quoted(column), df.schema[column].dataType)
     if with_clock is None:
-        got = df.agg(F.min(F.hour(t)), F.max(F.hour(t))).first()
-        with_clock = got[0] != got[1]
+        with_clock = has_clock(df, column)
     parts = {"year": F.year(t), "month": F.month(t), "day": F.dayofmonth(t),
              "weekday": F.weekday(t), "quarter": F.quarter(t),
              "is_weekend": F.coalesce((F.weekday(t) >= 5).cast("int"), F.lit(0))}
@@ -160,10 +166,30 @@ def time_parts(df: DataFrame, column: str, with_clock: bool | None = None) -> Da
     return df.select(*kept, *[e.alias(f"{column}_{p}") for p, e in parts.items()])
 
 
-def time_features(df: DataFrame, column: str, tie: str | None = None) -> DataFrame:
-    """Calendar parts in time order (unknown times last), as the feature table is stored."""
-    order = [quoted(column).asc_nulls_last()] + ([quoted(tie)] if tie else [])
-    return time_parts(df.orderBy(*order), column)
+def time_features(df: DataFrame, column: str, tie: str | None = None, ordered: bool = False) -> DataFrame:
+    """Calendar parts of a time column. Order in time is a property of the written table (:func:`write_in_time_order`).
+
+    ``ordered`` sorts the frame itself (unknown times last) for a consumer that reads it directly.
+    """
+    rows = df.orderBy(*_in_time(column, tie)) if ordered else df
+    return time_parts(rows, column)
+
+
+def _in_time(column: str, tie: str | None) -> list[Column]:
+    return [quoted(column).asc_nulls_last()] + ([quoted(tie)] if tie else [])
+
+
+def write_in_time_order(df: DataFrame, column: str, path: str, tie: str | None = None, files: int | None = None) -> DataFrame:
+    """Write calendar parts so that files hold ascending ranges of time, sorted inside, and read them back.
+
+    Rows are dealt out by ranges once, at the write; the footers' bounds of each file then let readers of a time span skip the others.
+    """
+    dealt = df.repartitionByRange(files, *_in_time(column, tie)) if files else df.repartitionByRange(*_in_time(column, tie))
+    with_clock = has_clock(df, column)
+    stamp, = free_names(df, f"{column}_order")
+    rows = dealt.withColumn(stamp, F.unix_micros(parse_time(quoted(column), df.schema[column].dataType)))
+    time_parts(rows.sortWithinPartitions(*_in_time(column, tie)), column, with_clock).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 # --- label encoding --------------------------------------------------------------------------
@@ -175,18 +201,40 @@ class Codes:
     counts: dict | None = None                    # value -> rows
     table: DataFrame | None = None                # (text, n, code)
     size: tuple[int, int, int] | None = None
+    moments: tuple[float, float, float] | None = None  # mean and deviation of the codes over the rows, highest code
 
 
-def dictionary(df: DataFrame, column: str, text: Column | None = None) -> DataFrame:
-    """(text, n, code): sorted distinct texts of a column numbered from 0.
+def dictionaries(df: DataFrame, columns: list[str]) -> dict[str, Codes]:
+    """Codes of many columns together: their sorted distinct texts numbered from 0, each column apart.
 
-    Codes are given on the distinct values only, split by value ranges when many. The
-    counts are stored once: sizes, scaler and join all read them again.
+    One aggregate counts (column, text), one sort by both deals ranges to tasks, whatever the number of columns, and the numbered table is
+    stored once. Sizes and the moments of the codes of all columns come from that table in two small aggregates.
     """
-    text = value_text(quoted(column), df.schema[column].dataType) if text is None else text
-    counts = df.where(text.isNotNull()).groupBy(text.alias("text")).agg(F.count("*").alias("n"))
-    counts = cut_lineage(counts)
-    return global_row_number(counts, F.col("text"), counts.count(), "code")
+    if not columns:
+        return {}
+    cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), value_text(quoted(c), df.schema[c].dataType).alias("text"))
+                      for i, c in enumerate(columns)])
+    counts = df.select(F.inline(cells)).where("text IS NOT NULL").groupBy("ordinal", "text").agg(F.count("*").alias("n"))
+    rows = stored_rows(counts.orderBy("ordinal", "text"), "part", "place", "before").withColumn("at", F.col("before") + F.col("place"))
+    key = F.least(F.octet_length("text") + 1, F.lit(KEY_BYTES))
+    weight = F.col("n").cast("double")
+    first = {r["ordinal"]: r for r in rows.groupBy("ordinal").agg(
+        F.min("at").alias("low"), F.count("*").alias("keys"), F.sum(key).alias("bytes"), F.sum("n").alias("rows"),
+        (F.sum(F.col("at") * weight) / F.sum(weight)).alias("mean")).collect()}  # one row a column
+    low = {i: F.lit(r["low"]).cast("long") for i, r in first.items()}
+    mean = {i: F.lit(r["mean"] - r["low"]) for i, r in first.items()}
+    coded = rows.drop("part", "place", "before")
+    if first:
+        coded = coded.withColumn("code", F.col("at") - literal_lookup(F.col("ordinal"), low))
+        away = F.col("code") - literal_lookup(F.col("ordinal"), mean)
+        spread = dict(coded.groupBy("ordinal").agg(F.sum(away * away * weight)).collect())
+    out = {}
+    for i, c in enumerate(columns):
+        r = first.get(i)
+        table = coded.where(F.col("ordinal") == i).select("text", "n", F.col("code") if first else F.col("n").alias("code"))
+        out[c] = Codes(table=table, size=(r["keys"], r["bytes"], r["rows"]) if r else (0, 0, 0),
+                       moments=(r["mean"] - r["low"], (spread[i] / r["rows"]) ** 0.5, r["keys"] - 1) if r else (0.0, 0.0, 0))
+    return out
 
 
 def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -196,14 +244,14 @@ def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fit_codes(df: DataFrame, columns: list[str], levels: dict[str, list]) -> dict[str, Codes]:
+    wide = dictionaries(df, [c for c in columns if c not in levels])
     out = {}
     for c in columns:
-        if c in levels:
-            order = sorted((v for v, _ in levels[c]), key=lambda v: level_text(v).encode("utf-8"))
-            out[c] = Codes(levels={v: i for i, v in enumerate(order)}, counts=dict(levels[c]))
-        else:
-            table = dictionary(df, c)
-            out[c] = Codes(table=table, size=lookup_size(table, "text"))
+        if c in wide:
+            out[c] = wide[c]
+            continue
+        order = sorted((v for v, _ in levels[c]), key=lambda v: level_text(v).encode("utf-8"))
+        out[c] = Codes(levels={v: i for i, v in enumerate(order)}, counts=dict(levels[c]))
     return out
 
 
@@ -233,6 +281,7 @@ def apply_codes(df: DataFrame, codes: dict[str, Codes],
     """Codes, or (code - shift) / scale where a scaler is given, in place of the columns."""
     new: dict[str, Column] = {}
     out = df
+    small = broadcast_share({c: code.size for c, code in codes.items() if code.levels is None})
     for i, (c, code) in enumerate(codes.items()):
         t = df.schema[c].dataType
         shift, scale = scaled.get(c, (None, None))
@@ -242,7 +291,8 @@ def apply_codes(df: DataFrame, codes: dict[str, Codes],
         else:
             value = F.col("code") if shift is None else (F.col("code") - F.lit(shift)) / F.lit(scale)
             joined = code.table.withColumn(f"_code{i}", value)
-            out = attach(out, value_text(quoted(c), t), joined, "text", [f"_code{i}"], code.size)
+            out = attach(out, value_text(quoted(c), t), joined, "text", [f"_code{i}"], code.size,
+                         BROADCAST_ROWS if c in small else -1)
             new[c] = F.col(f"_code{i}")
     return out.select(*[new[c].alias(c) if c in new else quoted(c) for c in df.columns])
 
@@ -275,10 +325,8 @@ def code_scaler(codes: dict[str, Codes], strategy: str) -> dict[str, tuple[float
             var = sum((code.levels[t] - mean) ** 2 * k for t, k in code.counts.items()) / n
             top = max(len(code.levels) - 1, 0)
         else:
-            weight = F.col("n").cast("double")
-            mean, n, top = code.table.agg(
-                F.sum(F.col("code") * weight) / F.sum(weight), F.sum(weight), F.max("code")).first()
-            var = code.table.agg(F.sum((F.col("code") - F.lit(mean)) ** 2 * weight)).first()[0] / n
+            mean, deviation, top = code.moments
+            var = deviation ** 2
         out[c] = (0.0, float(top) or 1.0) if strategy == "minmax" else (float(mean), var ** 0.5 or 1.0)
     return out
 

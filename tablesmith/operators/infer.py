@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesmith.functions.names import contains_any, date_rule, id_rule, normalize_name
 from tablesmith.functions.numeric import is_numeric_type, is_time_type, quoted
-from tablesmith.operators.ranks import with_previous
-from tablesmith.session import SINGLE_TASK_ROWS
+from tablesmith.session import cut_lineage
+
+HELD_STEPS = 100_000  # distinct steps that a task counts before it hands them on
 
 # --- fixed values: word lists of the detectors --------------------------------
 PROFILE_TARGETS = [
@@ -290,29 +298,66 @@ def step_label(micros: Column) -> Column:
     )
 
 
-def time_steps(df: DataFrame, column: str, position: Column, n_rows: int | None = None,
-               bucket_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
-    """One row: parse/monotonic flags and the most common step (smallest on a tie)."""
+def segment_summaries(df: DataFrame, position: Column, value: Column, bad: Column) -> DataFrame:
+    """Rows dealt out by ranges of a position, each range reduced in its order: one row of kind ``range`` and one for each step.
+
+    A range tells its first and last value, whether values rise or fall throughout, its gaps and its bad cells; two
+    neighbouring ranges fold into one by the step between them. Steps count differences of neighbouring values.
+    """
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen, last, steps = TaskContext.get().partitionId(), 0, None, Counter()
+        first, rising, falling, gaps, bad_cells = None, True, True, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(1)
+            gaps, bad_cells = gaps + column.null_count, bad_cells + (pc.sum(batch.column(2)).as_py() or 0)
+            known = column.is_valid().to_numpy(zero_copy_only=False)
+            values = column.fill_null(0).to_numpy()
+            if seen:  # the last row of the batch before comes first
+                known, values = np.concatenate([[last is not None], known]), np.concatenate([[last or 0], values])
+            else:
+                first = column[0].as_py()
+            both = known[1:] & known[:-1]
+            step = (values[1:] - values[:-1])[both]
+            rising, falling = rising and bool((step >= 0).all()), falling and bool((step <= 0).all())
+            steps.update(dict(zip(*(x.tolist() for x in np.unique(step, return_counts=True)))))
+            last, seen = column[-1].as_py(), seen + batch.num_rows
+            if len(steps) > HELD_STEPS:
+                yield rows(part, steps=steps)
+                steps = Counter()
+        yield rows(part, [(first, last, rising, falling, gaps, bad_cells)] if seen else [], steps)
+
+    def rows(part: int, ranges: list[tuple] = (), steps: dict = ()) -> pa.RecordBatch:
+        found = [("range", part, *r, None, None) for r in ranges] + [("step", part, *[None] * 6, *x) for x in dict(steps).items()]
+        columns = list(zip(*found)) if found else [[]] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    schema = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("rising", pa.bool_()),
+                        ("falling", pa.bool_()), ("gaps", pa.int64()), ("bad", pa.int64()), ("step", pa.int64()), ("n", pa.int64())])
+    ordered = df.select(position.alias("at"), value.alias("value"), bad.cast("long").alias("bad")).orderBy("at")
+    return ordered.mapInArrow(
+        reduce, "kind string, part int, first long, last long, rising boolean, falling boolean, gaps long, bad long, step long, n long")
+
+
+def time_steps(df: DataFrame, column: str, position: Column) -> DataFrame:
+    """One row: parse/monotonic flags and the most common step (smallest on a tie). One sorted pass at every size."""
     t = df.schema[column].dataType
-    n_rows = df.count() if n_rows is None else n_rows
     stamp = F.unix_micros(parse_time(quoted(column), t))
-    text = isinstance(t, T.StringType)
-    bad = (quoted(column).isNotNull() & stamp.isNull()) if text else F.lit(False)
-    pairs = with_previous(df, position, stamp, n_rows, "previous", bucket_rows)
-    up = F.bool_and(F.when(F.col("has_previous"), F.col("value") >= F.col("previous")))
-    down = F.bool_and(F.when(F.col("has_previous"), F.col("value") <= F.col("previous")))
-    flags = pairs.agg(
-        (F.count_if(F.col("value").isNull()) == 0).alias("no_gaps"),
-        F.coalesce(up, F.lit(True)).alias("rising"), F.coalesce(down, F.lit(True)).alias("falling"))
-    steps = (
-        pairs.select((F.col("value") - F.col("previous")).alias("step")).where("step is not null")
-        .groupBy("step").agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), F.asc("step")).limit(1)
-    )
-    # three single rows: two flags, the count of unreadable cells, the leading step
-    order, bad_cells, step = flags.first(), df.agg(F.count_if(bad)).first()[0], steps.first()
-    monotonic = order["no_gaps"] and (order["rising"] or order["falling"])
-    row = [(column, monotonic, step["step"] if step else None, bad_cells)]
+    bad = (quoted(column).isNotNull() & stamp.isNull()) if isinstance(t, T.StringType) else F.lit(False)
+    # Summaries are folded twice, so they are stored; the ranges are one row for each sorted part.
+    parts = cut_lineage(segment_summaries(df, position, stamp, bad))
+    before = F.lag("last").over(Window.orderBy("part"))
+    ranges = parts.where("kind = 'range'").withColumn("seam", F.col("first") - before)
+    steps = parts.where("kind = 'step'").select("step", "n").unionByName(
+        ranges.where("seam IS NOT NULL").select(F.col("seam").alias("step"), F.lit(1).cast("long").alias("n")))
+    top = steps.groupBy("step").agg(F.sum("n").alias("n")).agg(F.min_by("step", F.struct(-F.col("n"), "step")).alias("step"))
+    ok = lambda flag, seam: F.coalesce(F.bool_and(F.col(flag) & F.coalesce(seam, F.lit(True))), F.lit(True))
+    order = ranges.agg(
+        ((F.coalesce(F.sum("gaps"), F.lit(0)) == 0)
+         & (ok("rising", F.col("seam") >= 0) | ok("falling", F.col("seam") <= 0))).alias("monotonic"),
+        F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad")).first()
+    row = [(column, order["monotonic"], top.first()["step"], order["bad"])]
     return df.sparkSession.createDataFrame(
         row, "time_column string, is_monotonic boolean, modal_step_micros long, bad_cells long",
     ).withColumn("step_label", step_label(F.col("modal_step_micros")))

@@ -3,8 +3,8 @@
 Passes over the data, each a map-side aggregate unless noted:
 
 1. counts and moments of every column,
-2. exact distinct counts from value counts per column: the only shuffle, of
-   distinct values after map-side combine; small tables read the quartiles off it,
+2. exact distinct counts of all columns together: the only shuffle, of fixed-width
+   keys after map-side combine; small tables read the quartiles off it,
 3. quartiles of large tables by narrowing, without a shuffle of rows,
 4. outlier counts against the literal IQR bounds.
 
@@ -13,6 +13,7 @@ Only the finished statistics, a few numbers per column, reach the driver.
 
 from __future__ import annotations
 
+import hashlib
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,11 +26,12 @@ from tablesmith.functions.numeric import (
 from tablesmith.operators.ranks import (
     Scan, agg_row, exact_quantiles, interpolate, quantile_ranks, scan_columns,
 )
-from tablesmith.session import SINGLE_TASK_ROWS
+from tablesmith.session import SINGLE_TASK_ROWS, free_names
 
 OUTLIER_FACTOR = 1.5
 SKEW_LIMIT = 1.0
 SAMPLES = 3
+HEAD = 100  # rows in which the first samples are looked for at once
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType()),
@@ -64,7 +66,7 @@ def dtype_label(t: T.DataType, has_missing: bool) -> str:
 
 # --- distinct values ------------------------------------------------------------
 
-def _cells(df: DataFrame, fields: list[T.StructField], position: Column | None) -> DataFrame:
+def _cells(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     """Unpivot to (ordinal, typed value) so that numbers are not turned into text."""
     long_type = (T.IntegralType, T.BooleanType)
 
@@ -74,25 +76,18 @@ def _cells(df: DataFrame, fields: list[T.StructField], position: Column | None)
         real = c.cast("double") if is_fractional_type(f.dataType) else F.lit(None).cast("double")
         other = not isinstance(f.dataType, long_type) and not is_fractional_type(f.dataType)
         text = value_text(c, f.dataType) if other else F.lit(None).cast("string")
-        parts = [F.lit(i).alias("ordinal"), whole.alias("whole"), real.alias("real"),
-                 text.alias("text")]
-        if position is not None:
-            parts.append(position.alias("at"))
-        return F.when(c.isNotNull(), F.struct(*parts))
+        return F.when(c.isNotNull(), F.struct(
+            F.lit(i).alias("ordinal"), whole.alias("whole"), real.alias("real"), text.alias("text")))
 
     # exploded first and filtered after: the filter of an array would leave generated code
     cells = F.array(*[cell(i, f) for i, f in enumerate(fields)])
     return df.select(F.explode(cells).alias("c")).where("c is not null").select("c.*")
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None,
-                 position: Column | None = None) -> DataFrame:
-    """(ordinal, whole, real, text, n[, first_at]): rows per distinct non-null value."""
+def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(ordinal, whole, real, text, n): rows per distinct non-null value."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    aggs = [F.count("*").alias("n")]
-    if position is not None:
-        aggs.append(F.min("at").alias("first_at"))
-    return _cells(df, fields, position).groupBy("ordinal", "whole", "real", "text").agg(*aggs)
+    return _cells(df, fields).groupBy("ordinal", "whole", "real", "text").agg(F.count("*").alias("n"))
 
 
 def group_value(f: T.StructField) -> Column:
@@ -109,15 +104,39 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> dict[str
 
 
 def sample_values(df: DataFrame, columns: list[str], position: Column,
-                  k: int = SAMPLES) -> DataFrame:
-    """First ``k`` distinct values of each text column in row order: (ordinal, rank, value)."""
-    counts = value_counts(df, columns, position)
-    first = Window.partitionBy("ordinal").orderBy("first_at", "text")
-    return (
-        counts.withColumn("rank", F.row_number().over(first))
-        .where(F.col("rank") <= k)  # pruned before the shuffle by the window group limit
-        .select("ordinal", "rank", F.col("text").alias("value"))
-    )
+                  k: int = SAMPLES, head: int = HEAD) -> DataFrame:
+    """First ``k`` distinct values of each text column in the order of a numeric row position: (ordinal, rank, value).
+
+    The first ``head`` rows, a range of positions, answer most columns. For a column with fewer distinct values there,
+    each further value is the one at the smallest position that holds none of those found: bounded minima that combine
+    before they are shuffled, for all open columns together. No distinct text is grouped.
+    """
+    fields = [f for f in df.schema.fields if f.name in columns]
+    at, = free_names(df, "position")
+    rows = df.select(*[value_text(observed(f.name, f.dataType), f.dataType).alias(f"v{i}") for i, f in enumerate(fields)], position.alias(at))
+    last = rows.select(at).where(F.col(at).isNotNull()).orderBy(at).limit(head).agg(F.max(at), F.count(at)).first()
+    found: dict[int, list[str]] = {i: [] for i in range(len(fields))}
+    if last[1]:
+        cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.col(f"v{i}").alias("v"), F.col(at).alias("at")) for i in range(len(fields))])
+        early = rows.where(F.col(at) <= F.lit(last[0])).select(F.inline(cells)).where("v is not null")
+        order = Window.partitionBy("ordinal").orderBy("at", "v")
+        first = early.groupBy("ordinal", "v").agg(F.min("at").alias("at")).withColumn("rank", F.row_number().over(order))
+        for r in first.where(F.col("rank") <= k).orderBy("ordinal", "rank").collect():  # k values a column at most
+            found[r["ordinal"]].append(r["v"])
+    open_ = [i for i in found if len(found[i]) < k] if last[1] == head else []
+    while open_:
+        other = {i: F.col(f"v{i}").isNotNull() & ~F.sha2(f"v{i}", 256).isin(
+            *[hashlib.sha256(v.encode()).hexdigest() for v in found[i]], "") for i in open_}
+        where = agg_row(rows, {i: F.min(F.when(c, F.col(at))) for i, c in other.items()})
+        open_ = [i for i in open_ if where[i] is not None]
+        if open_:
+            spots = rows.where(F.col(at).isin(*{where[i] for i in open_}))
+            value = agg_row(spots, {i: F.min(F.when(other[i] & (F.col(at) == F.lit(where[i])), F.col(f"v{i}"))) for i in open_})
+            for i in open_:
+                found[i].append(value[i])
+        open_ = [i for i in open_ if len(found[i]) < k]
+    return df.sparkSession.createDataFrame(
+        [(i, rank, v) for i, values in found.items() for rank, v in enumerate(values, 1)], "ordinal int, rank int, value string")
 
 
 # --- one table --------------------------------------------------------------------

@@ -14,12 +14,12 @@ recomputed task sees the same numbers. The number of files follows the rows.
 
 from __future__ import annotations
 
-import functools
 import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesmith.session import SINGLE_TASK_ROWS, free_names, stored_rows
 
@@ -165,40 +165,59 @@ class Scanned:
 
 
 def scan_columns(df: DataFrame, scans: dict[str, Scan]) -> dict[str, Scanned]:
-    """Distinct counts, and values at ranks, from the value counts of each column.
+    """Distinct counts, and values at ranks, of many columns in one pass.
 
-    Every column is its own typed ``groupBy`` branch of one job: a columnar source is
-    read once in total, equal values are combined before the shuffle, and nothing is
-    unpivoted or turned into text. Ranks sort the distinct values of their column in
-    one task, so callers pass them only for columns (or regions) of bounded size.
+    Cells are grouped by column and a key of fixed width: numbers by themselves, everything else by a 64-bit digest with a
+    second digest beside it, so no text is shuffled. Where one key has two second digests, two values share it,
+    and that column is counted by its values. Ranks order the distinct values of their column in one task,
+    so callers pass them only for columns (or regions) of bounded size.
     """
     out: dict[str, Scanned] = {}
     for part in chunks(list(scans.items())):
-        branches = []
-        for i, (_, scan) in enumerate(part):
-            freq = df.select(scan.value.alias("v")).where("v is not null").groupBy("v").agg(
-                F.count("*").alias("n"))
-            if scan.ranks:
-                upto = F.sum("n").over(Window.partitionBy(F.lit(i)).orderBy("v"))
-                freq = freq.withColumn("upto", upto)
-                at = [F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k), F.col("v")))
-                      for k in scan.ranks]
-                kind = "long" if dict(freq.dtypes)["v"] in ("tinyint", "smallint", "int", "bigint") else "double"
-                at = [a.cast(kind) for a in at]
-                longs = F.array(*at) if kind == "long" else F.lit(None).cast("array<bigint>")
-                reals = F.array(*at) if kind == "double" else F.lit(None).cast("array<double>")
-            else:
-                longs, reals = F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<double>")
-            branches.append(freq.agg(F.count("*").alias("d"), longs.alias("longs"), reals.alias("reals"))
-                            .select(F.lit(i).alias("i"), "d", "longs", "reals"))
-        rows = functools.reduce(DataFrame.unionByName, branches).collect()  # one row per column
-        for r in rows:
+        kinds = df.select(*[s.value.alias(f"v{i}") for i, (_, s) in enumerate(part)]).schema.fields
+        cells = F.array(*[_cell(i, s, kinds[i].dataType) for i, (_, s) in enumerate(part)])
+        freq = df.select(F.explode(cells).alias("c")).where("c is not null").select("c.*").groupBy("i", "whole", "real").agg(
+            F.count("*").alias("n"), (F.min("second") != F.max("second")).alias("shared"))
+        wanted = {i: s.ranks for i, (_, s) in enumerate(part) if s.ranks}
+        stats = [F.count("*").alias("d"), F.count_if("shared").alias("shared")]
+        if wanted:
+            freq = freq.withColumn("upto", F.when(
+                F.col("i").isin(*wanted), F.sum("n").over(Window.partitionBy("i").orderBy("real", "whole"))))
+            ranks = literal_lookup(F.col("i"), {i: F.array(*[F.lit(r).cast("long") for r in rs]) for i, rs in wanted.items()})
+            for j in range(max(map(len, wanted.values()))):
+                rank = F.get(ranks, F.lit(j))
+                at = (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
+                stats += [F.max(F.when(at, F.struct("real", "whole"))).alias(f"r{j}")]
+        for r in freq.groupBy("i").agg(*stats).collect():  # one row per column
             name, scan = part[r["i"]]
-            values = r["longs"] if r["longs"] is not None else r["reals"]
-            out[name] = Scanned(r["d"], dict(zip(scan.ranks, values or [])))
+            values = [r[f"r{j}"] for j in range(len(scan.ranks))]
+            distinct = r["d"] if not r["shared"] else df.select(scan.value.alias("v")).where("v is not null").distinct().count()
+            out[name] = Scanned(distinct, {k: v["whole"] if v["real"] is None else v["real"] for k, v in zip(scan.ranks, values)})
+        for name, _ in part:
+            out.setdefault(name, Scanned(0, {}))
     return out
 
 
+def _cell(i: int, scan: Scan, kind: T.DataType) -> Column:
+    """(i, whole, real, second) of a cell, null where the cell is."""
+    v, none = scan.value, F.lit(None).cast("long")
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        whole, real, second = v.cast("long"), none.cast("double"), none
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        whole, real, second = none, v.cast("double"), none
+    else:
+        v = F.to_json(v) if isinstance(kind, (T.ArrayType, T.StructType)) else v
+        real = scan.value.cast("double") if isinstance(kind, T.DecimalType) else none.cast("double")
+        whole, second = F.xxhash64(v), F.xxhash64(F.lit("second"), v)
+    return F.when(scan.value.isNotNull(), F.struct(
+        F.lit(i).alias("i"), whole.alias("whole"), real.alias("real"), second.alias("second")))
+
+
+def literal_lookup(key: Column, values: dict) -> Column:
+    """The value of a literal map at a key, null if it has none."""
+    return F.try_element_at(F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values.values())), key)
+
+
 def quantile_ranks(size: int, probs: list[float]) -> list[int]:
     """Ranks whose values the interpolated quantiles need."""
     spots = [(size - 1) * p for p in probs]
@@ -261,45 +280,29 @@ def rank_cut(
 
 # --- total order over rows -----------------------------------------------------
 
-def sorted_rows(df: DataFrame, key: Column, part: str, place: str) -> DataFrame:
+def sorted_rows(df: DataFrame, key: Column, part: str, place: str, before: str | None = None) -> DataFrame:
     """Rows written once in the order of a unique key: the file a row lies in, and its place there.
 
     The sort deals key ranges to tasks, so no task holds the whole column, and a retried reader sees the same places.
     """
     at, = free_names(df, "sort_key")
-    return stored_rows(df.withColumn(at, key).orderBy(at), part, place).drop(at)
-
-
-def global_row_number(
-    df: DataFrame, key: Column, n_rows: int, out: str = "row_number",
-    bucket_rows: int = SINGLE_TASK_ROWS,
-) -> DataFrame:
-    """Add the 0-based position by a unique ``key`` (number, text, date)."""
-    if n_rows <= bucket_rows:
-        at, = free_names(df, "sort_key")
-        number = (F.row_number().over(Window.orderBy(at)) - 1).cast("long")
-        return df.withColumn(at, key).withColumn(out, number).drop(at)
+    return stored_rows(df.withColumn(at, key).orderBy(at), part, place, before).drop(at)
+
+
+def global_row_number(df: DataFrame, key: Column, out: str = "row_number") -> DataFrame:
+    """Add the 0-based position by a unique ``key`` (number, text, date); one way at every size."""
     part, place, before = free_names(df, "part", "place", "before")
-    rows = sorted_rows(df, key, part, place)
-    files = rows.groupBy(part).agg(F.count("*").alias("n"))  # one row for each written file
-    starts = files.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(before))
-    return rows.join(starts, part).withColumn(out, F.col(place) + F.col(before)).drop(part, place, before)
+    rows = sorted_rows(df, key, part, place, before)
+    return rows.withColumn(out, F.col(place) + F.col(before)).drop(part, place, before)
 
 
-def with_previous(
-    df: DataFrame, key: Column, value: Column, n_rows: int, out: str = "previous",
-    bucket_rows: int = SINGLE_TASK_ROWS,
-) -> DataFrame:
+def with_previous(df: DataFrame, key: Column, value: Column, out: str = "previous") -> DataFrame:
     """Add the value of the preceding row in the order of a unique numeric ``key``.
 
     The last row of each sorted file is carried over to the next, so no file
     waits for another and none holds the whole column.
     """
-    narrow = df.select(key.alias("_key"), value.alias("value"))
-    if n_rows <= bucket_rows:
-        order = Window.orderBy("_key")
-        return narrow.select("value", F.lag("value").over(order).alias(out), (F.row_number().over(order) > 1).alias("has_previous"))
-    rows = sorted_rows(narrow, F.col("_key"), "part", "place")
+    rows = sorted_rows(df.select(key.alias("_key"), value.alias("value")), F.col("_key"), "part", "place")
     ends = rows.groupBy("part").agg(F.max_by(F.struct("value"), "place").alias("end"))  # one row for each written file
     carried = ends.select("part", F.lag("end").over(Window.orderBy("part")).alias("carried"))
     lagged = F.lag("value").over(Window.partitionBy("part").orderBy("place"))

@@ -90,7 +90,7 @@ def class_quotas(df: DataFrame, target: str, test_size: float = TEST_SIZE) -> tu
     parts = counts.withColumn("base", ((product - rest) / F.lit(n).cast(wide)).cast("long")).withColumn(
         "order_key", F.concat(F.lpad((F.lit(n).cast(wide) - rest).cast("string"), 20, "0"), F.col("text")))
     spare = n_train - (parts.agg(F.sum("base")).first()[0] or 0)
-    ranked = global_row_number(parts, F.col("order_key"), k, "at")
+    ranked = global_row_number(parts, F.col("order_key"), "at")
     train = F.col("base") + F.when(F.col("at") < spare, 1).otherwise(0)
     return ranked.select("value", "n", (F.col("n") - train).alias("n_test")), facts
 

@@ -14,32 +14,68 @@ from tablesmith.functions.numeric import (
     as_double, is_numeric_type, observed, quoted, value_text,
 )
 from tablesmith.operators.features import (
-    column_medians, few_levels, fill_numeric, label_encode, replace_columns, scale,
+    column_medians, dictionaries, fill_numeric, label_encode, replace_columns, scale,
 )
 from tablesmith.operators.profile import OUTLIER_FACTOR
-from tablesmith.operators.lookup import attach
-from tablesmith.operators.ranks import agg_row, exact_quantiles, global_row_number
+from tablesmith.operators.lookup import attach, broadcast_share
+from tablesmith.operators.ranks import agg_row, exact_quantiles, literal_lookup
 from tablesmith.operators.split import split_random, split_stratified
 from tablesmith.plans.contract import DEFAULT_FILL, DEFAULT_SEED, DEFAULT_TEST_SIZE
-from tablesmith.session import cut_lineage, free_names, with_row_id
+from tablesmith.session import BROADCAST_ROWS, cut_lineage, free_names, with_row_id
+
+MODE_CELLS, MODE_COUNTED = 1024, 64  # hash cells of a column, and how many of them are counted by value
 
 
 def _present(df: DataFrame, columns: list[str] | None) -> list[str]:
     return [c for c in columns or [] if c in df.columns]
 
 
-def column_modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
-    """Most frequent value per column, the smallest on a tie.
+def _typed_cells(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Non-null cells as (ordinal, one column for each data type), and the name of each column's own."""
+    values = {c: observed(c, df.schema[c].dataType) for c in columns}
+    kinds = {f.name: f.dataType for f in df.select(*[v.alias(c) for c, v in values.items()]).schema.fields}
+    names = {kind: f"v{i}" for i, kind in enumerate(dict.fromkeys(kinds.values()))}
+    cells = [F.when(v.isNotNull(), F.struct(F.lit(i).alias("ordinal"), *[
+        (v if kind == kinds[c] else F.lit(None).cast(kind)).alias(name) for kind, name in names.items()]))
+        for i, (c, v) in enumerate(values.items())]
+    return df.select(F.explode(F.array(*cells)).alias("c")).where("c is not null").select("c.*"), {c: names[kinds[c]] for c in columns}
+
+
+def _leading(cells: DataFrame, names: dict[str, str]) -> dict[int, tuple[object, int]]:
+    """Most frequent value of each ordinal, the smallest on a tie, and its count."""
+    kinds = list(dict.fromkeys(names.values()))
+    counts = cells.groupBy("ordinal", *kinds).agg(F.count("*").alias("n"))
+    best = counts.groupBy("ordinal").agg(F.max("n").alias("n"), *[
+        F.min_by(v, F.when(F.col(v).isNotNull(), F.struct((-F.col("n")).alias("n"), F.col(v).alias("v")))).alias(v) for v in kinds])
+    own = list(names.values())
+    return {r["ordinal"]: (r[own[r["ordinal"]]], r["n"]) for r in best.collect()}  # one row a column
 
-    Counts are combined before the shuffle; the top value of each column is taken
-    by aggregates, so no column is sorted or gathered.
+
+def column_modes(df: DataFrame, columns: list[str], cells: int = MODE_CELLS, counted: int = MODE_COUNTED) -> dict[str, object]:
+    """Most frequent value per column, the smallest on a tie: two jobs for any number of columns.
+
+    The first counts rows in ``cells`` hash cells a column, a table of bounded size. No value is more frequent than its cell, so the second
+    counts only the values in the ``counted`` fullest cells: a value there with more rows than the fullest cell left out is the mode.
+    Columns where none has (all values about as rare as a cell is full) are counted in full, together.
     """
-    out = {}
-    for c in columns:
-        v = observed(c, df.schema[c].dataType)
-        counts = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count("*").alias("n"))
-        best = counts.agg(F.min_by("v", F.struct((-F.col("n")).alias("n"), "v"))).first()
-        out[c] = best[0]
+    out = dict.fromkeys(columns)
+    if not columns:
+        return out
+    rows, names = _typed_cells(df, columns)
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64(*dict.fromkeys(names.values())), F.lit(cells)).cast("int"))
+    full = rows.groupBy("ordinal", "cell").agg(F.count("*").alias("n")).groupBy("ordinal").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("n", "cell")), False), 1, counted + 1).alias("top")).collect()
+    if not full:
+        return out
+    top = {r["ordinal"]: [x["cell"] for x in r["top"][:counted]] for r in full}
+    rest = {r["ordinal"]: r["top"][counted]["n"] if len(r["top"]) > counted else 0 for r in full}
+    held = literal_lookup(F.col("ordinal"), {i: F.array(*map(F.lit, v)) for i, v in top.items()})
+    found = _leading(rows.where(F.array_contains(held, F.col("cell"))), names)
+    unproven = [columns[i] for i, (_, n) in found.items() if n <= rest[i]]
+    out.update({columns[i]: v for i, (v, _) in found.items()})
+    if unproven:
+        again, own = _typed_cells(df, unproven)
+        out.update({unproven[i]: v for i, (v, _) in _leading(again, own).items()})
     return out
 
 
@@ -91,41 +127,35 @@ def log_transform(df: DataFrame, columns: list[str]) -> DataFrame:
                                 for c in _present(df, columns)})
 
 
-def one_hot(df: DataFrame, columns: list[str], max_levels: int = 1000) -> DataFrame:
+def one_hot(df: DataFrame, columns: list[str], form: str = "columns") -> DataFrame:
     """One 0/1 column per level, named ``{column}_{level}``, in place of each column.
 
-    A column of more than ``max_levels`` levels gets the same vector in sparse form: ``{column}_index``, the place of
-    its level in the same order (null where all would be 0), and ``{column}_size``, the number of levels.
+    ``form="index"`` gives the same vector in sparse form whatever the number of levels: ``{column}_index``, the place of the level
+    among the sorted levels (null where all would be 0), and ``{column}_size``, the number of levels. The plan chooses the form; the data never does.
     """
     columns = _present(df, columns)
-    levels = few_levels(df, columns)
-    names: dict[str, list | None] = {}
-    for c in columns:
-        text = value_text(quoted(c), df.schema[c].dataType)
-        if c in levels and all(isinstance(v, str) for v, _ in levels[c]):
-            found = [v for v, _ in levels[c]]
-        else:
-            found = [r[0] for r in df.select(text.alias("t")).where("t is not null").distinct().limit(max_levels + 1).collect()]
-        names[c] = sorted(found, key=lambda s: s.encode("utf-8")) if len(found) <= max_levels else None
-    wide = [c for c, found in names.items() if found is None]
-    rows, sizes = df, {}
-    for c in wide:
-        text = value_text(quoted(c), df.schema[c].dataType)
-        counts = cut_lineage(df.where(quoted(c).isNotNull()).groupBy(text.alias("value")).agg(F.count("*").alias("n")))
-        sizes[c] = counts.count()
-        index, = free_names(rows, f"{c}_index")
-        codes = cut_lineage(global_row_number(counts, F.col("value"), sizes[c], "at").withColumnRenamed("at", index))
-        rows = attach(rows, text, codes, "value", [index]).withColumnRenamed(index, f"{c}_index")
+    if form == "index":
+        codes = dictionaries(df, columns)
+        rows, index = df, dict(zip(columns, free_names(df, *[f"{c}_index" for c in columns])))
+        small = broadcast_share({c: code.size for c, code in codes.items()})
+        for c, code in codes.items():
+            table = code.table.withColumnRenamed("code", index[c])
+            rows = attach(rows, value_text(quoted(c), df.schema[c].dataType), table, "text", [index[c]], code.size,
+                          BROADCAST_ROWS if c in small else -1)
+        return rows.select(*[x for c in df.columns for x in (
+            [quoted(c)] if c not in columns else
+            [quoted(index[c]).alias(f"{c}_index"), F.lit(codes[c].size[0]).cast("long").alias(f"{c}_size")])])
+    texts = {c: value_text(quoted(c), df.schema[c].dataType) for c in columns}
+    found: dict[str, list] = {c: [] for c in columns}
+    if columns:
+        cells = F.array(*[F.struct(F.lit(i).alias("ordinal"), t.alias("text")) for i, t in enumerate(texts.values())])
+        for r in df.select(F.inline(cells)).where("text IS NOT NULL").distinct().collect():  # one row for each column of the result
+            found[columns[r["ordinal"]]].append(r["text"])
     out = []
     for c in df.columns:
-        if c not in columns:
-            out.append(quoted(c))
-        elif c in wide:
-            out += [quoted(f"{c}_index"), F.lit(sizes[c]).cast("long").alias(f"{c}_size")]
-        else:
-            text = value_text(quoted(c), df.schema[c].dataType)
-            out += [F.coalesce((text == F.lit(n)).cast("int"), F.lit(0)).alias(f"{c}_{n}") for n in names[c]]
-    return rows.select(*out)
+        levels = sorted(found.get(c, []), key=lambda x: x.encode("utf-8"))
+        out += [F.coalesce((texts[c] == F.lit(n)).cast("int"), F.lit(0)).alias(f"{c}_{n}") for n in levels] if c in columns else [quoted(c)]
+    return df.select(*out)
 
 
 def dedup_rows(df: DataFrame, columns: list[str] | None = None,
@@ -232,7 +262,7 @@ def apply_plan(
         step("label_encode", label_encode(work, _present(work, enc["label_encoding_columns"])))
         work = done.frame
     if enc["one_hot_columns"]:
-        step("one_hot", one_hot(work, enc["one_hot_columns"]))
+        step("one_hot", one_hot(work, enc["one_hot_columns"], enc.get("one_hot_form") or "columns"))
         work = done.frame
     if sca["strategy"] != "none" and sca["columns"]:
         step("scale", scale(work, _present(work, sca["columns"]), target, sca["strategy"]))

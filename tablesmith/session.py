@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A lookup side is broadcast only below both of these measured sizes.
@@ -50,21 +50,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored_rows(df: DataFrame, part: str, place: str) -> DataFrame:
-    """A stored copy of the rows with the file each lies in (a number) and its place there."""
+def stored_rows(df: DataFrame, part: str, place: str, before: str | None = None) -> DataFrame:
+    """A stored copy of the rows with the number of the file each lies in, in written order, and its place there.
+
+    ``before`` names a column for the count of rows in all earlier files. A task writes one file or, where
+    ``spark.sql.files.maxRecordsPerFile`` limits them, several: files are ordered by the task, then by the task's own count.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(
-        "*", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias(part),
-        F.col("_metadata.row_index").alias(place))
+    file, held = free_names(df, "file_name", "held")
+    rows = spark.read.schema(df.schema).parquet(path).select(
+        "*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(place))
+    task, nth = (F.regexp_extract(F.col(file), rf"{mark}(\d+)", 1).cast("long") for mark in ("^part-", "-c"))
+    order = Window.orderBy(task, nth)  # one row for each written file
+    files = rows.groupBy(file).agg(F.count("*").alias(held)).select(
+        file, (F.row_number().over(order) - 1).cast("long").alias(part),
+        *([(F.sum(held).over(order) - F.col(held)).alias(before)] if before else []))
+    return rows.join(files, file).drop(file)
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """Rows with a number of their own, copies included. Stored once, so every later read sees the same numbers."""
-    part, place = free_names(df, "part", "place")
-    rows = stored_rows(df, part, place)
-    return rows.withColumn(name, F.shiftleft(F.col(part), 40) + F.col(place)).drop(part, place)
+    part, place, before = free_names(df, "part", "place", "before")
+    rows = stored_rows(df, part, place, before)
+    return rows.withColumn(name, F.col(before) + F.col(place)).drop(part, place, before)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:

@@ -15,12 +15,14 @@ from conftest import ROOT
 from tablesmith.functions.names import clean_dataset_id, parse_filename, short_name
 from tablesmith.functions.numeric import float_text, safe_corr
 from tablesmith.operators import features as fe
+from tablesmith.operators import ranks
 from tablesmith.operators.correlate import block_correlations, pair_correlations
 from tablesmith.operators.infer import detect_time_column, detect_time_profile, profile_target, time_frequency, time_steps
-from tablesmith.operators.lookup import attach
-from tablesmith.operators.profile import profile, profile_many
+from tablesmith.operators.lookup import attach, broadcast_share
+from tablesmith.operators.profile import distinct_counts, profile, profile_many, sample_values
 from tablesmith.operators.ranks import exact_quantiles, global_row_number, order_statistics, rank_cut, with_previous
 from tablesmith.operators.split import rebalance, split_random, split_stratified, split_time
+from tablesmith.session import with_row_id
 
 quick = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -55,11 +57,11 @@ def test_rank_cut_inside_ties(spark):
 
 def test_global_order_over_ranges(spark):
     df = spark.range(2000).select(((F.col("id") * 7919) % 2000).alias("k"), F.col("id").alias("v"))
-    pos = global_row_number(df, F.col("k"), 2000, "p", bucket_rows=100)
+    pos = global_row_number(df, F.col("k"), "p")
     assert pos.where("p <> k").count() == 0
     text = df.select(F.lpad(F.col("k").cast("string"), 5, "0").alias("s"))
-    assert global_row_number(text, F.col("s"), 2000, "p", 100).where("p <> cast(s as long)").count() == 0
-    prev = with_previous(df, F.col("k"), F.col("k"), 2000, bucket_rows=100)
+    assert global_row_number(text, F.col("s"), "p").where("p <> cast(s as long)").count() == 0
+    prev = with_previous(df, F.col("k"), F.col("k"))
     assert prev.where("previous is null").count() == 1 and prev.where("value - previous <> 1").count() == 0
 
 
@@ -244,12 +246,100 @@ def test_time_columns(spark):
     assert detect_time_profile(df.drop("order_date"), F.col("n"), strict=True) is None
     assert time_frequency(time_steps(df, "order_date", F.col("n"))).first()["frequency"] == "invalid_format"
     weekly = spark.range(30).select("id", F.timestamp_seconds(F.col("id") * 7 * 86400).alias("t"))
-    for rows in (7, 10**6):
-        assert time_frequency(time_steps(weekly, "t", F.col("id"), bucket_rows=rows)).first()["frequency"] == "weekly"
+    assert time_frequency(time_steps(weekly, "t", F.col("id"))).first()["frequency"] == "weekly"
     back = time_frequency(time_steps(weekly, "t", -F.col("id"))).first()["frequency"]
     assert back == "irregular"  # falling order, steps of minus a week
 
 
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.integers(0, 6)), max_size=40), st.sampled_from(["as is", "up", "down"]), st.integers(1, 5))
+def test_step_and_order_fold_over_ranges(spark, values, order, parts):
+    if order != "as is":
+        values = sorted((v for v in values if v is not None), reverse=order == "down")
+    rows = [(i, None if v is None else f"2024-01-{v + 1:02d}") for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "i int, t string").repartition(parts, "i")
+    got = time_steps(df, "t", F.col("i")).first()
+    steps = [b - a for a, b in zip(values, values[1:]) if a is not None and b is not None]
+    day = 86_400_000_000
+    top = min(set(steps), key=lambda x: (-steps.count(x), x), default=None)
+    assert got["modal_step_micros"] == (None if top is None else top * day)
+    assert got["is_monotonic"] == (None not in values and (all(x >= 0 for x in steps) or all(x <= 0 for x in steps)))
+
+
+def test_first_samples_far_from_the_head(spark):
+    df = spark.range(2000).select(
+        "id", F.when(F.col("id") < 1500, "a").when(F.col("id") < 1800, None).otherwise(F.concat(F.lit("v"), F.col("id") % 3)).alias("late"),
+        F.when(F.col("id") % 7 == 0, "x" * 5000).alias("two"), F.lit(None).cast("string").alias("none"),
+        F.concat(F.lit("u"), 3000 - F.col("id")).alias("many")).repartition(5)
+    got = sample_values(df, ["late", "two", "none", "many"], F.col("id")).collect()
+    assert [(r["ordinal"], r["rank"], r["value"]) for r in got] == [
+        (0, 1, "a"), (0, 2, "v0"), (0, 3, "v1"), (1, 1, "x" * 5000), (3, 1, "u3000"), (3, 2, "u2999"), (3, 3, "u2998")]
+    assert sample_values(df.limit(0), ["late"], F.col("id")).count() == 0
+
+
+def test_distinct_counts_of_many_kinds(spark):
+    df = spark.range(500).select(
+        F.col("id"), (F.col("id") % 7).cast("double").alias("d"), F.repeat(F.concat(F.lit("t"), F.col("id") % 11), 900).alias("long"),
+        F.array(F.when(F.col("id") % 2 == 0, F.col("id") % 3)).alias("list"), F.create_map(F.lit("k"), F.col("id") % 5).alias("map"),
+        (F.col("id") % 13).cast("decimal(30,2)").alias("dec"), F.when(F.col("id") % 2 == 0, float("nan")).otherwise(1.0).alias("nan"),
+        (F.col("id") % 2 == 0).alias("flag"), F.timestamp_seconds(F.col("id") % 17).alias("time"), F.lit(None).cast("string").alias("none"))
+    assert distinct_counts(df) == {"id": 500, "d": 7, "long": 11, "list": 4, "map": 5, "dec": 13, "nan": 1, "flag": 2, "time": 17, "none": 0}
+
+
+def test_keys_that_share_a_digest_are_counted_by_value(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "_cell", lambda i, s, kind: F.when(s.value.isNotNull(), F.struct(
+        F.lit(i).alias("i"), F.length(s.value).cast("long").alias("whole"), F.lit(None).cast("double").alias("real"), F.xxhash64(s.value).alias("second"))))
+    df = spark.createDataFrame([("a",), ("b",), ("cc",), ("cc",), (None,)], "s string")
+    assert distinct_counts(df) == {"s": 3}
+
+
+def test_row_numbers_where_tasks_write_several_files(spark):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "30")
+    try:
+        df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"), F.lit("x").alias("t"))
+        assert with_row_id(df, "row").select("row").distinct().count() == 1000
+        assert global_row_number(df, F.col("k"), "p").where("p <> k").count() == 0
+        assert with_previous(df, F.col("k"), F.col("k")).where("value - previous = 1").count() == 999
+        assert split_random(df.drop("k"), [], 0.2).where("split = 'test'").count() == 200
+        assert fe.label_encode(df, ["k"]).select("k").distinct().count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def test_many_wide_columns_are_encoded_by_the_same_jobs(spark):
+    df = spark.range(400).select(*[F.concat(F.lit("v"), (F.col("id") * k) % 311).alias(f"c{k}") for k in range(1, 7)],
+                                 F.repeat(F.concat(F.lit("l"), F.col("id") % 150), 400).alias("long"))
+    pdf = df.toPandas()
+    want = pdf.apply(lambda x: x.map({v: i for i, v in enumerate(sorted(x.unique(), key=str.encode))}))
+    got = fe.label_encode(df, df.columns).toPandas()
+    assert got.sort_values(list(got)).values.tolist() == want.sort_values(list(want)).values.tolist()
+    codes = fe.fit_codes(df, df.columns, {})
+    for c, (mean, scale) in fe.code_scaler(codes, "standard").items():
+        assert (mean, scale) == pytest.approx((want[c].mean(), want[c].std(ddof=0)))
+
+    def jobs(columns):
+        tracker, group = spark.sparkContext.statusTracker(), f"wide-{len(columns)}"
+        spark.sparkContext.setJobGroup(group, group)
+        fe.fit_codes(df, columns, {})
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(group))
+
+    assert jobs(df.columns) == jobs(df.columns[:2])
+
+
+def test_broadcast_lookups_share_one_budget():
+    sizes = {"a": (10, 100, 10), "b": (20, 200, 20), "c": (10, 10**6, 10)}
+    assert broadcast_share(sizes, 100, 10**4) == {"a", "b"} and broadcast_share(sizes, 25, 10**9) == {"a"}
+
+
+def test_files_written_in_time_order(spark, tmp_path):
+    df = spark.range(1000).select("id", F.timestamp_seconds((F.col("id") * 7919) % 1000 * 3600).alias("t"))
+    back = fe.write_in_time_order(df, "t", str(tmp_path / "out"), "id", files=4)
+    spans = back.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.min("t_order"), F.max("t_order")).orderBy("f").collect()
+    assert len(spans) == 4 and all(a[2] <= b[1] for a, b in zip(spans, spans[1:])) and back.count() == 1000
+    assert "Sort" not in fe.time_features(df, "t")._jdf.queryExecution().toString()
+
+
 def test_chronological_build_orders_equal_times_by_the_key(spark):
     df = spark.range(100).select(
         F.col("id").alias("row"), F.timestamp_seconds((F.col("id") % 2) * 86400).alias("date"),

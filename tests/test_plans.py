@@ -151,7 +151,7 @@ def test_modes_and_bounds(spark):
     capped = [r["x"] for r in ex.cap_outliers(df, ["x"]).collect()]
     assert capped[3] is None and max(v for v in capped if v is not None) < 100
     wide = spark.range(51).select(F.when(F.col("id") < 50, F.col("id").cast("string")).alias("s"), F.lit(1).alias("s_index_"))
-    sparse = ex.one_hot(wide, ["s"], max_levels=10)
+    sparse = ex.one_hot(wide, ["s"], form="index")
     dense = ex.one_hot(wide, ["s"])
     assert sparse.columns == ["s_index", "s_size", "s_index_"] and sparse.where("s_size = 50").count() == 51
     order = [c.removeprefix("s_") for c in dense.columns[:-1]]
@@ -159,6 +159,26 @@ def test_modes_and_bounds(spark):
     assert order == sorted(order) and sparse.where("s_index IS NULL").count() == 1
 
 
+def test_one_hot_keeps_its_form_at_any_width(spark):
+    wide = spark.range(1500).select(F.col("id").cast("string").alias("s"))
+    assert len(ex.one_hot(wide, ["s"]).columns) == 1500
+    assert ex.one_hot(wide.limit(2), ["s"], form="index").columns == ["s_index", "s_size"]
+
+
+def test_modes_of_many_columns_in_two_jobs(spark):
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("hot"), F.col("id").alias("unique"),
+        (F.col("id") % 9 / 2).alias("real"), F.date_add(F.lit("2024-01-31").cast("date"), (F.col("id") % 40).cast("int")).alias("day"),
+        (F.col("id") % 4 == 0).alias("flag"), F.lit(None).cast("string").alias("none"),
+        (F.col("id") % 5).cast("decimal(20,3)").alias("dec"), F.when(F.col("id") % 2 == 0, float("nan")).alias("nan"))
+    pdf = df.toPandas()
+    want = {c: (m[0] if len(m := pdf[c].dropna().mode()) else None) for c in pdf.columns}
+    for cells, counted in ((1024, 64), (8, 1), (3, 3)):
+        got = ex.column_modes(df, df.columns, cells, counted)
+        assert got == want, (cells, got, want)
+    assert ex.column_modes(df.limit(0), ["hot", "none"]) == {"hot": None, "none": None}
+
+
 def test_split_without_keys_and_with_copies(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 500, 0).otherwise(F.col("id")).alias("v"), F.lit("y").alias("_row"))
     plan = {"target_column": "v", "preprocessing": {
