@@ -22,13 +22,17 @@ def actual_columns(df: DataFrame) -> DataFrame:
 
 
 def compare_profiles(expected: DataFrame, actual: DataFrame, target: str | None = None,
-                     type_column: str = "spark_type") -> DataFrame:
-    """One row per problem: (kind, name, message), from a full outer join by column name."""
-    e = expected.select("name", F.col(type_column).alias("e_type"), F.col("missing_count").alias("e_missing"),
+                     type_column: str = "spark_type", by: list[str] | None = None) -> DataFrame:
+    """One row per problem: (by..., kind, name, message), from a full outer join by column name.
+
+    ``by`` names columns that tell many tables apart in one go.
+    """
+    by = by or []
+    e = expected.select(*by, "name", F.col(type_column).alias("e_type"), F.col("missing_count").alias("e_missing"),
                         F.lit(True).alias("e"))
-    a = actual.select("name", F.col(type_column).alias("a_type"), F.col("missing_count").alias("a_missing"),
+    a = actual.select(*by, "name", F.col(type_column).alias("a_type"), F.col("missing_count").alias("a_missing"),
                       F.lit(True).alias("a"))
-    both = e.join(a, "name", "full_outer")
+    both = e.join(a, [*by, "name"], "full_outer")
     in_e, in_a = F.col("e").isNotNull(), F.col("a").isNotNull()
 
     def issue(cond: Column, kind: str, text: str) -> Column:
@@ -42,38 +46,45 @@ def compare_profiles(expected: DataFrame, actual: DataFrame, target: str | None
         issue(in_e & in_a & (F.col("e_missing") != F.col("a_missing")), "missing_mismatch",
               "Missing mismatch in "),
     ))
-    out = both.select(F.explode(issues).alias("i")).select("i.*")
+    out = both.select(*by, F.explode(issues).alias("i")).select(*by, "i.*")
     if target is None:
         return out
-    absent = actual.agg(F.count_if(F.col("name") == target).alias("n")).where("n = 0").select(
-        F.lit("target_missing").alias("kind"), F.lit(target).alias("name"),
+    absent = actual.groupBy(*by).agg(F.count_if(F.col("name") == target).alias("n")).where("n = 0").select(
+        *by, F.lit("target_missing").alias("kind"), F.lit(target).alias("name"),
         F.lit(f"Target column missing: {target}").alias("message"))
     return out.unionByName(absent)
 
 
-def validation_report(issues: DataFrame, name: str, version: str | None = None,
-                      raw_path: str | None = None, schema_path: str | None = None) -> DataFrame:
-    """One report row: valid exactly when there is no problem.
-
-    Missing and extra columns are listed once each; ``errors`` is ordered by kind.
-    """
+def error_lists(issues: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., errors): messages ordered by kind; missing and extra columns are listed once each."""
+    by = by or []
     order = F.create_map(*[x for i, k in enumerate(
         ["missing_column", "extra_column", "target_missing", "type_mismatch", "missing_mismatch"])
         for x in (F.lit(k), F.lit(i))])
     listed = issues.withColumn("_o", order[F.col("kind")])
-    folded = listed.groupBy("_o", "kind", F.when(F.col("_o") >= 2, F.col("name")).alias("who")).agg(
+    folded = listed.groupBy(*by, "_o", "kind", F.when(F.col("_o") >= 2, F.col("name")).alias("who")).agg(
         F.array_sort(F.collect_set("name")).alias("names"), F.min("message").alias("message"))
     text = (
         F.when(F.col("kind") == "missing_column", F.concat(F.lit("Missing columns: "), F.array_join("names", ", ")))
         .when(F.col("kind") == "extra_column", F.concat(F.lit("Extra columns: "), F.array_join("names", ", ")))
         .otherwise(F.col("message")))
-    errors = folded.agg(F.array_sort(F.collect_list(F.struct("_o", text.alias("t")))).alias("e"))
-    lit = lambda v: F.lit(v).cast("string")
-    return errors.select(
-        (F.size("e") == 0).alias("is_valid"), F.transform("e", lambda s: s["t"]).alias("errors"),
-        F.array().cast("array<string>").alias("warnings"), lit(name).alias("name"), lit(version).alias("version"),
-        lit(raw_path).alias("raw_file_path"), lit(schema_path).alias("schema_path"),
-        F.when(F.size("e") == 0, "valid").otherwise("invalid").alias("validation_status"))
+    errors = folded.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_o", text.alias("t")))).alias("e"))
+    return errors.select(*by, F.transform("e", lambda s: s["t"]).alias("errors"))
+
+
+def report_columns(name: Column, version: Column, raw_path: Column, schema_path: Column) -> list[Column]:
+    """The columns of a report around its ``errors``: valid exactly when there is none."""
+    ok = F.size("errors") == 0
+    return [
+        ok.alias("is_valid"), F.col("errors"), F.array().cast("array<string>").alias("warnings"), name.cast("string").alias("name"),
+        version.cast("string").alias("version"), raw_path.cast("string").alias("raw_file_path"),
+        schema_path.cast("string").alias("schema_path"), F.when(ok, "valid").otherwise("invalid").alias("validation_status")]
+
+
+def validation_report(issues: DataFrame, name: str, version: str | None = None,
+                      raw_path: str | None = None, schema_path: str | None = None) -> DataFrame:
+    """One report row: valid exactly when there is no problem."""
+    return error_lists(issues).select(*report_columns(F.lit(name), F.lit(version), F.lit(raw_path), F.lit(schema_path)))
 
 
 def validate(df: DataFrame, expected: DataFrame, name: str, version: str | None = None,
@@ -90,44 +101,63 @@ def failed_report(spark, name: str, version: str | None, error: str, raw_path: s
         "raw_file_path string, schema_path string, validation_status string")
 
 
+RESULT = "dataset_name string, version string, status string, errors_count int, warnings_count int, first_error string"
+MISSING_SCHEMA, BAD_NAME = "Schema file not found", "Unexpected filename format"
+
+
+def _known_files(paths: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(file, p, known): the parts of each raw file name and whether a profile of its name is stored."""
+    names = profiles.select(F.col("dataset").alias("base")).distinct().withColumn("known", F.lit(True))
+    files = paths.withColumn("p", parse_filename("file"))
+    return files.join(names, F.col("p.base_name") == F.col("base"), "left").select(
+        "file", "p", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def judge(files: DataFrame, profiles: DataFrame, actual: DataFrame, problems: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reports and result rows of many files at once: one comparison joined by file and column.
+
+    ``actual`` has (file, name, spark_type, missing_count) of the files that could be read, ``problems`` (file, problem) of the others.
+    A name of another shape is skipped and has no report.
+    """
+    files = _known_files(files, profiles).join(problems, "file", "left")
+    named = F.col("p.version").isNotNull()
+    ready = files.where(named & F.col("known") & F.col("problem").isNull())
+    expected = ready.select("file", F.col("p.base_name").alias("dataset")).join(profiles, "dataset").select(
+        "file", "name", "spark_type", "missing_count")
+    errors = error_lists(compare_profiles(expected, actual.join(ready.select("file"), "file", "left_semi"), by=["file"]), ["file"])
+    failed = F.concat(F.lit("Failed to read or validate dataset: "), F.col("problem"))
+    own = F.when(~F.col("known"), F.lit(MISSING_SCHEMA)).when(F.col("problem").isNotNull(), failed)
+    judged = files.where(named).join(errors, "file", "left").withColumn("errors", F.coalesce(
+        F.when(own.isNotNull(), F.array(own)), F.col("errors"), F.array().cast("array<string>")))
+    schema_path = F.when(F.col("known") & F.col("problem").isNull(), F.concat(F.col("p.base_name"), F.lit("_schema")))
+    reports = judged.select(*report_columns(F.col("p.name"), F.col("p.version"), F.col("file"), schema_path))
+    status = F.when(F.col("known") & F.col("problem").isNotNull(), "failed").when(F.size("errors") == 0, "valid").otherwise("invalid")
+    results = judged.select(
+        F.col("p.name").alias("dataset_name"), F.col("p.version").alias("version"), status.alias("status"),
+        F.size("errors").alias("errors_count"), F.lit(0).alias("warnings_count"), F.get("errors", F.lit(0)).alias("first_error"))
+    skipped = files.where(~named).select(
+        F.col("p.base_name").alias("dataset_name"), F.lit(None).cast("string").alias("version"), F.lit("skipped").alias("status"),
+        F.lit(1).alias("errors_count"), F.lit(0).alias("warnings_count"), F.lit(BAD_NAME).alias("first_error"))
+    return reports, results.unionByName(skipped)
+
+
 def validate_many(spark, tables: dict[str, tuple], profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Validate many raw tables; nothing aborts the run.
+    """Validate many tables at hand; nothing aborts the run. Files on disk go through ``facade.run_validation``, in a few jobs for all.
 
     ``tables`` maps a raw file name to (DataFrame or None, error or None). Returns
     the reports and one result row per file (skipped names included).
     """
-    names = spark.createDataFrame([(n,) for n in tables], "path string")
-    parsed = {r["path"]: r["p"] for r in names.select("path", parse_filename("path").alias("p")).collect()}
-    known = {r[0] for r in profiles.select("dataset").distinct().collect()}
-    reports, results = [], []
+    rows, problems = [], []
     for path, (df, problem) in sorted(tables.items()):
-        p = parsed[path]
-        if p["version"] is None:
-            results.append((p["base_name"], None, "skipped", 1, 0, "Unexpected filename format"))
-            continue
-        ok_status = None
         try:
-            if p["base_name"] not in known:
-                problem, ok_status = "Schema file not found", "invalid"
-                raise LookupError(problem)
             if df is None:
                 raise ValueError(problem or "no data")
-            row = validate(df, profiles.where(F.col("dataset") == p["base_name"]), p["name"], p["version"],
-                           raw_path=path, schema_path=f"{p['base_name']}_schema").first()
-        except Exception as e:  # one bad file is one failed row
-            text = problem if ok_status else f"Failed to read or validate dataset: {e}"
-            row = failed_report(spark, p["name"], p["version"], str(text), path).first()
-            ok_status = ok_status or "failed"
-        reports.append(tuple(row))
-        errors = row["errors"]
-        results.append((p["name"], p["version"], ok_status or row["validation_status"], len(errors),
-                        len(row["warnings"]), errors[0] if errors else None))
-    schema = failed_report(spark, "", None, "").schema
-    return (
-        spark.createDataFrame(reports, schema),
-        spark.createDataFrame(results, "dataset_name string, version string, status string, "
-                                       "errors_count int, warnings_count int, first_error string"),
-    )
+            rows += [(path, r["name"], r["spark_type"], r["missing_count"]) for r in actual_columns(df).collect()]
+        except Exception as e:  # one bad table is one failed row
+            problems.append((path, str(e)))
+    files = spark.createDataFrame([(p,) for p in sorted(tables)], "file string")
+    return judge(files, profiles, spark.createDataFrame(rows, "file string, name string, spark_type string, missing_count long"),
+                 spark.createDataFrame(problems, "file string, problem string"))
 
 
 def normalize_reports(reports: DataFrame) -> DataFrame:

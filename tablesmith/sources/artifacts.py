@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.functions.names import base_name, stem
+from tablesmith.functions.names import base_name
 from tablesmith.functions.numeric import quoted
 from tablesmith.sources.delimited import promote_header
 
@@ -70,11 +70,42 @@ def profiles_from_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.drop("name").withColumnRenamed("column", "name"), meta
 
 
-def artifact_name(kind: str) -> Column:
-    return F.regexp_replace(stem("path"), f"_{kind}$", "")
+# --- sinks ----------------------------------------------------------------------------
 
+def put_documents(df: DataFrame, path: str, keys: tuple[str, ...] = ("dataset", "version")) -> None:
+    """Write one document a key, replacing the one of that key and no other.
+
+    Rows are staged beside the table and their partitions swapped in when the job commits, so a failed or repeated write
+    leaves one whole copy of each document. All documents of a run go in one job; nulls in a key are one key of their own.
+    """
+    shown = df.select(*[c for c in df.columns if c not in keys], *keys)
+    (shown.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).json(path))
+
+
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Documents of :func:`put_documents`; their keys stay text. A table not yet written is an empty frame."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], schema)
+        raise
+
+
+PROFILE_DOCUMENT = "json string, dataset string, version string"
+REPORT_DOCUMENT = ("is_valid boolean, errors array<string>, warnings array<string>, raw_file_path string, schema_path string, "
+                   "validation_status string, name string, version string")
+
+
+def put_profiles(profile: DataFrame, meta: DataFrame, version: str, root: str) -> None:
+    """Profile documents under ``root/profiles``, one a dataset and version."""
+    put_documents(profile_documents(profile, meta).withColumn("version", F.lit(version)), f"{root}/profiles")
+
+
+def put_reports(reports: DataFrame, root: str) -> None:
+    """Validation reports, valid and invalid, under ``root/reports``, one a name and version."""
+    put_documents(reports, f"{root}/reports", ("name", "version"))
 
-# --- sinks ----------------------------------------------------------------------------
 
 def write_json(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).json(path)

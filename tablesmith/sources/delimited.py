@@ -134,13 +134,17 @@ def choose_separator(spark: SparkSession, line: str, strategy: str, expected: li
     if strategy == "first_multicolumn":
         wide = [s for s in SEPARATORS if len(header_names(line, s)) > 1]
         return (wide[0] if wide and data else ","), None
-    candidates = [",", ";", "\t", "|", sniff_separator(line)]
-    rows = [(i, s, header_names(line, s), list(expected or []), int(data)) for i, s in enumerate(candidates)]
-    scored = spark.createDataFrame(
-        rows, "i int, sep string, found array<string>, expected array<string>, n int"
-    ).withColumn("score", parse_score(F.col("found"), F.col("expected"), F.col("n")))
-    best = scored.orderBy(F.desc("score"), "i").first()
-    return best["sep"], best["score"]
+    return best_separators(spark, [(line, list(expected or []), data)])[0]
+
+
+def best_separators(spark: SparkSession, requests: list[tuple[str, list[str], bool]]) -> list[tuple[str, int]]:
+    """Separator and score for each (header line, expected names, has data): the first candidate of the best score, all in one job."""
+    rows = [(k, i, s, header_names(line, s), expected, int(data)) for k, (line, expected, data) in enumerate(requests)
+            for i, s in enumerate([",", ";", "\t", "|", sniff_separator(line)])]
+    scored = spark.createDataFrame(rows, "k int, i int, sep string, found array<string>, expected array<string>, n int").withColumn(
+        "score", parse_score(F.col("found"), F.col("expected"), F.col("n")))
+    best = scored.groupBy("k").agg(F.min_by(F.struct("sep", "score"), F.struct(-F.col("score"), F.col("i"))).alias("b")).collect()
+    return [(r["b"]["sep"], r["b"]["score"]) for r in sorted(best, key=lambda r: r["k"])]
 
 
 def field_count(line: Column, sep: str) -> Column:
@@ -186,28 +190,33 @@ def clean_tokens(df: DataFrame) -> DataFrame:
         for c, t in df.dtypes])
 
 
+def type_counts(v: Column) -> dict[str, Column]:
+    """Present values of a text column, and those that read as whole number, number and truth value."""
+    return {
+        "n": F.count(v),
+        "int": F.count_if(v.isNotNull() & v.rlike(r"^\s*[+-]?[0-9]+\s*$") & v.try_cast("bigint").isNotNull()),
+        "float": F.count_if(v.isNotNull() & ~v.rlike(r"[dDfF]\s*$") & v.try_cast("double").isNotNull()),
+        "bool": F.count_if(F.lower(v).isin("true", "false")),
+    }
+
+
+def type_of_counts(n: Column, whole: Column, real: Column, truth: Column) -> Column:
+    """Type of a column by its counts: the first that every present value has; a column without values is a float column."""
+    return (F.when(n == 0, "double").when(whole == n, "bigint").when(real == n, "double").when(truth == n, "boolean").otherwise("string"))
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Integer, float or boolean where every present value parses; text otherwise. One pass."""
     texts = [c for c, t in df.dtypes if t == "string"]
-    exprs = {}
-    for i, c in enumerate(texts):
-        v = quoted(c)
-        exprs[f"{i}.n"] = F.count(v)
-        exprs[f"{i}.int"] = F.count_if(v.isNotNull() & v.rlike(r"^\s*[+-]?[0-9]+\s*$") & v.try_cast("bigint").isNotNull())
-        exprs[f"{i}.float"] = F.count_if(v.isNotNull() & ~v.rlike(r"[dDfF]\s*$") & v.try_cast("double").isNotNull())
-        exprs[f"{i}.bool"] = F.count_if(F.lower(v).isin("true", "false"))
-    got = agg_row(df, exprs) if exprs else {}
+    if not texts:
+        return df
+    got = agg_row(df, {(i, k): e for i, c in enumerate(texts) for k, e in type_counts(quoted(c)).items()})
     new = {}
     for i, c in enumerate(texts):
-        n = got[f"{i}.n"]
-        kind = next((t for t, k in (("bigint", "int"), ("double", "float"), ("boolean", "bool"))
-                     if n and got[f"{i}.{k}"] == n), None)
-        if kind == "boolean":
-            new[c] = F.lower(quoted(c)) == "true"
-        elif kind:
-            new[c] = quoted(c).try_cast(kind)
-        elif not n:
-            new[c] = quoted(c).try_cast("double")  # a column without values is a float column
+        n = got[i, "n"]
+        kind = "double" if not n else next((t for t, k in (("bigint", "int"), ("double", "float"), ("boolean", "bool")) if got[i, k] == n), None)
+        if kind:
+            new[c] = F.lower(quoted(c)) == "true" if kind == "boolean" else quoted(c).try_cast(kind)
     return df.select(*[new[c].alias(c) if c in new else quoted(c) for c in df.columns])
 
 

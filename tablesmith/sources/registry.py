@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesmith.functions.names import stem
+from tablesmith.sources.events import ERROR_LIMIT
 
 SCHEMAS = {
     "datasets": "dataset_id string, dataset_name string, original_filename string, stored_path string, "
@@ -27,7 +28,6 @@ SCHEMAS = {
 }
 RUN_STATUSES = ["started", "running", "completed", "failed", "success"]
 TASKS = ["classification", "regression"]
-ERROR_LIMIT = 500
 MAX_LIMIT = 100
 DEFAULT_LIMIT = 20
 

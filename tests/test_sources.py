@@ -1,15 +1,19 @@
 """Delimited reading, landing, events, registry and the prepare facade."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from tablesmith.facade import prepare
+from tablesmith.facade import prepare, run_features, run_validation
 from tablesmith.sources import registry
 from tablesmith.sources.artifacts import (
     profile_documents, profiles_from_documents, read_artifacts, transform_log, write_features, write_pairs, write_table,
 )
 from tablesmith.sources.delimited import file_type, header_names, promote_header, read_delimited
-from tablesmith.sources.events import event, filter_events, log_events, make_run_id, read_events
+from tablesmith.sources.events import (
+    RunLog, event, filter_events, log_events, make_run_id, read_events, stage_states, step_durations,
+)
 from tablesmith.sources.tables import list_files, read_excel, read_table, resolve_source
 from tablesmith.streaming.landing import ingest, ingest_folder, ingest_stream, read_metadata, read_raw
 
@@ -270,3 +274,113 @@ def test_landing_events_carry_durations(spark, tmp_path):
     assert done == {"a.csv": "completed", "missing.csv": "failed"}
     events = read_events(spark, f"{tmp_path}/w/events").collect()
     assert len(events) == 2 and all(e["duration_ms"] > 0 for e in events)
+
+
+def test_documents_are_replaced_by_key(spark, tmp_path):
+    from tablesmith.sources.artifacts import put_documents, read_documents
+
+    path, schema = str(tmp_path / "docs"), "json string, dataset string, version string"
+    assert read_documents(spark, path, schema).count() == 0
+    for text, version in (("1", "007"), ("2", "8e1"), ("3", "007"), ("3", "007"), ("4", None)):
+        put_documents(spark.createDataFrame([(text, "a b/c", version)], schema), path)
+    assert sorted(map(str, rows(read_documents(spark, path, schema)))) == sorted(map(str, [("2", "a b/c", "8e1"), ("3", "a b/c", "007"), ("4", "a b/c", None)]))
+    broken = spark.createDataFrame([("x", "a b/c", "007")], schema).withColumn("json", F.raise_error(F.lit("boom")).cast("string"))
+    with pytest.raises(Exception, match="boom"):
+        put_documents(broken, path)
+    assert read_documents(spark, path, schema).where("json = '3'").count() == 1
+
+
+def test_prepare_leaves_one_copy_of_each_document(spark, tmp_path):
+    from tablesmith.sources.artifacts import PROFILE_DOCUMENT, REPORT_DOCUMENT, read_documents
+
+    f = write(tmp_path / "people.csv", "PassengerId,Age,Survived\n" + "".join(f"{i},{i % 7},{i % 2}\n" for i in range(40)))
+    root = str(tmp_path / "out")
+    for _ in range(2):
+        prepare(spark, f, root)
+    docs = read_documents(spark, f"{root}/profiles", PROFILE_DOCUMENT)
+    cols, meta = profiles_from_documents(docs)
+    assert docs.count() == 1 and meta.first()["target_column"] == "Survived" and cols.count() == 3
+    assert [r["validation_status"] for r in read_documents(spark, f"{root}/reports", REPORT_DOCUMENT).collect()] == ["valid"]
+    states = stage_states(read_events(spark, f"{root}/events"))
+    assert {r["step"] for r in states.where("status = 'completed' AND duration_ms > 0").collect()} == {"ingestion", "profile", "validation", "plan"}
+    assert read_events(spark, f"{root}/events").where("status = 'started'").count() == 8
+
+
+def test_failing_stages_leave_their_events(spark, tmp_path):
+    root = str(tmp_path)
+    log = RunLog(spark, f"{root}/events")
+    with pytest.raises(ValueError, match="halfway"), log.stage("validation", "d", "v") as found:
+        found["rows"] = 5
+        time.sleep(0.05)
+        raise ValueError("halfway")
+    got = read_events(spark, f"{root}/events").orderBy("timestamp").collect()
+    assert [r["status"] for r in got] == ["started", "failed"] and got[1]["duration_ms"] >= 50
+    assert (got[1]["error_detail"], got[1]["details"]) == ("halfway", {"rows": "5"})
+    df = spark.range(60).select("id", (F.col("id") % 2).alias("label"), F.when(F.col("id") == 59, F.raise_error(F.lit("late"))).otherwise(1.5).cast("double").alias("x"))
+    with pytest.raises(Exception, match="late"):
+        run_features(spark, df, root, "bad")
+    good = run_features(spark, df.where("id < 50"), root, "good", keys=["id"], sample_rows=5)
+    assert good.target == "label" and spark.read.parquet(f"{root}/samples/good").count() == 5
+    assert spark.read.parquet(f"{root}/splits/good/X_test").count() == 10
+    runs = {r["status"]: r for r in registry.read(spark, f"{root}/registry", "runs").collect()}
+    assert set(runs) == {"failed", "completed"} and "late" in runs["failed"]["error_message"]
+    assert runs["completed"]["rows_processed"] == 50 and runs["completed"]["execution_time_seconds"] > 0
+    states = {r["dataset_name"]: r["status"] for r in stage_states(read_events(spark, f"{root}/events")).where("step = 'features'").collect()}
+    assert states == {"bad": "failed", "good": "completed"}
+    assert step_durations(read_events(spark, f"{root}/events")).where("step = 'features'").count() == 2
+
+
+def test_many_files_are_validated_in_few_jobs(spark, tmp_path):
+    from tablesmith.sources.grouped import group_cells, group_columns, layouts
+
+    bodies = {
+        "a": "id,name,x\n1,ann,0.5\n2,,1\n3,bob\n4,c,d,e\n", "b": "id;flag\n1;true\n2;False\n", "c": 'k\tt\n1\t"two\nlines"\n2\tNA\n',
+        "d": "only,head\n", "e": "", "f": "n\u00e9e|z\n1|2\n"}
+    paths = {}
+    for i in range(60):
+        name = "abcdef"[i % 6]
+        paths[f"2024010{i % 9}_000000_{i:08x}_{name} {i}.csv"] = bodies[name]
+    files = []
+    for name, body in paths.items():
+        (tmp_path / name).write_bytes(body.encode("latin-1" if "\u00e9" in body else "utf-8"))
+        files.append(str(tmp_path / name))
+    profiles = []
+    for f in files:
+        body, base = paths[f.rsplit("/", 1)[-1]], f.rsplit("/", 1)[-1].removesuffix(".csv")
+        if body.startswith("id,"):
+            profiles += [(base, 0, "id", "bigint", 0), (base, 1, "name", "string", 1), (base, 2, "x", "double", 1)]
+        elif body.startswith("id;"):
+            profiles += [(base, 0, "id", "bigint", 0), (base, 1, "flag", "string", 0), (base, 2, "gone", "string", 0)]
+        elif body.startswith("k") or not body:
+            profiles += [(base, 0, "k", "bigint", 0), (base, 1, "t", "string", 1)]
+        elif body.startswith("n"):
+            profiles += [(base, 0, "n\u00e9e", "bigint", 0), (base, 1, "z", "bigint", 0)]
+    profiles = spark.createDataFrame(profiles, "dataset string, ordinal int, name string, spark_type string, missing_count long")
+    files += [str(tmp_path / "odd.csv"), str(tmp_path / "20240101_000000_00ffffff_gone.csv")]
+    profiles = profiles.unionByName(spark.createDataFrame([("20240101_000000_00ffffff_gone", 0, "k", "bigint", 0)], profiles.schema))
+
+    def run(some, root):
+        tracker = spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup(root, root)
+        reports, results = run_validation(spark, some, profiles, str(tmp_path / root))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return reports, results, len(tracker.getJobIdsForGroup(root))
+
+    reports, results, jobs = run(files, "w")
+    by = {r["dataset_name"]: r for r in results.collect()}
+    assert by["a 0"]["status"] == "valid" and by["c 2"]["status"] == "valid" and by["f 5"]["status"] == "valid"
+    assert by["b 1"]["status"] == "invalid" and by["b 1"]["first_error"] == "Missing columns: gone" and by["b 1"]["errors_count"] == 2
+    assert by["d 3"]["first_error"] == "Schema file not found" and by["d 3"]["status"] == "invalid"
+    assert by["e 4"]["status"] == "failed" and "No columns" in by["e 4"]["first_error"]
+    assert by["gone"]["status"] == "failed" and by["odd"]["status"] == "skipped"
+    assert results.count() == 62 and reports.count() == 61
+    events = read_events(spark, str(tmp_path / "w/events")).where("step = 'validation'")
+    assert events.count() == 61 and events.where("status = 'failed'").count() == 21
+    _, _, few = run(files[:6], "few")
+    assert jobs <= few + 4
+    again, _, _ = run(files, "w")
+    assert again.count() == 61
+    one = [f for f in files if "_a " in f][:1]
+    cells = group_columns(group_cells(spark, layouts(spark, one))).collect()
+    assert sorted((r["name"], r["spark_type"], r["row_count"], r["missing_count"]) for r in cells) == [
+        ("id", "bigint", 3, 0), ("name", "string", 3, 1), ("x", "double", 3, 1)]
