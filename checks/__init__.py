@@ -1,5 +1,5 @@
 """Registered queries, each next to the SQL that states the same result."""
 
-from checks import catalog, features, planning, profiling
+from checks import catalog, features, planning, profiling, sources
 
-QUERY_MODULES = [profiling, features, planning, catalog]
+QUERY_MODULES = [profiling, features, planning, catalog, sources]

@@ -427,3 +427,39 @@ def plan_sql() -> str:
 @query("apply_plan_full", plan_sql())
 def plan_applied(spark, sf):
     return plain(ex.apply_plan(gappy(spark, sf, "customer"), PLAN, keys=["c_custkey"]).frame)
+
+
+EVERY_LIST = {
+    "target_column": "c_nationkey", "task_type": "regression",
+    "preprocessing": {
+        "drop_columns": ["c_flag", "c_nationkey"],
+        "imputation": {"numeric_strategy": "median", "numeric_columns": ["c_acctbal"],
+                       "categorical_strategy": "constant", "categorical_columns": ["c_mktsegment"], "constant_value": "Unknown"},
+        "encoding": {"one_hot_columns": ["c_mktsegment"], "label_encoding_columns": ["c_name"]},
+        "scaling": {"strategy": "standard", "columns": ["c_acctbal", "c_name", "c_nationkey"]},
+        "log_transform": ["c_weight"],
+    },
+    "split_strategy": {"test_size": 0.25, "random_state": 7, "stratify": False},
+}
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "Unknown"]
+
+
+def every_list_sql() -> str:
+    rel = gappy_sql("customer")
+    standard = lambda c: r6(f"({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1)")
+    levels = ", ".join(f"(s = '{v}')::BIGINT AS \"c_mktsegment_{v}\"" for v in SEGMENTS)
+    return f"""WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_name) - 1 AS name_code, c_nationkey,
+            coalesce(c_acctbal, (SELECT quantile_cont(c_acctbal, 0.5) FROM {rel})) AS x, coalesce(c_mktsegment, 'Unknown') AS s FROM {rel}),
+        q AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM a WHERE x IS NOT NULL),
+        b AS (SELECT a.*, least(greatest(x, q1 - 0.15 * (q3 - q1)), q3 + 0.15 * (q3 - q1)) AS y FROM a, q)
+        SELECT {standard('name_code')} AS c_name, c_nationkey::BIGINT AS c_nationkey, {standard('y')} AS c_acctbal,
+            {r6('ln(1 + c_custkey % 17)')} AS c_weight, {levels}, CASE WHEN row_number() OVER
+            (ORDER BY md5('7|{{"c_custkey":' || c_custkey::VARCHAR || '}}')) <= ceil(count(*) OVER () * 0.25) THEN 'test' ELSE 'train' END AS split FROM b"""
+
+
+@query("apply_plan_every_list", every_list_sql().replace("0.15", "1.5"))
+def plan_every_list(spark, sf):
+    """Dedup, drops (the target's own is ignored), low-correlation drop, both imputations, cap, log, label codes, one-hot, scale, split."""
+    df = gappy(spark, sf, "customer").withColumns({"c_flag": F.lit(1), "c_weight": F.col("c_custkey") % 17})
+    done = ex.apply_plan(df.unionByName(df), EVERY_LIST, keys=["c_custkey"], dedup=True, cap=["c_acctbal", "c_nationkey"], low_correlation=["c_custkey"])
+    return plain(done.frame)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablesmith.functions.names import base_name
 from tablesmith.functions.numeric import quoted
@@ -160,7 +161,16 @@ def head_sample(df: DataFrame, order: list[Column], n: int = 50) -> DataFrame:
 def write_pairs(pairs: DataFrame, path: str) -> None:
     """Pairs as JSON lines and as quoted CSV (multi-line fields survive)."""
     pairs.write.mode("overwrite").json(f"{path}/jsonl")
-    pairs.write.mode("overwrite").options(header=True, quoteAll=True, quote='"', escape='"').csv(f"{path}/csv")
+    pairs.write.mode("overwrite").options(
+        header=True, quoteAll=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/csv")
+
+
+def read_pairs(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "jsonl") -> DataFrame:
+    """Pairs of :func:`write_pairs` back from either form, line breaks inside a field included."""
+    reader = spark.read.schema(schema)
+    if fmt == "csv":
+        return reader.options(header=True, quote='"', escape='"', multiLine=True).csv(f"{path}/csv")
+    return reader.json(f"{path}/jsonl")
 
 
 def transform_log(df: DataFrame, name: str, encoding: str, n_rows: int, original_rows: int | None = None,
