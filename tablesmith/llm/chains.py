@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.minhash import _lists, hashed, shingles
-from tablesmith.llm.quality import words_of
+from tablesmith.llm.minhash import _lists, shingles
+from tablesmith.llm.quality import let, words_of
 from tablesmith.llm.shared import col, erase, fresh, store, workspace
 
 #: Words of a seed; one seed at least in every run of ``WINDOW`` neighbouring k-mers.
@@ -50,24 +50,28 @@ def winnow(words: np.ndarray, seed: int = SEED, window: int = WINDOW) -> tuple[n
     return at, h[at]
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """h, doc_id, tid (hash of the word sequence) and pos of every seed."""
+def coded(docs: DataFrame) -> DataFrame:
+    """doc_id, tid (hash of the word sequence), n (words) and w (32-bit hashes of the words): the one time that a text is split."""
+    made = let(words_of(F.col("text")), lambda ws: F.struct(
+        F.xxhash64(F.unhex(F.md5(F.array_join(ws, " ")))).alias("tid"), F.size(ws).alias("n"), F.transform(ws, lambda x: F.hash(x)).alias("w")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), made.alias("m")).select("doc_id", "m.tid", "m.n", "m.w")
+
+
+def seeds(texts: DataFrame) -> DataFrame:
+    """h, tid and pos of every seed of coded texts."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, values = _lists(batch.column(2))
+            offsets, values = _lists(batch.column(1))
             for s in range(0, batch.num_rows, 512):
                 t = min(s + 512, batch.num_rows)
                 found = [winnow(values[offsets[i]: offsets[i + 1]]) for i in range(s, t)]
-                n = np.array([len(p) for p, _ in found])
-                take = pa.array(np.repeat(np.arange(s, t), n))
+                take = pa.array(np.repeat(np.arange(s, t), [len(p) for p, _ in found]))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate([h for _, h in found]).astype(np.int64)), batch.column(0).take(take),
-                    batch.column(1).take(take), pa.array(np.concatenate([p for p, _ in found]).astype(np.int32))],
-                    names=["h", "doc_id", "tid", "pos"])
+                    pa.array(np.concatenate([p for p, _ in found]).astype(np.int32))], names=["h", "tid", "pos"])
 
-    return hashed(docs).select("doc_id", F.xxhash64("node").alias("tid"), "w").mapInArrow(
-        find, "h long, doc_id long, tid long, pos int")
+    return texts.select("tid", "w").mapInArrow(find, "h long, tid long, pos int")
 
 
 def chain(anchors: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
@@ -115,20 +119,22 @@ def chain(anchors: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Words, and equal words among them, that two sequences go on together: the best score before it drops too far."""
-    n = min(len(a), len(b))
-    if n == 0:
-        return 0, 0
-    equal = a[:n] == b[:n]
-    total = np.cumsum(np.where(equal, 1, -2))
-    best = np.maximum.accumulate(np.maximum(total, 0))
-    over = np.flatnonzero(best - total > DROP)
-    total = total[: over[0]] if len(over) else total
-    if not len(total) or total.max() <= 0:
-        return 0, 0
-    n = int(total.argmax()) + 1
-    return n, int(equal[:n].sum())
+def _extend(a: np.ndarray, at_a: np.ndarray, n_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, n_b: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words, and equal words among them, that many pairs of sequences go on together: the best score before it drops too far.
+
+    ``at_a`` and ``at_b`` are the first places to compare in the flat arrays, ``n_a`` and ``n_b`` the words that are left there, ``step`` the way to go.
+    """
+    k = np.arange(REACH)
+    valid = k < np.minimum(n_a, n_b)[:, None]
+    spot = lambda x, at: x[np.where(valid, at[:, None] + step * k, 0)]
+    equal = (spot(a, at_a) == spot(b, at_b)) & valid
+    total = np.cumsum(np.where(equal, 1, -2), axis=1)
+    best = np.maximum.accumulate(np.maximum(total, 0), axis=1)
+    going = valid & (np.cumsum((best - total > DROP) & valid, axis=1) == 0)
+    total = np.where(going, total, 0)
+    n = np.where(total.max(axis=1, initial=0) > 0, total.argmax(axis=1) + 1, 0)
+    same = np.cumsum(equal, axis=1)
+    return n, np.where(n > 0, same[np.arange(len(n)), np.maximum(n - 1, 0)], 0)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -139,8 +145,8 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def align(run: list[tuple[int, int]], words: np.ndarray, source: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Stretches (start, end, source start, source end) that a chain covers. Parted where too few words between seeds agree."""
+def stretches(run: list[tuple[int, int]], words: np.ndarray, source: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Stretches (start, end, source start, source end, equal words) between the seeds of a chain. Parted where too few words between seeds agree."""
     parts, (p0, s0) = [], run[0]
     p1, s1, same = p0 + SEED, s0 + SEED, SEED
     for p, s in run[1:]:
@@ -157,15 +163,26 @@ def align(run: list[tuple[int, int]], words: np.ndarray, source: np.ndarray) ->
             same += equal + SEED - max(0, p1 - p)
         p1, s1 = p + SEED, s + SEED
     parts.append((p0, p1, s0, s1, same))
+    return parts
+
+
+def align(runs: list[list[tuple[int, int]]], words: tuple[np.ndarray, np.ndarray], source: tuple[np.ndarray, np.ndarray],
+          slice_rows: int = 8192) -> np.ndarray:
+    """Rows (run, start, end, source start, source end) that chains cover, each reaching on beyond its ends as far as words agree.
+
+    ``words`` and ``source`` are offsets and values of the lists of all runs, so the reaching is done for many stretches at once.
+    """
+    (off_a, a), (off_b, b) = words, source
+    parts = np.array([(i, *x) for i, run in enumerate(runs) for x in stretches(
+        run, a[off_a[i]: off_a[i + 1]], b[off_b[i]: off_b[i + 1]])], np.int64).reshape(-1, 6)
     out = []
-    for k, (p0, p1, s0, s1, same) in enumerate(parts):
-        n, m = _extend(words[p1: p1 + REACH], source[s1: s1 + REACH])
-        p1, s1, same = p1 + n, s1 + n, same + m
-        n, m = _extend(words[max(0, p0 - REACH): p0][::-1], source[max(0, s0 - REACH): s0][::-1])
-        p0, s0, same = p0 - n, s0 - n, same + m
-        if same >= IDENTITY * (p1 - p0):
-            out.append((p0, p1, s0, s1))
-    return out
+    for k in range(0, len(parts), slice_rows):
+        i, p0, p1, s0, s1, same = parts[k: k + slice_rows].T
+        n, m = _extend(a, off_a[i] + p1, off_a[i + 1] - off_a[i] - p1, b, off_b[i] + s1, off_b[i + 1] - off_b[i] - s1, 1)
+        back, more = _extend(a, off_a[i] + p0 - 1, p0, b, off_b[i] + s0 - 1, s0, -1)
+        found = np.stack([i, p0 - back, p1 + n, s0 - back, s1 + n], axis=1)
+        out.append(found[same + m + more >= IDENTITY * (found[:, 2] - found[:, 1])])
+    return np.concatenate(out) if out else np.zeros((0, 5), np.int64)
 
 
 def cover(parts: list[tuple], least: int = LEAST, bridge: int = BRIDGE) -> list[tuple]:
@@ -202,21 +219,20 @@ def passages(docs: DataFrame, least: int = LEAST, path: str | None = None) -> Da
     """
     spark = docs.sparkSession
     path = path or workspace(spark, "chains")
-    found = store(seeds(docs), f"{path}/seeds")
+    texts = store(coded(docs), f"{path}/texts")
+    firsts = texts.groupBy("tid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("f"))
+    firsts = store(firsts.select("tid", F.col("f.id").alias("first_id")), f"{path}/firsts")
+    found = store(seeds(texts), f"{path}/seeds")
     shared = found.groupBy("h").agg(F.min("tid").alias("least"), F.max("tid").alias("most")).where("least != most").select("h")
     # Stored first: a join of two plain shuffles is one whose hot keys Spark can split.
     shared = store(shared, f"{path}/shared")
-    hits = store(found.join(shared, "h", "left_semi"), f"{path}/hits")
+    # Copies of a text have the same seeds, which are one here.
+    hits = store(found.join(shared, "h", "left_semi").distinct(), f"{path}/hits")
     erase(spark, f"{path}/seeds")
-    texts = store(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.unhex(F.md5(F.array_join(words_of(F.col("text")), " ")))).alias("tid"),
-        F.size(words_of(F.col("text"))).alias("n")), f"{path}/texts")
-    order = lambda: F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tid").alias("tid"))
-    firsts = texts.groupBy("tid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("f"))
-    firsts = store(firsts.select("tid", F.col("f.id").alias("first_id")), f"{path}/firsts")
-    first_hits = hits.join(firsts, "tid").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).drop("first_id").distinct()
-    first_hits = store(first_hits, f"{path}/first-hits")
-    start = first_hits.groupBy("h").agg(F.min(F.struct(order().alias("o"), F.col("pos").alias("pos"))).alias("f"))
+    first_hits = store(hits.join(firsts, "tid"), f"{path}/first-hits")
+    erase(spark, f"{path}/hits")
+    order = F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), F.col("tid").alias("tid"))
+    start = first_hits.groupBy("h").agg(F.min(F.struct(order.alias("o"), F.col("pos").alias("pos"))).alias("f"))
     start = start.select("h", F.col("f.o.id").alias("src_id"), F.col("f.o.tid").alias("src"), F.col("f.pos").alias("src_pos"))
     start = store(start, f"{path}/start")
     links = first_hits.join(start, "h").where("tid != src")
@@ -237,11 +253,9 @@ def passages(docs: DataFrame, least: int = LEAST, path: str | None = None) -> Da
     runs = store(per_text.mapInPandas(chained, "tid long, src long, src_id long, p array<int>, s array<int>"), f"{path}/runs")
     # Words of the texts that take part, once each; a run then carries only the slices around it.
     need = runs.select("tid").union(runs.select(F.col("src").alias("tid"))).distinct().join(firsts, "tid")
-    words = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn(
-        "tid", F.xxhash64(F.unhex(F.md5(F.array_join(words_of(F.col("text")), " ")))))
-    words = words.join(need, (F.col("id").eqNullSafe(F.col("first_id"))) & (words["tid"] == need["tid"])).select(
-        need["tid"], "text").groupBy("tid").agg(F.first("text").alias("text"))
-    words = store(words.select("tid", F.transform(words_of(F.col("text")), lambda x: F.hash(x)).alias("w")), f"{path}/words")
+    words = texts.join(need.withColumnRenamed("tid", "of"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tid") == F.col("of"))).groupBy(
+        "tid").agg(F.first("w").alias("w"))
+    words = store(words, f"{path}/words")
 
     def sliced(array: str, places: str, name: str):
         lo = F.greatest(F.get(places, F.lit(0)) - REACH, F.lit(0))
@@ -256,17 +270,14 @@ def passages(docs: DataFrame, least: int = LEAST, path: str | None = None) -> Da
         for batch in batches:
             c = {n: batch.column(n) for n in batch.schema.names}
             lists = {n: _lists(c[n]) for n in ("p", "s", "a", "b")}
-            cutout = lambda n, i: lists[n][1][lists[n][0][i]: lists[n][0][i + 1]]
-            at_a, at_b = c["a_at"].to_numpy(), c["b_at"].to_numpy()
-            rows = []
-            for i in range(batch.num_rows):
-                run = list(zip((cutout("p", i) - at_a[i]).tolist(), (cutout("s", i) - at_b[i]).tolist()))
-                for p0, p1, _, _ in align(run, cutout("a", i), cutout("b", i)):
-                    rows.append((i, p0 + int(at_a[i]), p1 + int(at_a[i])))
-            take = pa.array([r[0] for r in rows], pa.int64())
+            at_a, at_b = c["a_at"].to_numpy().astype(np.int64), c["b_at"].to_numpy().astype(np.int64)
+            shift = lambda n, at: (lists[n][1] - np.repeat(at, np.diff(lists[n][0]))).tolist()
+            anchors, cuts = list(zip(shift("p", at_a), shift("s", at_b))), lists["p"][0].tolist()
+            got = align([anchors[x:y] for x, y in zip(cuts, cuts[1:])], lists["a"], lists["b"])
+            take = pa.array(got[:, 0])
             yield pa.RecordBatch.from_arrays([
-                c["tid"].take(take), c["src_id"].take(take), pa.array([r[1] for r in rows], pa.int32()),
-                pa.array([r[2] for r in rows], pa.int32())], names=["tid", "src_id", "start", "end"])
+                c["tid"].take(take), c["src_id"].take(take), pa.array((got[:, 1] + at_a[got[:, 0]]).astype(np.int32)),
+                pa.array((got[:, 2] + at_a[got[:, 0]]).astype(np.int32))], names=["tid", "src_id", "start", "end"])
 
     parts = near.mapInArrow(aligned, "tid long, src_id long, start int, end int")
     gathered = parts.groupBy("tid").agg(F.collect_list(F.struct("start", "end", "src_id")).alias("parts"))
@@ -278,7 +289,7 @@ def passages(docs: DataFrame, least: int = LEAST, path: str | None = None) -> Da
 
     own = gathered.join(firsts, "tid").select(F.col("first_id").alias("doc_id"), "tid", F.explode(covered("parts")).alias("x")).select(
         "doc_id", "tid", "x.start", "x.end", "x.source_id")
-    copies = texts.distinct().join(firsts, "tid").where((F.col("n") >= least) & ~F.col("doc_id").eqNullSafe(F.col("first_id"))).select(
+    copies = texts.select("doc_id", "tid", "n").distinct().join(firsts, "tid").where((F.col("n") >= least) & ~F.col("doc_id").eqNullSafe(F.col("first_id"))).select(
         "doc_id", "tid", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("first_id").alias("source_id"))
     return own.unionByName(copies)
 

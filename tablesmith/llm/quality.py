@@ -132,6 +132,11 @@ def measure(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshol
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    kept, = fresh(docs, "kept")
-    return measure(docs, labels).where(col(kept)).select(*[col(c) for c in docs.columns])
+    """The documents that pass, with the columns they came with.
+
+    The filter names a number that each row is given after it is measured, so the optimizer leaves the filter there and does not
+    repeat the measuring in it.
+    """
+    kept, row = fresh(docs, "kept", "measured_row")
+    measured = measure(docs, labels).withColumn(row, F.monotonically_increasing_id())
+    return measured.where(col(kept) & (col(row) >= 0)).select(*[col(c) for c in docs.columns])
