@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tablesmith.llm.shared import store, workspace
 
 #: Length buckets, at most; a bucket holds at least this many rows on average, and a block no more than about the third.
-BUCKETS, BUCKET_ROWS, BLOCK_ROWS = 32, 4096, 16_384
+BUCKETS, BUCKET_ROWS, BLOCK_ROWS = 32, 256, 16_384
 QUERY_ROWS = 4096
 #: From this local cosine threshold on, coordinates prune too.
 COORDINATES_FROM = 0.3
@@ -30,14 +30,13 @@ SLACK = 1e-9
 def quantized(vectors: DataFrame) -> DataFrame:
     """vec_id, floor(256 x) of each component, length and dimension; rows that take no part are left out.
 
-    These are rows with a null id, a null vector, or a null or non-finite component. Rows alike count once.
+    These are rows with a null id, a null vector, or a null or non-finite component. A row given several times is kept each time.
     Components beyond the range of long are held at its ends.
     """
     e = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(256 * x)).alias("v"))
-    rows = rows.dropDuplicates(["vec_id", "v"])
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return rows.withColumn("norm", norm).withColumn("dim", F.size("v"))
 
@@ -83,32 +82,34 @@ def _bucket_search(k: int):
             p = np.array(rows["v"].tolist(), np.int64).reshape(len(rows), -1)
             ids, norms = rows["vec_id"].to_numpy(np.int64), rows["norm"].to_numpy(float)
             unit = p / np.where(norms > 0, norms, 1.0)[:, None]
-            for own, v, beat in zip(queries["query_id"], queries["q"], queries["beat"]):
+            for row, own, v, beat in zip(queries["query_row"], queries["query_id"], queries["q"], queries["beat"]):
                 q = np.array(v, np.int64)
                 found, scores = search(p, ids, norms, unit, q, int(own), k, -np.inf if beat is None or np.isnan(beat) else float(beat))
-                out += [(own, v, i, s) for i, s in zip(found.tolist(), scores.tolist())]
-        return pd.DataFrame(out, columns=["query_id", "q", "vec_id", "score"])
+                out += [(row, own, i, s) for i, s in zip(found.tolist(), scores.tolist())]
+        return pd.DataFrame(out, columns=["query_row", "query_id", "vec_id", "score"])
 
     return run
 
 
 def _meet(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    keys = ["query_block", "dim", "bucket", "block"]
-    rows = rows.select(*[F.col(c).alias(f"row_{c}") for c in keys], "vec_id", "v", "norm")
+    """Each block of queries with the blocks of rows that some of its queries need; only these rows are copied to it."""
+    place, keys = ["dim", "bucket", "block"], ["query_block", "dim", "bucket", "block"]
+    needed = queries.select(*keys).distinct()
+    rows = rows.join(needed, place).select(*[F.col(c).alias(f"row_{c}") for c in keys], "vec_id", "v", "norm")
     return queries.groupBy(*keys).cogroup(rows.groupBy(*[f"row_{c}" for c in keys])).applyInPandas(
-        _bucket_search(k), "query_id long, q array<long>, vec_id long, score long")
+        _bucket_search(k), "query_row long, query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` highest products, ties to the smaller id.
 
     ``is_query`` is a condition on vec_id. Only vectors of the query's dimension
-    are compared, never rows with the query's own id. Different vectors with one id are candidates
-    each and queries each. Fewer than ``k`` candidates give fewer rows, an empty table none.
+    are compared, never rows with the query's own id. Every row is a candidate, also one given several times; rows of
+    one query id are ranked together. Fewer than ``k`` candidates give fewer rows, an empty table none.
     """
     spark = vectors.sparkSession
     path = workspace(spark, "topk")
-    data = store(quantized(vectors), f"{path}/vectors")
+    data = store(quantized(vectors).withColumn("row", F.monotonically_increasing_id()), f"{path}/vectors")
     n, nq = data.count(), data.where(is_query).count()
     buckets = max(1, min(BUCKETS, n // BUCKET_ROWS))
     edges = data.select(F.percentile_approx("norm", [i / buckets for i in range(1, buckets)] or [0.5], 10_000)).first()[0] or []
@@ -122,23 +123,21 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     shape = data.groupBy("dim", "bucket").agg(
         F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"), F.max("norm").alias("longest"))
     shape = store(shape, f"{path}/shape")
+    # Dealt by the row's own number, so copies of one vector are spread over the blocks.
     rows = data.join(shape.drop("longest"), ["dim", "bucket"]).withColumn(
-        "block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int")).drop("blocks")
-    rows = rows.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+        "block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).drop("blocks")
     queries = data.where(is_query).select(
-        F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("query_norm"), "dim",
-        F.pmod(F.xxhash64("vec_id", "v"), F.lit(query_blocks)).cast("int").alias("query_block"))
+        F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("query_norm"), "dim",
+        F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int").alias("query_block"))
     first = shape.groupBy("dim").agg(F.min("bucket").alias("bucket"))
     start = queries.join(first, "dim").withColumn("block", F.lit(0)).withColumn("beat", F.lit(None).cast("double"))
-    opened = store(_meet(start, rows.where("block = 0").join(first, ["dim", "bucket"], "left_semi"), k), f"{path}/first")
-    beat = opened.groupBy("query_id", "q").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("beat"))
+    opened = store(_meet(start, rows.where("block = 0"), k), f"{path}/first")
+    beat = opened.groupBy("query_row").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("beat"))
     blocks = shape.join(first.withColumnRenamed("bucket", "top"), "dim").select(
         "dim", "bucket", "longest", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "top",
     ).where("NOT (bucket = top AND block = 0)").drop("top")
-    left = queries.join(beat, ["query_id", "q"], "left").join(blocks, "dim").where(
-        F.col("beat").isNull() | (F.col("query_norm") * F.col("longest") * (1 + SLACK) >= F.col("beat")))
-    rest = _meet(left.drop("longest"), rows.join(first.withColumnRenamed("bucket", "top"), "dim").where(
-        "NOT (bucket = top AND block = 0)").drop("top"), k)
-    ranked = opened.unionByName(rest).withColumn(
-        "rank", F.expr("row_number() OVER (PARTITION BY query_id, q ORDER BY score DESC, vec_id)"))
+    left = store(queries.join(beat, "query_row", "left").join(blocks, "dim").where(
+        F.col("beat").isNull() | (F.col("query_norm") * F.col("longest") * (1 + SLACK) >= F.col("beat"))).drop("longest"), f"{path}/left")
+    ranked = opened.unionByName(_meet(left, rows, k)).withColumn(
+        "rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -113,7 +113,7 @@ def test_top_k_is_exact(spark, scale, monkeypatch):
     odd = [(401, None), (402, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (403, [float("nan")] * 6), (404, [float("inf")] * 6), (None, [1.0] * 6), (450, [1.0, 2.0]), (7, rows[7][1])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
     got = {tuple(x) for x in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()}
-    assert got == brute_top([(i, [int(np.floor(256 * x)) for x in a]) for i, a in [*rows, (450, [1.0, 2.0])]], 5)
+    assert got == brute_top([(i, [int(np.floor(256 * x)) for x in a]) for i, a in [*rows, (450, [1.0, 2.0]), (7, rows[7][1])]], 5)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
