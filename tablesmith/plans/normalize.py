@@ -264,8 +264,10 @@ def dispatch(
                                           F.col("dataset"), F.lit("'")))
               .otherwise(F.concat(F.lit("PlanGenerator fallback invalid: "), F.col("rule_reasons"))))
     )
-    return chosen.select(
-        "dataset", *[F.col(f"plan.{c}").alias(c) for c in fields if c not in ("priority", "is_valid", "reasons")],
+    # What the model said stays beside the plan, whichever proposal was taken.
+    said = outputs.groupBy("dataset").agg(F.max("raw_output").alias("raw_output"))
+    return chosen.join(said, "dataset", "left").select(
+        "dataset", *[F.col(f"plan.{c}").alias(c) for c in fields if c not in ("priority", "is_valid", "reasons")], "raw_output",
         F.get(F.array(*map(F.lit, DECISIONS)), level - 1).alias("final_decision"),
         why.alias("fallback_reason"),
         F.when(level > 1, F.col("model_reasons")).alias("rejection_reasons"),
