@@ -32,6 +32,7 @@ INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data dfn em font
 nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr""".split())
 NO_END = frozenset("area base col embed hr link meta param source track img input br wbr".split())
 LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option".split())
+LISTS = frozenset("table ul ol dl".split())
 ASIDE = frozenset("nav header footer aside form menu dialog head".split())
 MAIN = frozenset("article main".split())
 WORDS = frozenset("""ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie
@@ -205,14 +206,17 @@ def infer(forms: list[list]) -> list:
     return wrapper
 
 
-def places_of(tokens: list[str]) -> list[tuple[bool, bool]]:
-    """For each slot of a token stream, whether it is in no part set apart, and whether it is in an article."""
+def places_of(tokens: list[str]) -> list[tuple[bool, bool, int]]:
+    """For each slot of a token stream, whether it is in no part set apart, whether in an article, and the place of the table or list around it (-1: none)."""
     stack: list[str] = []
+    lists: list[tuple[int, int]] = []  # depth and place of the open tables and lists
     places = []
-    for t in tokens:
+    for k, t in enumerate(tokens):
+        while lists and lists[-1][0] >= len(stack):
+            lists.pop()
         if t.startswith(SLOT):
             apart = any(x.endswith("!") or x in ASIDE for x in stack)
-            places.append((not apart, any(x.rstrip("!") in MAIN for x in stack)))
+            places.append((not apart, any(x.rstrip("!") in MAIN for x in stack), lists[-1][1] if lists else -1))
         elif t.startswith("/"):
             for d in range(len(stack) - 1, -1, -1):
                 if stack[d].rstrip("!") == t[1:]:
@@ -224,16 +228,22 @@ def places_of(tokens: list[str]) -> list[tuple[bool, bool]]:
                     stack.pop()
             if t.rstrip("!") == "body" and stack and stack[-1] == "head":
                 stack.pop()
+            if t.rstrip("!") in LISTS:
+                lists.append((len(stack), k))
             stack.append(t)
     return places
 
 
 def content_slots(tokens: list[str], fixed: frozenset = frozenset()) -> list[bool]:
-    """For each slot of a token stream, whether it is main text: in no part set apart, and in the article if there is one, else none of the ``fixed`` texts."""
+    """For each slot of a token stream, whether it is main text: in no part set apart, and in the article if there is one, else none of the ``fixed`` texts.
+
+    A table or list that holds a text of the page's own is data, whose repeated cells and headings are not template.
+    """
     places = places_of(tokens)
-    inside = any(ok and main for ok, main in places)
-    texts = (t for t in tokens if t.startswith(SLOT))
-    return [ok and (main if inside else t not in fixed) for (ok, main), t in zip(places, texts)]
+    inside = any(ok and main for ok, main, _ in places)
+    texts = [t for t in tokens if t.startswith(SLOT)]
+    data = {group for (ok, _, group), t in zip(places, texts) if ok and t not in fixed and group >= 0}
+    return [ok and (main if inside else t not in fixed or group in data) for (ok, main, group), t in zip(places, texts)]
 
 
 def flat(wrapper: list) -> list[str]:
@@ -285,8 +295,8 @@ def common_texts(pages: DataFrame) -> DataFrame:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens, texts = stream(page)
                 places = places_of(tokens)
-                if any(ok for ok, _ in places) and not any(ok and main for ok, main in places):
-                    seen[host, digest("\0".join(texts))] = sorted({digest(t) for t, (ok, _) in zip(texts, places) if ok})
+                if any(ok for ok, _, _ in places) and not any(ok and main for ok, main, _ in places):
+                    seen[host, digest("\0".join(texts))] = sorted({digest(t) for t, (ok, _, _) in zip(texts, places) if ok})
             yield pa.RecordBatch.from_arrays([
                 pa.array([h for h, _ in seen], pa.string()), pa.array([p for _, p in seen], pa.int64()),
                 pa.array(list(seen.values()), pa.list_(pa.int64()))], names=["host", "page", "texts"])

@@ -13,7 +13,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from tablesmith.llm import alignment, frames, manifest, private, sharding, topk
+from tablesmith.llm import alignment, frames, manifest, private, sharding, topk, wrappers
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -362,3 +362,14 @@ def test_top_k_counts_every_row(spark):
         scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for j, v in q if j == own for i, w in q if i != own)
         want.update((own, n, i, -s) for n, (s, i) in enumerate(scores[:5], 1))
     assert got == want
+
+
+# op8: cells that repeat are data where their table varies
+
+def test_constant_cells_of_a_table_stay(spark):
+    rows = lambda n: "".join(f"<tr><td>a{n}{k}</td><td>b</td><td>c{k}</td><td>d</td><td>e{n}</td></tr>" for k in range(2))
+    pages = [(n, f"http://h.example/{n}", "<html><body><ul><li>Home</li><li>Shop</li></ul><div>All rights kept</div>"
+              f"<p>text {n}</p><table><tr><td>Name</td><td>Rest</td></tr>{rows(n)}</table></body></html>") for n in range(8)]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    cells = lambda n: ["Name", "Rest", *[c for k in range(2) for c in (f"a{n}{k}", "b", f"c{k}", "d", f"e{n}")]]
+    assert got == {n: "\n\n".join([f"text {n}", *cells(n)]) for n in range(8)}
