@@ -220,6 +220,7 @@ def passages(docs: DataFrame, least: int = LEAST, path: str | None = None) -> Da
     spark = docs.sparkSession
     path = path or workspace(spark, "chains")
     texts = store(coded(docs), f"{path}/texts")
+    lengths = store(texts.select("doc_id", "tid", "n"), f"{path}/lengths")
     firsts = texts.groupBy("tid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("f"))
     firsts = store(firsts.select("tid", F.col("f.id").alias("first_id")), f"{path}/firsts")
     found = store(seeds(texts), f"{path}/seeds")
@@ -256,6 +257,8 @@ def passages(docs: DataFrame, least: int = LEAST, path: str | None = None) -> Da
     words = texts.join(need.withColumnRenamed("tid", "of"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tid") == F.col("of"))).groupBy(
         "tid").agg(F.first("w").alias("w"))
     words = store(words, f"{path}/words")
+    for done in ("texts", "first-hits", "start", "shared"):  # nothing after this reads them
+        erase(spark, f"{path}/{done}")
 
     def sliced(array: str, places: str, name: str):
         lo = F.greatest(F.get(places, F.lit(0)) - REACH, F.lit(0))
@@ -289,7 +292,7 @@ def passages(docs: DataFrame, least: int = LEAST, path: str | None = None) -> Da
 
     own = gathered.join(firsts, "tid").select(F.col("first_id").alias("doc_id"), "tid", F.explode(covered("parts")).alias("x")).select(
         "doc_id", "tid", "x.start", "x.end", "x.source_id")
-    copies = texts.select("doc_id", "tid", "n").distinct().join(firsts, "tid").where((F.col("n") >= least) & ~F.col("doc_id").eqNullSafe(F.col("first_id"))).select(
+    copies = lengths.distinct().join(firsts, "tid").where((F.col("n") >= least) & ~F.col("doc_id").eqNullSafe(F.col("first_id"))).select(
         "doc_id", "tid", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("first_id").alias("source_id"))
     return own.unionByName(copies)
 
