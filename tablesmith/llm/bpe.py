@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.shared import col, fresh, worker_cache
+from tablesmith.llm.shared import col, fresh, store, worker_cache, workspace
 
 #: Characters of a leaf.
 LEAF = 65_536
@@ -236,7 +236,8 @@ def encode(docs: DataFrame, file: str, text: str = "text", leaf: int = LEAF) ->
     one = docs.where(F.length(body) <= leaf).withColumn(out, short(col(body)))
     one = one.select(*rest, *[col(out)[f].alias(n) for f, n in zip("nid", names)])
     # Long texts: the leaves leave the task that read the text, so that one text keeps many cores busy.
-    many = docs.where(F.length(body) > leaf).withColumn(row, F.monotonically_increasing_id())
+    # They are stored with their numbers, which two reads must agree on.
+    many = store(docs.where(F.length(body) > leaf).withColumn(row, F.monotonically_increasing_id()), workspace(docs.sparkSession, "long-texts"))
     leaves = many.select(row, body, cuts(col(body)).alias(starts)).select(
         row, F.posexplode(F.transform(col(starts), lambda s, i: F.substring(
             col(body), s + 1, F.coalesce(F.get(col(starts), i + 1), F.length(col(body))) - s))).alias(k, piece))
