@@ -4,10 +4,13 @@ A page becomes a stream of structure tags and text slots. Neighbouring repeats
 are folded into groups, which leaves few distinct forms in a host; they are counted before they meet. The
 forms of a host are aligned one after the other with its wrapper, a regular expression
 without alternatives: what only one side has becomes an optional group, one
-copy of a unit against many a repeated group. Texts that many different pages of a host share are constants unless
-other text is aligned with them; all other texts are slots. Slots inside the page's own article, if it
-has one, and outside menus, adverts and the like are content; constants are none on pages without an article. The groups of its host's wrapper that
-a page fills decide, and the slots it fills give its blocks.
+copy of a unit against many a repeated group. Many forms of one host give partial wrappers in tasks of their own, which are then aligned with
+each other. Texts that many different pages of a host share are constants unless other text is aligned with them; all other texts are slots.
+
+Every page is then parsed against the expression of its host, which says for each of its texts which constant or slot it
+fills, and whether in a repeated group. Element names and class words tell the article, menus, adverts and the like. Slots inside the page's own article, if it has
+one, and outside the parts set apart are content. On pages without an article the places that the parse found decide:
+a text that fills a constant is template, unless it stands in a repeated group, a table or a list with texts of the page's own.
 """
 
 from __future__ import annotations
@@ -48,7 +51,11 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 # Name by name with its value, so that values are never read as names.
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]\S*)))?""")
-SLOT, LONGEST_UNIT = "#", 8
+SLOT = "#"
+#: Forms or partial wrappers of one host that a task merges, about.
+FAN = 64
+#: Parses that a matcher keeps for pages with the same tokens.
+KEEP = 4_096
 #: A text is a candidate for the template if it stands on this many different pages of a host at least, and on this share of them.
 COMMON_PAGES, COMMON_SHARE = 3, 0.5
 
@@ -142,21 +149,33 @@ def marked(tokens: list[str], texts: list[str], common: frozenset) -> list[str]:
     return [f"{SLOT}{d}" if t == SLOT and (d := next(digests)) in common else t for t in tokens]
 
 
+def _distances(items: list) -> list[int]:
+    """The distances between neighbouring equal items, in ascending order: the unit lengths worth a try."""
+    last, out = {}, set()
+    for i, x in enumerate(items):
+        key = x if isinstance(x, str) else json.dumps(x)
+        if key in last:
+            out.add(i - last[key])
+        last[key] = i
+    return sorted(out)
+
+
 def fold(items: list) -> list:
-    """Neighbouring copies of a unit, shortest units first, become one repeated group ("+", unit)."""
-    for size in range(1, LONGEST_UNIT + 1):
+    """Neighbouring copies of a unit, shortest units first, become one repeated group ("+", unit). Units may have any length."""
+    size = 0
+    while size := next((d for d in _distances(items) if d > size), 0):
         out, i = [], 0
         while i < len(items):
-            unit = items[i: i + size]
-            n = 1
-            while items[i + n * size: i + (n + 1) * size] == unit and len(unit) == size:
-                n += 1
+            n, unit = 1, items[i: i + size]
+            if i + size < len(items) and items[i] == items[i + size]:
+                while items[i + n * size: i + (n + 1) * size] == unit:
+                    n += 1
             if n > 1:
                 group = ["+", unit[0][1] if size == 1 and unit[0][0] == "+" else unit]
                 if not (out and out[-1] == group):
                     out.append(group)
                 i += n * size
-            elif out and isinstance(out[-1], list) and out[-1][0] == "+" and out[-1][1] == unit and len(unit) == size:
+            elif out and isinstance(out[-1], list) and out[-1][1] == unit and len(unit) == size:
                 i += size
             else:
                 out.append(items[i])
@@ -165,36 +184,44 @@ def fold(items: list) -> list:
     return items
 
 
+def _bare(x):
+    """An item without the mark that it is optional."""
+    return x[1][0] if isinstance(x, list) and x[0] == "?" else x
+
+
+def _optional(x) -> bool:
+    return isinstance(x, list) and x[0] == "?"
+
+
 def _texts(x, y) -> bool:
-    """Whether both are texts: of a wrapper, perhaps optional, and of a form."""
-    x = x[1][0] if isinstance(x, list) and x[0] == "?" else x
+    """Whether both are texts, perhaps optional."""
+    x, y = _bare(x), _bare(y)
     return isinstance(x, str) and isinstance(y, str) and x.startswith(SLOT) and y.startswith(SLOT)
 
 
 def merge(wrapper: list, form: list) -> list:
-    """The wrapper that also fits another folded form."""
-    a, b = [json.dumps(x) for x in wrapper], [json.dumps(x) for x in form]
-    plain = lambda x: x[1] if isinstance(x, list) and x[0] == "?" else None
-    bare = [json.dumps(plain(x)[0]) if plain(x) is not None and len(plain(x)) == 1 else y for x, y in zip(wrapper, a)]
+    """The wrapper that fits all that either side fits: a folded form or another wrapper beside it. An optional group ("?", [item]) has one item."""
+    a, b = ([json.dumps(_bare(x)) for x in side] for side in (wrapper, form))
     out: list = []
 
-    def optional(part):
-        for x in part:
-            out.append(x if plain(x) is not None else ["?", [x]])
+    def put(x, free: bool):
+        out.append(["?", [_bare(x)]] if free else x)
 
-    for kind, i, j, k, m in difflib.SequenceMatcher(None, bare, b, autojunk=False).get_opcodes():
+    for kind, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         left, right = wrapper[i:j], form[k:m]
         if kind == "equal":
-            out += left
+            for x, y in zip(left, right):
+                put(x, _optional(x) or _optional(y))
         elif len(left) == 1 and left[0][0] == "+" and left[0][1] == right:
             out.append(left[0])
         elif len(right) == 1 and right[0][0] == "+" and right[0][1] == left:
             out.append(right[0])
         elif len(left) == len(right) and all(map(_texts, left, right)):  # unequal texts at one place
-            out += [["?", [SLOT]] if isinstance(x, list) else SLOT for x in left]
+            for x, y in zip(left, right):
+                put(SLOT, _optional(x) or _optional(y))
         else:
-            optional(left)
-            optional(right)
+            for x in left + right:
+                put(x, True)
     return out
 
 
@@ -234,16 +261,16 @@ def places_of(tokens: list[str]) -> list[tuple[bool, bool, int]]:
     return places
 
 
-def content_slots(tokens: list[str], fixed: frozenset = frozenset()) -> list[bool]:
-    """For each slot of a token stream, whether it is main text: in no part set apart, and in the article if there is one, else none of the ``fixed`` texts.
+def content_slots(tokens: list[str], fixed: list[bool] | None = None) -> list[bool]:
+    """For each slot of a token stream, whether it is main text: in no part set apart, and in the article if there is one, else not ``fixed``.
 
     A table or list that holds a text of the page's own is data, whose repeated cells and headings are not template.
     """
     places = places_of(tokens)
+    fixed = fixed or [False] * len(places)
     inside = any(ok and main for ok, main, _ in places)
-    texts = [t for t in tokens if t.startswith(SLOT)]
-    data = {group for (ok, _, group), t in zip(places, texts) if ok and t not in fixed and group >= 0}
-    return [ok and (main if inside else t not in fixed or group in data) for (ok, main, group), t in zip(places, texts)]
+    data = {group for (ok, _, group), f in zip(places, fixed) if ok and not f and group >= 0}
+    return [ok and (main if inside else not f or group in data) for (ok, main, group), f in zip(places, fixed)]
 
 
 def flat(wrapper: list) -> list[str]:
@@ -255,23 +282,91 @@ def flat(wrapper: list) -> list[str]:
 
 
 class Matcher:
-    """A wrapper ready to judge the slots of its host's pages. One walk over a page; nothing depends on the clock."""
+    """A wrapper as an automaton that parses the pages of its host.
+
+    A state is a token, a pair of states to go on with, or the end (None). All ways through the expression are followed
+    at once, each state at most by the way that is preferred, so a page costs its length times the wrapper's and nothing
+    depends on the clock.
+    """
 
     def __init__(self, wrapper: list, common: frozenset = frozenset()):
-        self.known = frozenset(flat(wrapper)) | {SLOT} | {f"{SLOT}{d}" for d in common}
         self.common = common
-        # What is still a constant after all forms were merged.
-        self.fixed = frozenset(t for t in flat(wrapper) if t.startswith(SLOT) and t != SLOT)
+        self.states: list = []
+        #: Whether the text at a state is template: a constant in no repeated group that also has slots.
+        self.template: list[bool] = []
+        self._kept: dict = {}
+        self._add(wrapper, False)
+        self._state(None)
+
+    def _state(self, x, template: bool = False) -> int:
+        self.states.append(x)
+        self.template.append(template)
+        return len(self.states) - 1
+
+    def _add(self, items: list, data: bool) -> None:
+        for x in items:
+            if isinstance(x, str):
+                self._state(x, x.startswith(SLOT) and x != SLOT and not data)
+            elif x[0] == "?":
+                fork = self._state(None)
+                self._add(x[1], data)
+                self.states[fork] = (fork + 1, len(self.states))
+            else:
+                first = len(self.states)
+                self._add(x[1], data or SLOT in flat(x[1]))
+                self._state((first, len(self.states) + 1))
+
+    def _reach(self, state: int, way, seen: set, out: list) -> None:
+        """Adds the token states to be reached without reading, in order of preference: another copy or the optional item first."""
+        stack = [state]
+        while stack:
+            state = stack.pop()
+            if state in seen:
+                continue
+            seen.add(state)
+            if isinstance(self.states[state], tuple):
+                stack += reversed(self.states[state])
+            else:
+                out.append((state, way))
+
+    def parse(self, tokens: list[str]) -> list[int] | None:
+        """The state that each text of a page fills, or None if the expression does not fit. A text is read as its constant rather than as a slot."""
+        ways: list = []
+        self._reach(0, None, set(), ways)
+        for t in tokens:
+            text = t.startswith(SLOT)
+            went = [(s, w) for s, w in ways if self.states[s] == t]
+            if text and t != SLOT:
+                went += [(s, w) for s, w in ways if self.states[s] == SLOT]
+            seen, ways = set(), []
+            for s, way in went:
+                self._reach(s + 1, (way, s) if text else way, seen, ways)
+            if not ways:
+                return None
+        last = len(self.states) - 1
+        way = next((w for s, w in ways if s == last), False)
+        if way is False:
+            return None
+        filled = []
+        while way:
+            way, s = way
+            filled.append(s)
+        return filled[::-1]
 
     def slots_of(self, tokens: list[str]) -> list[bool] | None:
-        """Whether each slot of a page is content; None if the page has tags that its wrapper lacks.
+        """Whether each text of a page is content; None if the wrapper does not fit the page.
 
         A page may leave out any optional group, so whether it has an article, and what lies in it, is read off
-        the groups that it fills itself, not off the whole wrapper.
+        its own tags; which of its texts are template follows from the places of the wrapper that they fill.
         """
-        if not self.known.issuperset(tokens):
-            return None
-        return content_slots(tokens, self.fixed)
+        key = tuple(tokens)
+        if key not in self._kept:
+            filled = self.parse(tokens)
+            chosen = None if filled is None else content_slots(tokens, [self.template[s] for s in filled])
+            if len(self._kept) >= KEEP:
+                self._kept.clear()
+            self._kept[key] = chosen
+        return self._kept[key]
 
 
 def extract(page: str, matcher: Matcher | None) -> str:
@@ -327,11 +422,18 @@ def wrappers(pages: DataFrame) -> DataFrame:
         forms, "host string, form string, n long").groupBy("host", "form").agg(F.sum("n").alias("n"))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n", "form"], ascending=[False, True])
-        return pd.DataFrame([[group["host"].iloc[0], json.dumps(infer([json.loads(f) for f in group["form"]]))]], columns=["host", "wrapper"])
+        group = group.sort_values(["n", "wrapper"], ascending=[False, True])
+        made = json.dumps(infer([json.loads(f) for f in group["wrapper"]]))
+        return pd.DataFrame([[group["host"].iloc[0], made, group["n"].sum()]], columns=["host", "wrapper", "n"])
 
-    # Only the distinct forms of a host meet in a task, however many pages it has.
-    return counted.groupBy("host").applyInPandas(one, "host string, wrapper string").join(common, "host", "left")
+    # Distinct forms meet, however many pages a host has; those of a host with many forms in salted parts, then part with part.
+    level = store(counted.withColumnRenamed("form", "wrapper"), workspace(pages.sparkSession, "forms"))
+    while True:
+        sizes = level.groupBy("host").agg(F.count("*").alias("parts"))
+        if (sizes.agg(F.max("parts")).first()[0] or 0) <= 1:
+            return level.select("host", "wrapper").join(common, "host", "left")
+        salted = level.join(sizes, "host").withColumn("salt", F.expr(f"pmod(xxhash64(wrapper), ceil(parts / {FAN}))"))
+        level = store(salted.groupBy("host", "salt").applyInPandas(one, "host string, wrapper string, n long"), workspace(pages.sparkSession, "partial"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -461,6 +461,71 @@ def test_unequal_texts_become_a_slot():
     assert wrappers.infer([["p", "#7", "div", "#8"], ["p", "#", "div", "#8"]]) == ["p", "#", "div", "#8"]
 
 
+def expression(wrapper, letters):
+    """The wrapper as an expression of the re module over one letter a token. A slot also reads any constant."""
+    out = ""
+    for x in wrapper:
+        if isinstance(x, str):
+            out += "[" + "".join(v for k, v in letters.items() if k.startswith("#")) + "]" if x == "#" else letters[x]
+        else:
+            out += "(?:" + expression(x[1], letters) + ")" + x[0]
+    return out
+
+
+def test_parse_against_the_re_module():
+    r = random.Random(5)
+    names = ["p", "/div", "div", "#", "#1", "#2", "li"]
+    letters = dict(zip(names, "abcdefg"))
+    fits = 0
+    for _ in range(300):
+        pages = [[r.choice(names) for _ in range(r.randint(1, 9))] * r.choice([1, 1, 3]) for _ in range(r.randint(1, 5))]
+        half = len(pages) // 2
+        parts = [wrappers.infer([wrappers.fold(list(x)) for x in side]) for side in (pages[:half], pages[half:]) if side]
+        wrapper = wrappers.infer(parts)
+        m, pattern = wrappers.Matcher(wrapper), re.compile(expression(wrapper, letters))
+        assert all(m.parse(x) is not None for x in pages)  # whatever was merged is read
+        for x in pages + [[r.choice(names) for _ in range(r.randint(0, 6))] for _ in range(20)]:
+            filled = m.parse(x)
+            assert (filled is not None) == bool(pattern.fullmatch("".join(letters[t] for t in x)))
+            if filled is not None:
+                fits += 1
+                texts = [t for t in x if t.startswith("#")]
+                assert len(filled) == len(texts) and all(m.states[s] in ("#", t) for s, t in zip(filled, texts))
+    assert fits > 1000
+
+
+def test_units_of_any_length_are_folded():
+    row = ["tr"] + [x for k in range(6) for x in ("td", f"#{k}" if k % 2 else "#")]
+    assert wrappers.fold(["table"] + row * 5 + ["/table"]) == wrappers.fold(["table"] + row * 2 + ["/table"])
+    assert wrappers.fold(["a"]) == ["a"] and wrappers.fold([]) == []
+
+
+def test_the_place_of_a_text_decides(spark):
+    # The label stands in each of a page's repeated rows, which are no table; the same words are template where nothing repeats.
+    rows, want = [], {}
+    for i in range(8):
+        texts = [f"value {i} {k}" for k in range(2 + i % 3)]
+        body = "".join(f"<section><h3>Price</h3><div>{t}</div></section>" for t in texts)
+        rows.append((i, "http://a.example/", f"<body><h1>Price</h1>{body}<div>All rights kept.</div></body>"))
+        want[i] = "\n\n".join(x for t in texts for x in ("Price", t))
+        cells = "".join(f"<td>{c}</td>" for c in (f"a{i}k", "b", f"c{i % 2}", "d", f"e{i}"))
+        rows.append((20 + i, "http://b.example/", f"<table><tr>{cells}</tr></table>"))
+        want[20 + i] = f"a{i}k\n\nb\n\nc{i % 2}\n\nd\n\ne{i}"
+    assert texts_of(spark, rows) == want
+
+
+def test_many_forms_of_a_host_meet_in_parts(spark, monkeypatch):
+    r = random.Random(3)
+    tags, rows, want = ["p", "h2", "div", "section", "pre", "blockquote"], [], {}
+    for i in range(60):
+        blocks = [(r.choice(tags), f"text {i} {k}") for k in range(3 + i % 5)]
+        rows.append((i, "http://a.example/", "<body><address>Our house.</address>" + "".join(f"<{t}>{x}</{t}>" for t, x in blocks) + "</body>"))
+        want[i] = "\n\n".join(x for _, x in blocks)
+    assert texts_of(spark, rows) == want
+    monkeypatch.setattr(wrappers, "FAN", 4)
+    assert texts_of(spark, rows) == want
+
+
 # op9
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
