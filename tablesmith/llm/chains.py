@@ -310,8 +310,10 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def remove_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents with every passage that stands in an earlier text taken out; all rows stay, n_chars follows the text."""
     path = workspace(docs.sparkSession, "passages")
-    found = store(passages(docs, least, path), f"{path}/passages").groupBy("doc_id", "tid").agg(
-        F.collect_list(F.struct("start", "end")).alias("spans"))
+    found = store(passages(docs, least, path), f"{path}/passages")
+    for done in ("words", "runs", "firsts", "lengths"):  # before the texts are moved
+        erase(docs.sparkSession, f"{path}/{done}")
+    found = found.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     tid, spans, left = fresh(docs, "tid", "spans", "left")
 
     @F.pandas_udf("string")
