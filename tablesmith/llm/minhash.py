@@ -338,6 +338,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     path = workspace(docs.sparkSession, "dedup")
     stay = store(classes(docs, path=path).where("doc_id <=> class_id").groupBy("doc_id", "class_id").agg(
         F.min("node").alias("node"), F.count("*").alias("n")), f"{path}/stay")
+    for part in ("sketches", "shared", "edges", "more", "least", "components-0", "components-1"):  # only the rows that stay are read from here on
+        erase(docs.sparkSession, f"{path}/{part}")
     node, = fresh(docs, "node")
     with_node = docs.withColumn(node, F.unhex(F.md5(F.array_join(words_of(F.col("text")), " "))))
     keys = stay.select(F.col("doc_id").alias("stay_id"), F.col("node").alias("stay_node"), F.col("n").alias("stay_n"))
