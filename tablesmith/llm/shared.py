@@ -6,6 +6,8 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,9 +31,30 @@ def workspace(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Session settings for the plans made inside; what was set before holds again afterwards."""
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def store(df: DataFrame, path: str) -> DataFrame:
-    """Write a table once and read it back: cuts lineage and survives lost executors."""
-    df.write.parquet(path)
+    """Write a table once and read it back: cuts lineage and survives lost executors.
+
+    Once the table is written nothing reads the shuffle files of its plan, so Spark deletes them then and not when the driver
+    happens to collect garbage.
+    """
+    with settings(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tablesmith.llm import bpe, chains, minhash, packing, private, quality, sharding, topk, warc, wrappers
+from tablesmith.llm import bpe, chains, minhash, packing, private, quality, shared, sharding, topk, warc, wrappers
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -191,6 +191,21 @@ def test_quality_rejects_text_unlike_the_target(spark):
 
 # op5
 
+def test_stored_tables_leave_the_session_as_it_was(spark, tmp_path):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    # One plan that reads a shuffle twice, stored twice: its files go after each write and are made again for the next.
+    twice = counts.join(counts.withColumnRenamed("count", "again"), "k")
+    for part in ("a", "b"):
+        rows = shared.store(twice, str(tmp_path / part)).collect()
+        assert sum(r["count"] for r in rows) == sum(r["again"] for r in rows) == 1000
+    assert spark.conf.get(name) == before
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        shared.store(counts, str(tmp_path / "a"))
+    assert spark.conf.get(name) == before
+
+
 @pytest.mark.parametrize("size", [3, 60, 2000])
 def test_signatures_agree_as_weighted_jaccard_says(size):
     r, errors = np.random.default_rng(size), []
