@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tablesmith.llm.minhash import _lists, shingles
 from tablesmith.llm.quality import let, words_of
-from tablesmith.llm.shared import col, erase, fresh, store, workspace
+from tablesmith.llm.shared import BATCH, col, erase, fresh, store, workspace
 
 #: Words of a seed; one seed at least in every run of ``WINDOW`` neighbouring k-mers.
 #: Twelve equal words in a row share a seed for certain, so passages with every tenth word changed hardly ever lack one.
@@ -223,7 +223,7 @@ def passages(docs: DataFrame, least: int = LEAST, path: str | None = None) -> Da
     lengths = store(texts.select("doc_id", "tid", "n"), f"{path}/lengths")
     firsts = texts.groupBy("tid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("f"))
     firsts = store(firsts.select("tid", F.col("f.id").alias("first_id")), f"{path}/firsts")
-    found = store(seeds(texts), f"{path}/seeds")
+    found = store(seeds(texts), f"{path}/seeds", BATCH)
     shared = found.groupBy("h").agg(F.min("tid").alias("least"), F.max("tid").alias("most")).where("least != most").select("h")
     # Stored first: a join of two plain shuffles is one whose hot keys Spark can split.
     shared = store(shared, f"{path}/shared")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.llm.quality import let, words_of
-from tablesmith.llm.shared import col, erase, fresh, store, workspace
+from tablesmith.llm.shared import BATCH, col, erase, fresh, store, workspace
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -31,8 +31,8 @@ BANDS, ROWS = 32, 4
 FILTER_BITS = 1 << 23
 #: Members of one bucket that one task compares; larger buckets are compared chunk by chunk.
 CHUNK = 2048
-#: Rank side of the smallest cell, and elements handled at once.
-UNIT, ELEMENTS = 1 / 16, 200_000
+#: Rank side of the smallest cell; elements and texts handled at once. A text throws some ``k ln k + 2 k`` darts however short it is.
+UNIT, ELEMENTS, TEXTS = 1 / 16, 200_000, 512
 FULL = np.uint64(2**64 - 1)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -141,9 +141,9 @@ def sketches(docs: DataFrame, k: int = BANDS * ROWS) -> DataFrame:
         for batch in batches:
             offsets, values = _lists(batch.column(2))
             start = 0
-            while start < batch.num_rows:  # as many documents as make up one load of elements
+            while start < batch.num_rows:  # as many documents as make up one load of elements, or of darts
                 stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + ELEMENTS, "right")) - 1)
-                stop = min(stop, batch.num_rows)
+                stop = min(stop, start + TEXTS, batch.num_rows)
                 sets = [shingles(values[offsets[i]: offsets[i + 1]]) for i in range(start, stop)]
                 sizes = np.array([len(s) for s in sets])
                 flat = np.concatenate(sets) if sizes.sum() else np.zeros(0, np.uint64)
@@ -301,7 +301,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, path: str | None =
     """
     spark = docs.sparkSession
     path = path or workspace(spark, "minhash")
-    sketched = store(sketches(docs), f"{path}/sketches")
+    sketched = store(sketches(docs), f"{path}/sketches", BATCH)
     bands = sketched.where("keys IS NOT NULL").groupBy("node").agg(F.first("keys").alias("keys"))
     bands = store(bands, f"{path}/nodes").select("node", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").drop("n")
@@ -314,7 +314,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, path: str | None =
         F.min(F.struct((F.col("node") == F.col("least")).alias("own"), (-F.col("n")).alias("n"), F.col("least").alias("star"))).alias("x"))
     stars = store(stars.select("node", "x.star"), f"{path}/stars")
     members = members.join(stars, "node")
-    sets = store(_sets(docs, stars.select("node")), f"{path}/sets")
+    sets = store(_sets(docs, stars.select("node")), f"{path}/sets", BATCH)
     edges = store(_verified(stars.where("node != star").select(F.col("star").alias("a"), F.col("node").alias("b")), sets, similarity),
                   f"{path}/edges")
     labels = components(edges, f"{path}/components-0")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: White space of the word rules: blank and U+0009 to U+000D.
 BLANK = r"[\x20\x09-\x0D]+"
+#: Rows of an Arrow batch where each row holds a whole text or its words: a batch is held by Spark and by the Python worker at once.
+BATCH = 1_000
 
 
 def workspace(spark: SparkSession, label: str) -> str:
@@ -47,13 +49,16 @@ def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(name, value)
 
 
-def store(df: DataFrame, path: str) -> DataFrame:
+def store(df: DataFrame, path: str, batch: int | None = None) -> DataFrame:
     """Write a table once and read it back: cuts lineage and survives lost executors.
 
     Once the table is written nothing reads the shuffle files of its plan, so Spark deletes them then and not when the driver
-    happens to collect garbage.
+    happens to collect garbage. ``batch`` bounds the rows of an Arrow batch.
     """
-    with settings(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if batch:
+        wanted["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch)
+    with settings(df.sparkSession, wanted):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -189,8 +189,6 @@ def test_quality_rejects_text_unlike_the_target(spark):
     assert kept == {i for i, _ in good}
 
 
-# op5
-
 def test_stored_tables_leave_the_session_as_it_was(spark, tmp_path):
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name)
@@ -206,6 +204,8 @@ def test_stored_tables_leave_the_session_as_it_was(spark, tmp_path):
     assert spark.conf.get(name) == before
 
 
+# op5
+
 @pytest.mark.parametrize("size", [3, 60, 2000])
 def test_signatures_agree_as_weighted_jaccard_says(size):
     r, errors = np.random.default_rng(size), []
