@@ -10,6 +10,7 @@ from tablesmith.functions.numeric import float_text
 from tablesmith.operators.infer import (
     GENERATOR_NUMERIC, PAIR_NUMERIC, dispatch_target, is_numeric_label, task_type_schema,
 )
+from tablesmith.session import stored
 from tablesmith.sources.artifacts import json_text
 
 LABELS = ["full_structured", "stats_focused", "task_focused"]
@@ -137,6 +138,7 @@ def pair_prompts(metadata: DataFrame, p: DataFrame, targets: DataFrame) -> DataF
 # --- artifact match ---------------------------------------------------------------------------
 
 SUMMARY_FILE = "validation_summary.json"
+PIECES = 1_000_000  # substrings of a task, about 100 bytes each
 
 
 def _pieces(name: Column, lengths: list[int]) -> Column:
@@ -154,14 +156,20 @@ def _contained(wanted: DataFrame, key: str, files: DataFrame, name: Column) -> D
 
     Containment as an equality join on the substrings that have the length of some
     key. A substring keeps its first file name before the join, so one that many names share gives each
-    dataset one row; no document is carried.
+    dataset one row; no document is carried. Names, and then substrings, are dealt to as many tasks as their number
+    asks for, however few parts the input has; names that share a substring are combined where they lie. The result is stored.
     """
     lengths = sorted(r[0] for r in wanted.select(F.length(key)).distinct().collect() if r[0])
     if not lengths:
         return files.select(F.lit("").alias("version_id"), "file_name").limit(0)
-    parts = files.select("file_name", F.explode(_pieces(name, lengths)).alias("piece")).groupBy("piece").agg(
-        F.min("file_name").alias("file_name"))
-    return wanted.join(parts, F.col(key) == F.col("piece")).groupBy("version_id").agg(F.min("file_name").alias("file_name"))
+    held = sum((F.greatest(F.length(name) - n + 1, F.lit(0)).cast("long") for n in lengths), F.lit(0))
+    tasks = -(-(files.agg(F.sum(held)).first()[0] or 0) // PIECES) or 1
+    deal = F.pmod(F.xxhash64("file_name"), F.lit(16 * tasks)).alias("deal")
+    names = files.select("file_name", name.alias("name"), deal).repartition(tasks, "deal").distinct()
+    first = F.min("file_name").alias("file_name")
+    some = names.select("deal", "file_name", F.explode(_pieces(F.col("name"), lengths)).alias("piece")).groupBy("deal", "piece").agg(first)
+    parts = some.repartition(tasks, "piece").groupBy("piece").agg(first)
+    return stored(wanted.join(parts, F.col(key) == F.col("piece")).groupBy("version_id").agg(F.min("file_name").alias("file_name")))
 
 
 def match_artifacts(metadata: DataFrame, files: DataFrame, fold: bool = False) -> DataFrame:

@@ -50,6 +50,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once under the checkpoint folder and read back."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored_rows(df: DataFrame, part: str, place: str, before: str | None = None) -> DataFrame:
     """A stored copy of the rows with the number of the file each lies in, in written order, and its place there.
 

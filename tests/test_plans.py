@@ -1,6 +1,7 @@
 """Plan rules, cascade, output repair, execution, validation and pairs."""
 
 import json
+import re
 import time
 
 import pytest
@@ -258,3 +259,26 @@ def test_artifact_match_with_a_common_name(spark):
                                   "file_name string, json string")
     got = {r["version_id"]: (r["file_name"], r["json"]) for r in match_artifacts(versions, files).collect()}
     assert len(got) == 40 and got["v7"] == ("x_v7.json", "v") and got["v1"] == ("data_00.json", "0")
+
+
+def test_artifact_match_deals_substrings_to_tasks(spark, monkeypatch):
+    """However few parts the files have, and with the results of a plain search."""
+    kept, plans = getattr(pr, "stored", None), []
+    monkeypatch.setattr(pr, "PIECES", 500, raising=False)
+    monkeypatch.setattr(pr, "stored", lambda df: plans.append(df._jdf.queryExecution().toString()) or kept(df), raising=False)
+    files = [(["ds_{0:03d}_SET.json", "x_v{0:03d}a_y.json", "other_{0}.json"][i % 3].format(i), str(i) if i % 4 else None) for i in range(150)]
+    files += files[:9] + [(None, "{}"), ("", "{}")]
+    versions = [(f"v{i:03d}a", f"Ds-{i:03d} set") for i in range(150)] + [(None, "Ds-003 set"), ("v001a", None), ("", "")]
+    rows = spark.createDataFrame(files, "file_name string, json string").coalesce(1)
+    hits = pr.match_artifacts(spark.createDataFrame(versions, "version_id string, dataset string"), rows, fold=True)
+    names = sorted({f for f, _ in files if f})
+    fold = lambda t: t.lower().replace(" ", "").replace("_", "").replace("-", "")
+    want = set()
+    for v, d in versions:
+        by_version = [f for f in names if v and v in f]
+        by_name = [f for f in names if d and fold(d) in fold(f.rsplit(".", 1)[0])]
+        if by_version or by_name:
+            want.add((v, (by_version or by_name)[0]))
+    assert {(r["version_id"], r["file_name"]) for r in hits.collect()} == want and len(want) > 100
+    tasks = [int(n) for p in plans for n in re.findall(r"hashpartitioning\(piece#\d+, (\d+)\)", p)]
+    assert len(plans) == 2 and min(tasks) >= 3
