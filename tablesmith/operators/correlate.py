@@ -21,6 +21,7 @@ IMBALANCE_RATIO = 3
 MOMENTS = ["n", "mx", "my", "sxx", "syy", "sxy"]
 BLOCK_COLUMNS = 128  # columns of a block: a matrix of 128 KB
 FAN = 16
+LOST_DIGITS = 100  # squares about a column's mean to those about the pair's: with more, two digits are lost
 FEW_PAIRS = AGG_CHUNK
 
 
@@ -71,7 +72,8 @@ def block_moments(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
     """Moments of every column of ``x`` with every column of ``y`` over the rows that have both.
 
     Without gaps the counts, means and spreads are those of the columns and stay vectors; with gaps they
-    are matrices, centred pair by pair, so a value far away on rows that lack the other costs no digits.
+    are matrices, products of the values and of the marks of presence. A pair whose common rows lie far from the means of its
+    columns would lose digits in them: it is summed by itself, centred on these rows.
     """
     have_x, have_y = ~np.isnan(x), ~np.isnan(y)
     if have_x.all() and have_y.all():
@@ -79,19 +81,36 @@ def block_moments(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
         dx, dy = x - mx, y - my
         return (np.full((1, 1), float(len(x))), mx[:, None], my[None, :], (dx * dx).sum(axis=0)[:, None],
                 (dy * dy).sum(axis=0)[None, :], dx.T @ dy)
-    out = tuple(np.zeros((x.shape[1], y.shape[1])) for _ in MOMENTS)
-    filled = np.where(have_y, y, 0.0)
-    for i in range(x.shape[1]):
-        rows = have_x[:, i]
-        both, a, b = have_y[rows], x[rows, i][:, None], filled[rows]
-        n = both.sum(axis=0)
-        mx, my = (a * both).sum(axis=0) / np.maximum(n, 1), b.sum(axis=0) / np.maximum(n, 1)
-        da, db = (a - mx) * both, (b - my) * both
-        for m, value in zip(out, (n, mx, my, (da * da).sum(axis=0), (db * db).sum(axis=0), (da * db).sum(axis=0))):
-            m[i] = value
+    (cx, dx), (cy, dy) = centred(x, have_x), centred(y, have_y)
+    hx, hy = have_x.astype(float), have_y.astype(float)
+    n, sx, sy = hx.T @ hy, dx.T @ hy, hx.T @ dy
+    sxx, syy, sxy = (dx * dx).T @ hy, hx.T @ (dy * dy), dx.T @ dy
+    mx, my = sx / np.maximum(n, 1), sy / np.maximum(n, 1)
+    vxx, vyy, vxy = sxx - sx * mx, syy - sy * my, sxy - sx * my
+    far = (n > 0) & ((sxx > LOST_DIGITS * vxx) | (syy > LOST_DIGITS * vyy))
+    out = (n, np.where(n > 0, cx[:, None] + mx, 0.0), np.where(n > 0, cy[None, :] + my, 0.0), vxx, vyy, vxy)
+    for i in np.flatnonzero(far.any(axis=1)):
+        for m, value in zip(out, _pair_by_pair(x[:, i], y[:, far[i]], have_x[:, i], have_y[:, far[i]])):
+            m[i, far[i]] = value
     return out
 
 
+def centred(x: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means of the columns over the values they have, and the distances from them, 0 for gaps."""
+    mean = np.where(have, x, 0.0).sum(axis=0) / np.maximum(have.sum(axis=0), 1)
+    return mean, np.where(have, x - mean, 0.0)
+
+
+def _pair_by_pair(x: np.ndarray, y: np.ndarray, have_x: np.ndarray, have_y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Moments of one column with some others, each over the rows that both have."""
+    both, a = have_y[have_x], x[have_x][:, None]
+    b = np.where(both, y[have_x], 0.0)
+    n = both.sum(axis=0)
+    mx, my = (a * both).sum(axis=0) / np.maximum(n, 1), b.sum(axis=0) / np.maximum(n, 1)
+    da, db = (a - mx) * both, (b - my) * both
+    return n, mx, my, (da * da).sum(axis=0), (db * db).sum(axis=0), (da * db).sum(axis=0)
+
+
 def merge_moments(a: tuple, b: tuple) -> tuple[np.ndarray, ...]:
     """Moments of two groups of rows together."""
     n = a[0] + b[0]
