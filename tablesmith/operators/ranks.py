@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from tablesmith.session import SINGLE_TASK_ROWS, free_names, stored_rows
 
 AGG_CHUNK = 40  # expressions of one kind per aggregate, keeps generated code small
+COUNT_CHUNK = 16  # conditional counts per aggregate: code of more is too long to be compiled
 PIVOT_ACCURACY = 10_000
 SLACK = 2.0 / PIVOT_ACCURACY  # pivots sit this far (in rank share) around the wanted ranks
 
@@ -114,25 +115,28 @@ def _neighbours(ranks: list[int], size: int) -> list[list[int]]:
 
 def _narrow_once(df: DataFrame, columns: dict[str, Column], regions: list[_Region],
                  found: dict[str, dict[int, object]]) -> list[_Region]:
-    exprs = {}
-    for i, r in enumerate(regions):
-        x = columns[r.column]
+    points: dict[tuple, list[float]] = {}
+    spots = []
+    for r in regions:  # regions of the same interval, as all of a column are at first, share a sketch
         first, last = ((k - r.below + 0.5) / r.size for k in (r.ranks[0], r.ranks[-1]))
-        points = [max(0.0, first - SLACK), min(1.0, last + SLACK)]
-        exprs[str(i)] = F.percentile_approx(F.when(r.test(x), x), points, PIVOT_ACCURACY)
-    pivots = agg_row(df, exprs)
+        mine = points.setdefault((r.column, r.low, r.high), [])
+        spots.append(((r.column, r.low, r.high), len(mine)))
+        mine += [max(0.0, first - SLACK), min(1.0, last + SLACK)]
+    tests = {(r.column, r.low, r.high): r.test(columns[r.column]) for r in regions}
+    sketched = agg_row(df, {k: F.percentile_approx(F.when(tests[k], columns[k[0]]), ps, PIVOT_ACCURACY) for k, ps in points.items()})
+    pivots = [sketched[k][at : at + 2] for k, at in spots]
     counts = {}
     for i, r in enumerate(regions):
         x, inside = columns[r.column], r.test(columns[r.column])
-        lo, hi = pivots[str(i)]
+        lo, hi = pivots[i]
         counts[f"{i}.lt"] = F.count_if(inside & (x < F.lit(lo)))
         counts[f"{i}.lo"] = F.count_if(inside & (x == F.lit(lo)))
         counts[f"{i}.mid"] = F.count_if(inside & (x > F.lit(lo)) & (x < F.lit(hi)))
         counts[f"{i}.hi"] = F.count_if(inside & (x == F.lit(hi)) & F.lit(hi > lo))
-    got = agg_row(df, counts)
+    got = agg_row(df, counts, COUNT_CHUNK)
     out = []
     for i, r in enumerate(regions):
-        lo, hi = pivots[str(i)]
+        lo, hi = pivots[i]
         out += r.split(lo, hi, {k: got[f"{i}.{k}"] for k in ("lt", "lo", "mid", "hi")}, found[r.column])
     return out
 

@@ -152,6 +152,16 @@ def test_correlations_match_pandas_with_gaps_and_constants(spark):
     assert df.agg(safe_corr(F.col("a"), F.col("k"))).first()[0] is None
 
 
+def test_narrowing_shares_sketches_and_counts_in_short_aggregates(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({f"c{i}": rng.integers(0, 50 + 400 * i, 3000).astype(float) for i in range(6)})
+    sizes, seen, run = {c: len(pdf) for c in pdf}, [], ranks.agg_row
+    monkeypatch.setattr(ranks, "agg_row", lambda df, exprs, chunk=4 * ranks.AGG_CHUNK: seen.append((len(exprs), chunk)) or run(df, exprs, chunk))
+    got = exact_quantiles(spark.createDataFrame(pdf), {c: F.col(c) for c in pdf}, [0.25, 0.75], sizes, len(pdf), 100)
+    assert all(got[c] == pytest.approx(list(np.quantile(pdf[c], [0.25, 0.75]))) for c in pdf)
+    assert seen[0][0] == len(sizes) and all(min(seen[i]) <= 16 for i in (0, 1))  # a sketch a column, then short counts
+
+
 def test_wide_correlations_with_gaps_are_products_of_matrices():
     """A gap in one column costs a block of 128 columns no sum for each pair, and pairs far from their columns' means keep their digits."""
     rng = np.random.default_rng(8)
