@@ -3,13 +3,15 @@
 Base patterns with their checks find e-mail addresses, IPv4 addresses, card and phone
 numbers. High-recall generators propose further, overlapping spans: long tokens and digit groups. The words before a
 candidate label some of them: ``token =`` says that a secret follows, and no such word far and wide says that none does. Boosted
-trees, trained on a bounded sample of these, never see what stands around: they score a candidate by its format,
-so what they learn holds for candidates without such words too. Thresholds calibrated on held-out candidates select, a lower one
+trees, trained on one half of all of these, never see what stands around: they score a candidate by its format,
+so what they learn holds for candidates without such words too. Thresholds calibrated on all of the other half select, a lower one
 where a word names the candidate. The trees become column expressions, so a text is scored where it is read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -40,12 +42,11 @@ WORDS = {
     "secret": (r"(?:key|token|secret|password|passwd|pwd|auth|bearer|credential)", r"[\"'\s]*[=:][\"'\s]*$"),
     "number": (r"(?:phone|tel|telephone|call|fax|mobile|card|account|iban|ssn|passport)", r"\W{0,4}$"),
 }
-#: Candidates of each label and generator that the trees are trained and calibrated on, at most.
-SAMPLE = 5_000
 TREES, DEPTH = 12, 3
 #: Share of held-out named candidates that a threshold should let pass, and of all others that may pass it: without a naming word, and with one.
 RECALL, OTHERS_PASS, NAMED_PASS = 0.98, 0.005, 0.02
 BEFORE, BLOCK = 24, 256
+CUTS = 64  # of the margins that may be the one looked for, in each round
 
 
 def scan(values: Column, most: bool = False) -> Column:
@@ -136,29 +137,20 @@ def label(generator: str, value: Column, before: Column) -> Column:
     return F.when(named(generator, before), 1).when(~F.lower(before).rlike(WORDS[generator][0]) & ~value.rlike(KEY_FORMATS), 0)
 
 
-def sample(docs: DataFrame, path: str) -> DataFrame:
-    """At most ``SAMPLE`` labelled candidates of each generator and label, first by hash; half are held out.
+def candidates(docs: DataFrame, path: str) -> DataFrame:
+    """All labelled candidates by generator, label and format, with their number ``n``; half are held out.
 
-    ``weight`` is how many candidates of the whole corpus one of the sample stands for.
+    Equal candidates count once, so a hot value has no more say than another.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     labelled = lambda g: lambda x: F.struct(
         F.lit(g).alias("generator"), label(g, x["value"], x["before"]).alias("label"), x["value"].alias("value"), x["before"].alias("before"))
     each = [F.transform(found(text, p, None), labelled(g)) for g, p in GENERATORS.items()]
-    rows = docs.select(F.explode(F.filter(F.concat(*each), lambda x: x["label"].isNotNull())).alias("x")).select("x.*")
-    # Equal candidates count once, so a hot value cannot fill the sample; a task passes on no more than the sample holds.
-    rows = store(rows.select("*", F.xxhash64("value", "before").alias("h")).distinct(), f"{path}/candidates")
-    held = {(r["generator"], r["label"]): r["count"] for r in rows.groupBy("generator", "label").count().collect()}  # four rows
-    parts = [rows.where((F.col("generator") == g) & (F.col("label") == y)).orderBy("h", "value", "before").limit(SAMPLE).withColumn(
-        "weight", F.lit(max(1.0, held.get((g, y), 0) / SAMPLE))) for g in GENERATORS for y in (0, 1)]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
+    rows = docs.select(F.explode(F.filter(F.concat(*each), lambda x: x["label"].isNotNull())).alias("x")).select("x.*").distinct()
     made = features(F.col("value"))
-    out = store(both.select("generator", F.col("label").cast("double").alias("label"), "weight", (F.pmod("h", F.lit(2)) == 0).alias("held"),
-                            *[made[f].alias(f) for f in FEATURES]), f"{path}/sample")
-    erase(docs.sparkSession, f"{path}/candidates")
-    return out
+    shown = rows.select("generator", F.col("label").cast("double").alias("label"), *[made[f].alias(f) for f in FEATURES],
+                        (F.pmod(F.xxhash64("value", "before"), F.lit(2)) == 0).alias("held"))
+    return store(shown.groupBy("generator", "label", "held", *FEATURES).agg(F.count("*").alias("n")), f"{path}/candidates")
 
 
 def tree_column(node, value: dict[str, Column]) -> Column:
@@ -170,11 +162,16 @@ def tree_column(node, value: dict[str, Column]) -> Column:
         tree_column(node.rightChild(), value))
 
 
+def _near(x: float) -> range:
+    """Whole numbers around a product that rounding may have moved."""
+    return range(max(0, math.floor(x) - 1), math.ceil(x) + 2)
+
+
 class Model:
     """Boosted trees of each generator with their thresholds; a generator without both labels has none.
 
-    ``threshold``: the margin to reach without a naming word and with one. ``measured``: of the held-out candidates, weighted to
-    the corpus, the share of the others and of the named ones that reach the first.
+    ``threshold``: the margin to reach without a naming word and with one. ``measured``: of the held-out candidates,
+    the share of the others and of the named ones that reach the first.
     """
 
     def __init__(self, rows: DataFrame):
@@ -183,30 +180,62 @@ class Model:
         self.measured: dict[str, tuple[float, float]] = {}
         for g in GENERATORS:
             own = rows.where(F.col("generator") == g)
-            if own.where("NOT held").select("label").distinct().count() < 2:
+            # Both labels weigh the same however rare one is.
+            held = {r["label"]: r for r in own.where("NOT held").groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("formats")).collect()}
+            if len(held) < 2:
                 continue
-            assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(own.where("NOT held"))
-            fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, labelCol="label").fit(assembled)
+            every, formats = (sum(r[c] for r in held.values()) for c in ("n", "formats"))
+            share = F.when(F.col("label") == 1, every / 2 / held[1.0]["n"]).otherwise(every / 2 / held[0.0]["n"])
+            assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(
+                own.where("NOT held").withColumn("weight", F.col("n") * share))
+            # Spark looks for splits in all rows only where these are no more than the square of the bins.
+            bins = max(32, math.isqrt(formats) + 1)
+            fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, labelCol="label", weightCol="weight", maxBins=bins).fit(assembled)
             self.trees[g] = [(w, t._call_java("rootNode")) for w, t in zip(fitted.treeWeights, fitted.trees)]
-            held = own.where("held").select("label", "weight", self.margin(g, {f: F.col(f) for f in FEATURES}).alias("m"))
-            self._calibrate(g, sorted(((r["m"], r["label"], r["weight"]) for r in held.collect()), reverse=True))  # bounded by the sample
-
-    def _calibrate(self, generator: str, held: list[tuple[float, float, float]]) -> None:
-        """Margins from the highest down: as low as named candidates need, no lower than the others' share allows."""
-        total = {k: sum(w for _, y, w in held if y == k) or 1.0 for k in (1.0, 0.0)}
-        passed, sure, near, at = {1.0: 0.0, 0.0: 0.0}, float("inf"), float("inf"), (0.0, 0.0)
-        enough = False
-        for k, (m, y, w) in enumerate(held):
-            passed[y] += w
-            if k + 1 < len(held) and held[k + 1][0] == m:
-                continue  # equal margins pass or fail together
-            # Half way to the next lower margin, so that a format a little off the trained ones passes too.
-            half = (m + held[k + 1][0]) / 2 if k + 1 < len(held) else m
-            others, recall = passed[0.0] / total[0.0], passed[1.0] / total[1.0]
-            if others <= OTHERS_PASS and not enough:
-                sure, at, enough = half, (others, recall), recall >= RECALL
-            if others <= NAMED_PASS:
-                near = half
+            self._calibrate(g, own.where("held").groupBy("label", self.margin(g, {f: F.col(f) for f in FEATURES}).alias("m")).agg(F.sum("n").alias("n")))
+
+    def _calibrate(self, generator: str, held: DataFrame) -> None:
+        """Margins as low as named candidates need, no lower than the others' share allows; equal margins pass or fail together.
+
+        Margins with their numbers stay distributed: ranks are found by narrowing, in a few aggregates.
+        """
+        other, named_ = F.col("label") == 0, F.col("label") == 1
+        total = held.agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) for c in (other, named_)]).first()
+
+        def nth(which: Column, rank: int) -> float | None:
+            """The margin that ``rank`` candidates of a label reach or exceed, at least, and fewer exceed."""
+            low, high = held.where(which).agg(F.min("m"), F.max("m")).first()
+            while low < high:
+                cuts = [low + (high - low) * i / CUTS for i in range(CUTS)]
+                got = held.where(which).agg(*[F.struct(F.sum(F.when(F.col("m") > c, F.col("n"))).alias("n"), F.max(F.when(F.col("m") <= c, F.col("m"))).alias("m"),
+                                                       F.min(F.when(F.col("m") > c, F.col("m"))).alias("next")).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
+                above = [x for x in got if (x["n"] or 0) >= rank and x["next"] is not None]
+                under = [x for x in got if (x["n"] or 0) < rank and x["m"] is not None]
+                low = max([low] + [x["next"] for x in above])
+                high = min([high] + [x["m"] for x in under])
+            return low
+
+        def passes(share: float) -> float:
+            """The lowest margin that no more than this share of the others reaches."""
+            allowed = max(k for k in _near(share * total[0]) if k / (total[0] or 1) <= share)
+            over = F.lit(True) if total[0] <= allowed else F.col("m") > F.lit(nth(other, allowed + 1))
+            return held.where(over).agg(F.min("m")).first()[0]
+
+        def half(m: float) -> float:
+            """Half way to the next lower margin, so that a format a little off the trained ones passes too."""
+            lower = held.where(F.col("m") < F.lit(m)).agg(F.max("m")).first()[0]
+            return m if lower is None else (m + lower) / 2
+
+        first, second = passes(OTHERS_PASS), passes(NAMED_PASS)
+        sure, at = float("inf"), (0.0, 0.0)
+        if first is not None:
+            if total[1]:
+                enough = min(k for k in _near(RECALL * total[1]) if k / total[1] >= RECALL)
+                first = max(first, nth(named_, enough))
+            sure = half(first)
+            got = held.where(F.col("m") >= F.lit(first)).agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) for c in (other, named_)]).first()
+            at = (got[0] / (total[0] or 1), got[1] / (total[1] or 1))
+        near = half(second) if second is not None else float("inf")
         self.threshold[generator], self.measured[generator] = (sure, min(sure, near)), at
 
     def margin(self, generator: str, value: dict[str, Column]) -> Column:
@@ -248,7 +277,9 @@ def detect(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     path = path or workspace(spark, "private")
-    model = Model(sample(docs, path))
+    learned = candidates(docs, path)
+    model = Model(learned)
+    erase(spark, f"{path}/candidates")
     return add_spans(docs, model)
 
 

@@ -373,3 +373,32 @@ def test_constant_cells_of_a_table_stay(spark):
     got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     cells = lambda n: ["Name", "Rest", *[c for k in range(2) for c in (f"a{n}{k}", "b", f"c{k}", "d", f"e{n}")]]
     assert got == {n: "\n\n".join([f"text {n}", *cells(n)]) for n in range(8)}
+
+
+def test_trees_learn_and_are_calibrated_on_all_candidates(spark, tmp_path):
+    """Every labelled candidate counts, and thresholds are those of a plain walk from the highest margin down."""
+    r = random.Random(6)
+    token = lambda n, chars: "".join(r.choice(chars) for _ in range(n))
+    rows = [(i, f"see {token(18, 'abcdefgh')} for more and {token(20, 'abcdefgh')} here") for i in range(6000)]
+    rows += [(7000 + i, f'token = "{token(32, "0123456789abcdef")}"') for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = private.candidates(docs, str(tmp_path / "all"))
+    counts = {x.label: x.n for x in learned.where("generator = 'secret'").groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    assert counts == {0.0: 12_000, 1.0: 40}
+    model = private.Model(learned)
+    got = {x.doc_id: x.spans for x in private.add_spans(docs, model).select("doc_id", F.size("spans").alias("spans")).collect()}
+    assert all(got[7000 + i] == 1 for i in range(40)) and sum(got[i] for i in range(6000)) == 0
+    for size in (1, 40, 900):
+        held = [(round(r.gauss(3 * y, 1), 1), y, r.randint(1, 5)) for y in [float(r.random() < 0.2) for _ in range(size)]]
+        total = {k: sum(n for _, y, n in held if y == k) or 1.0 for k in (1.0, 0.0)}
+        margins = sorted({m for m, _, _ in held}, reverse=True)
+        sure, near, enough, at = float("inf"), float("inf"), False, (0.0, 0.0)
+        for k, m in enumerate(margins):
+            others, recall = (sum(n for x, y, n in held if y == label and x >= m) / total[label] for label in (0.0, 1.0))
+            half = (m + margins[k + 1]) / 2 if k + 1 < len(margins) else m
+            if others <= private.OTHERS_PASS and not enough:
+                sure, at, enough = half, (others, recall), recall >= private.RECALL
+            if others <= private.NAMED_PASS:
+                near = half
+        model._calibrate("secret", spark.createDataFrame(held, "m double, label double, n long"))
+        assert model.threshold["secret"] == pytest.approx((sure, min(sure, near))) and model.measured["secret"] == pytest.approx(at)
